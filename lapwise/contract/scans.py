@@ -233,9 +233,9 @@ def write_results(fx: Fixtures) -> DataFrame:
     )
 
 
-def manifest_entries(fx: Fixtures) -> DataFrame:
+def manifest_entries(fx: Fixtures, condition: str = "true") -> DataFrame:
     """The listed ids of every run with their natural position."""
-    return natural_positions(fx.manifests(), ["dataset", "engine"]).withColumn("start_time", F.col("stored_at"))
+    return natural_positions(fx.manifests().where(condition), ["dataset", "engine"]).withColumn("start_time", F.col("stored_at"))
 
 
 # Natural order of ASCII ids: by first number, ids without digits last.

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lapwise.functions.binding import rows_of
+
 # Limits, defaults, accepted words and replies of the command.
 MAX_NODES = 24
 DEFAULT_INSTANCE_TYPE = "c5n.2xlarge"
@@ -52,15 +54,15 @@ def parse_commands(comments: DataFrame, body: str = "body") -> DataFrame:
     kind = (
         F.when(~F.col("_command"), "none").when(F.col("_message").isNotNull(), "invalid").otherwise("request")
     )
-    requested = lambda column: F.when(kind == "request", column)
-    return staged.select(
-        *[F.col(c) for c in comments.columns],
-        kind.alias("kind"),
+    requested = lambda column: F.when(F.col("_kind") == "request", column)
+    parsed = F.struct(
+        F.col("_kind").alias("kind"),
         F.when(F.col("_command"), F.col("_message")).alias("message"),
         requested(F.col("_datasets")).alias("datasets"),
         requested(F.col("_instance")).alias("instance_type"),
         requested(F.col("_nodes").try_cast("bigint")).alias("nodes"),
     )
+    return staged.withColumn("_kind", kind).select(*[F.col(c) for c in comments.columns], rows_of(parsed))
 
 
 def _option(name: str, default: str) -> Column:

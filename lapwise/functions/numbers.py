@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_UP, Decimal
-
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from lapwise.functions.binding import let
+
 
 def round_half_up(value: Column) -> Column:
     """Round to a whole number with ties towards positive infinity."""
@@ -28,27 +27,53 @@ def at_least(factor: Column, threshold: float) -> Column:
     return (factor >= F.lit(threshold)) & ~F.isnan(factor)
 
 
+# A double below this has its units exactly; above it there is no fraction.
+_WHOLE = 2.0**53
+# Splitting a fraction at this many bits leaves parts whose products are exact.
+_SPLIT = 2.0**26
+
+
 def to_fixed(value: Column, digits: int) -> Column:
-    """Decimal text of the exact binary value, ties away from zero.
+    """Decimal text of the exact binary value with one to three digits, ties away from zero.
 
-    The built-in formats round the shortest decimal text of a double, so ties
-    need exact arithmetic.  Meant for report lines, after aggregation.
+    The built-in formats round the shortest decimal text of a double, which
+    turns values just below a tie into ties.  Here the fraction is split into a
+    high and a low part, so scaling either is exact and the low part decides
+    what the high part leaves open.
     """
-    unit = Decimal(1).scaleb(-digits)
-
-    def fixed(number: float) -> str | None:
-        if number is None:
-            return None
-        if number != number:
-            return "NaN"
-        if number in (float("inf"), float("-inf")):
-            return "Infinity" if number > 0 else "-Infinity"
-        text = str(Decimal(number).quantize(unit, rounding=ROUND_HALF_UP))
-        return text.removeprefix("-") if number == 0 else text
-
-    @F.pandas_udf("string")
-    def apply(numbers: pd.Series) -> pd.Series:
-        return numbers.astype(object).map(fixed)
-
-    # Arrow shows nulls of a double column as NaN, so nulls are kept outside.
-    return F.when(value.isNotNull(), apply(F.coalesce(value.cast("double"), F.lit(0.0))))
+    scale = 10**digits
+
+    def units(fraction: Column) -> Column:
+        """The fraction in whole units of the last digit, rounded half up."""
+        high = F.floor(fraction * _SPLIT).cast("double") / _SPLIT
+
+        def rounded(h: Column) -> Column:
+            shifted = h * float(scale) + 0.5
+            left_open = 1.0 - (shifted - F.floor(shifted).cast("double"))
+            more = (fraction - h) * float(scale) >= left_open
+            return F.floor(shifted) + more.cast("bigint")
+
+        return let(high, rounded)
+
+    def positive(x: Column) -> Column:
+        whole = F.floor(x)
+        part = let(x - whole.cast("double"), units)
+
+        def text(u: Column) -> Column:
+            carried = whole + (u >= scale).cast("bigint")
+            rest = F.lpad((u % scale).cast("string"), digits, "0")
+            return F.concat(carried.cast("string"), F.lit("."), rest)
+
+        return let(part, text)
+
+    def shown(x: Column) -> Column:
+        sign = F.when(x < 0, "-").otherwise("")
+        large = F.concat(F.abs(x).cast("decimal(38,0)").cast("string"), F.lit("." + "0" * digits))
+        return (
+            F.when(F.isnan(x), "NaN")
+            .when(F.abs(x) == float("inf"), F.concat(sign, F.lit("Infinity")))
+            .when(F.abs(x) >= _WHOLE, F.concat(sign, large))
+            .otherwise(F.concat(sign, let(F.abs(x), positive)))
+        )
+
+    return F.when(value.isNotNull(), let(value.cast("double"), shown))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from lapwise.functions.binding import let
+
 TRUNCATION_NOTICE = "... earlier output truncated\n"
 
 
@@ -16,11 +18,13 @@ def pad_start(value: Column, width: int) -> Column:
 def format_duration(milliseconds: Column) -> Column:
     """``42s``, ``2m 5s`` or ``1h 0m 3s``; negative durations show as ``0s``."""
     seconds = F.greatest(F.lit(0), F.floor(milliseconds / 1000 + F.lit(0.5))).cast("bigint")
-    s, m, h = (seconds % 60).cast("string"), F.floor(seconds / 60), F.floor(seconds / 3600).cast("string")
-    return (
-        F.when(seconds < 60, F.concat(s, F.lit("s")))
-        .when(m < 60, F.concat(m.cast("string"), F.lit("m "), s, F.lit("s")))
-        .otherwise(F.concat(h, F.lit("h "), (m % 60).cast("string"), F.lit("m "), s, F.lit("s")))
+    text = lambda number, unit: F.concat(number.cast("string"), F.lit(unit))
+    minutes = lambda s: F.floor(s / 60)
+    return let(
+        seconds,
+        lambda s: F.when(s < 60, text(s, "s"))
+        .when(s < 3600, F.concat(text(minutes(s), "m "), text(s % 60, "s")))
+        .otherwise(F.concat(text(F.floor(s / 3600), "h "), text(minutes(s) % 60, "m "), text(s % 60, "s"))),
     )
 
 

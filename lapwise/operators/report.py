@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lapwise.functions.binding import let, rows_of
 from lapwise.functions.names import commit_url, compare_url, request_url
 from lapwise.functions.text import format_duration, html_escape, truncate_tail
 from lapwise.operators.numbering import first_rows
@@ -38,25 +39,29 @@ def block_parts(block: Column) -> Column:
     Header, task lines and the last total are the summary; a block without
     header or total has no structure.
     """
-    lines = F.split(block, "\n")
     starts = lambda line, word: F.ltrim(line).startswith(word)
-    marked = F.transform(lines, lambda line, i: F.struct(line.alias("line"), i.alias("i")))
-    totals = F.filter(marked, lambda m: starts(m["line"], "TOTAL:"))
-    total = F.coalesce(F.array_max(F.transform(totals, lambda m: m["i"])), F.lit(-1))
-    in_summary = lambda m: (m["i"] == 0) | (m["i"] == total) | starts(m["line"], "TASKS:")
     text = lambda kept, change: F.array_join(F.transform(kept, lambda m: change(m["line"])), "\n")
-    structured = F.get(lines, F.lit(0)).startswith(BLOCK_START) & (total > 0)
-    return F.struct(
-        structured.alias("structured"),
-        text(F.filter(marked, in_summary), F.ltrim).alias("summary"),
-        text(F.filter(marked, lambda m: ~in_summary(m)), lambda line: line).alias("details"),
-    )
+
+    def split(lines: Column, total: Column) -> Column:
+        marked = F.transform(lines, lambda line, i: F.struct(line.alias("line"), i.alias("i")))
+        in_summary = lambda m: (m["i"] == 0) | (m["i"] == total) | starts(m["line"], "TASKS:")
+        return F.struct(
+            (F.get(lines, F.lit(0)).startswith(BLOCK_START) & (total > 0)).alias("structured"),
+            text(F.filter(marked, in_summary), F.ltrim).alias("summary"),
+            text(F.filter(marked, lambda m: ~in_summary(m)), lambda line: line).alias("details"),
+        )
+
+    def last_total(lines: Column) -> Column:
+        places = F.transform(lines, lambda line, i: F.when(starts(line, "TOTAL:"), i).otherwise(-1))
+        return F.array_max(places)
+
+    return let(F.split(block, "\n"), lambda lines: let(last_total(lines), lambda total: split(lines, total)))
 
 
 def split_report_blocks(reports: DataFrame, keys: Sequence[str], text: str = "report") -> DataFrame:
     """One row per block of every report."""
     blocks = reports.select(*keys, F.posexplode(report_blocks(F.col(text))).alias("block", "text"))
-    return blocks.withColumn("_parts", block_parts(F.col("text"))).select(*keys, "block", "text", "_parts.*")
+    return blocks.select(*keys, "block", "text", rows_of(block_parts(F.col("text"))))
 
 
 def _trim(text: Column) -> Column:
@@ -65,35 +70,43 @@ def _trim(text: Column) -> Column:
 
 def _preformatted(value: Column, limit: Column) -> Column:
     frame = len("<pre>") + len("</pre>")
-    escaped = html_escape(value)
-    return F.when(limit <= frame, truncate_tail(escaped, limit)).otherwise(
-        F.concat(F.lit("<pre>"), truncate_tail(escaped, limit - frame), F.lit("</pre>"))
+    return let(
+        html_escape(value),
+        lambda escaped: F.when(limit <= frame, truncate_tail(escaped, limit)).otherwise(
+            F.concat(F.lit("<pre>"), truncate_tail(escaped, limit - frame), F.lit("</pre>"))
+        ),
     )
 
 
 def render_block(block: Column, limit: Column) -> Column:
     """A block within its size: the summary first, the details folded below it."""
-    parts = block_parts(block)
     frame = sum(map(len, (SUMMARY_OPEN, SUMMARY_CLOSE, DETAILS_OPEN, DETAILS_CLOSE)))
     room = limit - frame
-    summary = truncate_tail(html_escape(parts["summary"]), room)
-    details = truncate_tail(html_escape(parts["details"]), room - F.length(summary))
-    framed = F.concat(
-        F.lit(SUMMARY_OPEN), summary, F.lit(SUMMARY_CLOSE), F.lit(DETAILS_OPEN), details, F.lit(DETAILS_CLOSE)
-    )
-    return (
-        F.when(limit <= 0, "")
-        .when(~parts["structured"] | (room <= 0), _preformatted(block, limit))
-        .otherwise(framed)
-    )
+
+    def framed(summary: Column, details: Column) -> Column:
+        shown = let(details, lambda whole: truncate_tail(whole, room - F.length(summary)))
+        return F.concat(
+            F.lit(SUMMARY_OPEN), summary, F.lit(SUMMARY_CLOSE), F.lit(DETAILS_OPEN), shown, F.lit(DETAILS_CLOSE)
+        )
+
+    def structured(parts: Column) -> Column:
+        summary = let(html_escape(parts["summary"]), lambda whole: truncate_tail(whole, room))
+        whole = let(summary, lambda fitted: framed(fitted, html_escape(parts["details"])))
+        return F.when(~parts["structured"] | (room <= 0), _preformatted(block, limit)).otherwise(whole)
+
+    return F.when(limit <= 0, "").otherwise(let(block_parts(block), structured))
 
 
 def render_comparison(text: Column, limit: Column) -> Column:
     """All blocks of a comparison, sharing the size evenly."""
-    blocks = report_blocks(text)
-    count = F.size(blocks)
-    share = F.floor(F.greatest(F.lit(0), limit - (count - 1) * 2) / F.greatest(count, F.lit(1))).cast("int")
-    return F.array_join(F.transform(blocks, lambda block: render_block(block, share)), "\n\n")
+
+    def render(blocks: Column) -> Column:
+        count = F.size(blocks)
+        share = F.floor(F.greatest(F.lit(0), limit - (count - 1) * 2) / F.greatest(count, F.lit(1))).cast("int")
+        shared = let(share, lambda size: F.transform(blocks, lambda block: render_block(block, size)))
+        return F.array_join(shared, "\n\n")
+
+    return let(report_blocks(text), render)
 
 
 # --- messages -----------------------------------------------------------------
@@ -173,10 +186,14 @@ def result_message(site: str, build_target: str) -> Column:
         duration("validation_ms"), " · Total ", duration("total_ms"), "\n\n</details>",
     )
     limit = MESSAGE_LIMIT - SIZE_MARGIN
-    fixed = F.length(header) + F.length(details)
-    return F.when(fixed >= limit, truncate_tail(F.concat(header, details), F.lit(limit))).otherwise(
-        F.concat(header, render_comparison(F.col("comparison"), F.lit(limit) - fixed), details)
-    )
+
+    def assemble(head: Column, tail: Column) -> Column:
+        fixed = F.length(head) + F.length(tail)
+        short = let(F.concat(head, tail), lambda whole: truncate_tail(whole, F.lit(limit)))
+        room = let(F.lit(limit) - fixed, lambda size: render_comparison(F.col("comparison"), size))
+        return F.when(fixed >= limit, short).otherwise(F.concat(head, room, tail))
+
+    return let(header, lambda head: let(details, lambda tail: assemble(head, tail)))
 
 
 # --- texts from lines -----------------------------------------------------------

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from lapwise.operators import comparison as c
 from lapwise.operators.iterations import query_summary
-from lapwise.sources.results import load_results, previous_runs, run_listing
+from lapwise.session import cut
+from lapwise.sources.results import load_listed, previous_runs, run_listing
 
 
 @dataclass(frozen=True)
@@ -27,7 +28,9 @@ class Comparison:
 def compare_pairs(iterations: DataFrame, pairs: DataFrame) -> Comparison:
     """Compare the two named runs of every dataset in one job.
 
-    Runs outside the pairs are dropped before anything is aggregated.
+    Runs outside the pairs are dropped before anything is aggregated.  The
+    compared queries, one row each, are written once: totals, pools and report
+    lines all start from them.
     """
     sides = pairs.select(
         "dataset", F.explode(F.array("prev_engine", "new_engine")).alias("engine")
@@ -35,13 +38,17 @@ def compare_pairs(iterations: DataFrame, pairs: DataFrame) -> Comparison:
     used = iterations.join(sides, ["dataset", "engine"], "left_semi")
     summary = query_summary(used).join(pairs, "dataset")
     paired = c.pivot_runs(summary, F.col("prev_engine"), F.col("new_engine"))
-    queries = c.compare_queries(paired)
+    queries = cut(c.compare_queries(paired), "compared")
     return Comparison(pairs, queries, c.run_totals(queries), c.pooled_q_errors(used, queries))
 
 
 def query_set_check(stored: DataFrame, manifests: DataFrame, pairs: DataFrame) -> DataFrame:
     """Whether both runs of every pair list the same ids in the same order."""
-    listing = run_listing(stored, manifests).join(pairs, "dataset")
+    return _set_check(run_listing(stored, manifests), pairs)
+
+
+def _set_check(listing: DataFrame, pairs: DataFrame) -> DataFrame:
+    listing = listing.join(pairs, "dataset")
     side = lambda name: listing.where(F.col("engine") == F.col(name)).select("dataset", "position", "id")
     return c.ordered_set_check(side("prev_engine"), side("new_engine"))
 
@@ -56,17 +63,18 @@ def compare_stored(
     """
     sides = pairs.select("dataset", F.explode(F.array("prev_engine", "new_engine")).alias("engine")).distinct()
     stored = iterations.join(sides, ["dataset", "engine"], "left_semi")
-    listed = manifests.join(sides, ["dataset", "engine"], "left_semi")
-    checked = query_set_check(stored, listed, pairs)
+    # One row per listed query, read by the check and by loading.
+    listing = cut(run_listing(stored, manifests.join(sides, ["dataset", "engine"], "left_semi")), "listing")
+    checked = _set_check(listing, pairs)
     if strict:
         message = F.concat(F.lit("Stored query sets differ: "), "dataset", F.lit(" "), "verdict")
         verdict = F.when(F.col("verdict") != "same", F.raise_error(message)).otherwise(F.col("dataset"))
         same = checked.select(verdict.alias("dataset"))
     else:
         same = checked.where(F.col("verdict") == "same").select("dataset")
-    usable = pairs.join(same, "dataset", "left_semi")
-    kept = lambda df: df.join(usable.select("dataset"), "dataset", "left_semi")
-    return compare_pairs(load_results(kept(stored), kept(listed)).drop("position"), usable)
+    usable = cut(pairs.join(same, "dataset", "left_semi"), "pairs")
+    kept = listing.join(usable.select("dataset"), "dataset", "left_semi")
+    return compare_pairs(load_listed(stored, kept).drop("position"), usable)
 
 
 def previous_pairs(manifests: DataFrame, new_engine: str) -> DataFrame:
@@ -91,8 +99,9 @@ def compare_with_previous(
         pairs.select("dataset", F.col("prev_engine").alias("engine")), ["dataset", "engine"], "left_semi"
     )
     before = stored.join(last.select("dataset", "engine").distinct(), ["dataset", "engine"], "left_semi")
+    listing = cut(run_listing(before, last), "listing")
     both = (
-        load_results(before, last)
+        load_listed(before, listing)
         .select(*columns)
         .unionByName(new_iterations.withColumn("engine", F.lit(marker)).select(*columns))
     )

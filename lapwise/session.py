@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the results depend on, plus the ones that keep hot keys spread out.
 # All of them can be changed on a running session.
@@ -59,3 +59,15 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = tempfile.mkdtemp(prefix="lapwise-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, purpose: str) -> DataFrame:
+    """The same rows from a table written to the shared folder.
+
+    For results that several later steps read: they are computed once, survive
+    lost executors, and carry their size for join planning.
+    """
+    spark = df.sparkSession
+    path = work_dir(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -244,7 +244,11 @@ def run_listing(stored: DataFrame, manifests: DataFrame) -> DataFrame:
 
 def load_results(iterations: DataFrame, manifests: DataFrame) -> DataFrame:
     """Iterations of every loadable run with the position of their query; a missing document is an error."""
-    listing = run_listing(iterations, manifests)
+    return load_listed(iterations, run_listing(iterations, manifests))
+
+
+def load_listed(iterations: DataFrame, listing: DataFrame) -> DataFrame:
+    """Iterations of listed queries; a missing document is an error."""
     message = F.concat(F.lit("Manifest references missing result "), F.concat_ws("/", *QUERY_KEY))
     checked = listing.select(
         *[c for c in QUERY_KEY if c != "id"],
