@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from lapwise.functions.binding import let
-
 
 def round_half_up(value: Column) -> Column:
     """Round to a whole number with ties towards positive infinity."""
@@ -27,10 +25,28 @@ def at_least(factor: Column, threshold: float) -> Column:
     return (factor >= F.lit(threshold)) & ~F.isnan(factor)
 
 
-# A double below this has its units exactly; above it there is no fraction.
-_WHOLE = 2.0**53
-# Splitting a fraction at this many bits leaves parts whose products are exact.
-_SPLIT = 2.0**26
+# Bound values: a = |x|, high = its fraction cut at 26 bits, shifted = high in
+# units of the last digit plus a half, units = the rounded fraction.
+_FIXED = """
+x -> CASE
+  WHEN isnan(x) THEN 'NaN'
+  WHEN abs(x) = double('Infinity') THEN if(x < 0, '-Infinity', 'Infinity')
+  WHEN abs(x) >= {whole} THEN concat(if(x < 0, '-', ''), cast(cast(abs(x) AS decimal(38,0)) AS string), '.{zeros}')
+  ELSE concat(if(x < 0, '-', ''),
+    get(transform(array(abs(x)), a ->
+    get(transform(array(floor((a - floor(a)) * {split}) / {split}), high ->
+    get(transform(array(high * {scale}D + 0.5D), shifted ->
+    get(transform(array(floor(shifted)
+                        + if((a - floor(a) - high) * {scale}D >= 1D - (shifted - floor(shifted)), 1, 0)), units ->
+      concat(cast(floor(a) + if(units >= {scale}, 1, 0) AS string), '.',
+             lpad(cast(units % {scale} AS string), {digits}, '0'))
+    ), 0)), 0)), 0)), 0))
+END
+"""
+# A double from 2^53 on has no fraction.
+_WHOLE = "9007199254740992D"
+# Splitting a fraction at 26 bits leaves parts whose products are exact.
+_SPLIT = "67108864D"
 
 
 def to_fixed(value: Column, digits: int) -> Column:
@@ -41,39 +57,6 @@ def to_fixed(value: Column, digits: int) -> Column:
     high and a low part, so scaling either is exact and the low part decides
     what the high part leaves open.
     """
-    scale = 10**digits
-
-    def units(fraction: Column) -> Column:
-        """The fraction in whole units of the last digit, rounded half up."""
-        high = F.floor(fraction * _SPLIT).cast("double") / _SPLIT
-
-        def rounded(h: Column) -> Column:
-            shifted = h * float(scale) + 0.5
-            left_open = 1.0 - (shifted - F.floor(shifted).cast("double"))
-            more = (fraction - h) * float(scale) >= left_open
-            return F.floor(shifted) + more.cast("bigint")
-
-        return let(high, rounded)
-
-    def positive(x: Column) -> Column:
-        whole = F.floor(x)
-        part = let(x - whole.cast("double"), units)
-
-        def text(u: Column) -> Column:
-            carried = whole + (u >= scale).cast("bigint")
-            rest = F.lpad((u % scale).cast("string"), digits, "0")
-            return F.concat(carried.cast("string"), F.lit("."), rest)
-
-        return let(part, text)
-
-    def shown(x: Column) -> Column:
-        sign = F.when(x < 0, "-").otherwise("")
-        large = F.concat(F.abs(x).cast("decimal(38,0)").cast("string"), F.lit("." + "0" * digits))
-        return (
-            F.when(F.isnan(x), "NaN")
-            .when(F.abs(x) == float("inf"), F.concat(sign, F.lit("Infinity")))
-            .when(F.abs(x) >= _WHOLE, F.concat(sign, large))
-            .otherwise(F.concat(sign, let(F.abs(x), positive)))
-        )
-
-    return F.when(value.isNotNull(), let(value.cast("double"), shown))
+    text = _FIXED.format(scale=10**digits, digits=digits, zeros="0" * digits, whole=_WHOLE, split=_SPLIT)
+    shown = F.call_function("transform", F.array(value.cast("double")), F.expr(text))
+    return F.when(value.isNotNull(), F.get(shown, F.lit(0)))

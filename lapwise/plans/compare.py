@@ -65,14 +65,13 @@ def compare_stored(
     stored = iterations.join(sides, ["dataset", "engine"], "left_semi")
     # One row per listed query, read by the check and by loading.
     listing = cut(run_listing(stored, manifests.join(sides, ["dataset", "engine"], "left_semi")), "listing")
-    checked = _set_check(listing, pairs)
+    checked = cut(_set_check(listing, pairs), "sets")
     if strict:
-        message = F.concat(F.lit("Stored query sets differ: "), "dataset", F.lit(" "), "verdict")
-        verdict = F.when(F.col("verdict") != "same", F.raise_error(message)).otherwise(F.col("dataset"))
-        same = checked.select(verdict.alias("dataset"))
-    else:
-        same = checked.where(F.col("verdict") == "same").select("dataset")
-    usable = cut(pairs.join(same, "dataset", "left_semi"), "pairs")
+        bad = checked.where("verdict <> 'same'").limit(5).collect()
+        if bad:
+            names = ", ".join(f"{row['dataset']} ({row['verdict']})" for row in bad)
+            raise ValueError(f"Stored query sets differ: {names}")
+    usable = pairs.join(checked.where("verdict = 'same'"), "dataset", "left_semi")
     kept = listing.join(usable.select("dataset"), "dataset", "left_semi")
     return compare_pairs(load_listed(stored, kept).drop("position"), usable)
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lapwise.operators.ordering import natural_positions
+from lapwise.session import cut
 
 RUN_KEY = ("dataset", "engine")
 QUERY_KEY = ("dataset", "engine", "id")
 # Rows of one document; a longer list continues in the next part.
 DOCUMENT_ROWS = 10_000
+# Offending rows named in an error.
+_SHOWN = 5
 
 _ITERATION = T.StructType(
     [
@@ -244,18 +247,16 @@ def run_listing(stored: DataFrame, manifests: DataFrame) -> DataFrame:
 
 def load_results(iterations: DataFrame, manifests: DataFrame) -> DataFrame:
     """Iterations of every loadable run with the position of their query; a missing document is an error."""
-    return load_listed(iterations, run_listing(iterations, manifests))
+    return load_listed(iterations, cut(run_listing(iterations, manifests), "listing"))
 
 
 def load_listed(iterations: DataFrame, listing: DataFrame) -> DataFrame:
-    """Iterations of listed queries; a missing document is an error."""
-    message = F.concat(F.lit("Manifest references missing result "), F.concat_ws("/", *QUERY_KEY))
-    checked = listing.select(
-        *[c for c in QUERY_KEY if c != "id"],
-        F.when(F.col("missing"), F.raise_error(message)).otherwise(F.col("id")).alias("id"),
-        "position",
-    )
-    return checked.join(iterations, [*QUERY_KEY])
+    """Iterations of listed queries, once none of their documents is missing."""
+    missing = listing.where("missing").limit(_SHOWN).collect()
+    if missing:
+        names = ", ".join("/".join(row[k] for k in QUERY_KEY) for row in missing)
+        raise ValueError(f"Manifest references missing result(s): {names}")
+    return listing.select(*QUERY_KEY, "position").join(iterations, [*QUERY_KEY])
 
 
 def missing_results(stored: DataFrame, manifests: DataFrame) -> DataFrame:
