@@ -250,7 +250,9 @@ def comparison_lines(
     errors = q_error_lines(q_errors, pairs).select(
         "dataset", "section", F.lit(None).cast("string").alias("id"), "line"
     )
-    every = pairs.select("dataset").join(totals, "dataset", "left").na.fill(0).select(
+    every = pairs.select("dataset").join(totals, "dataset", "left").na.fill(
+        0, ["prev_time", "new_time", "prev_tasks", "new_tasks"]
+    ).select(
         "dataset",
         "prev_time",
         "new_time",
