@@ -15,7 +15,12 @@ INSTANCE_TYPE = r"^[a-z][a-z0-9-]{0,19}\.[a-z0-9-]{1,20}\z"
 NODE_COUNT = r"^[1-9][0-9]*\z"
 USAGE = "Expected `benchmarks run <suite>/<variant>... [--instance-type <type>] [--nodes <count>]`."
 # Unicode white space; the regex class of the JVM alone covers ASCII only.
-SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+_SPACES = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+SPACE, WORD = f"[{_SPACES}]", f"[^{_SPACES}]+"
+
+# The first non-blank line, trimmed; and a line that is a command.
+FIRST_LINE = f"(?s)\\A{SPACE}*([^\\n]*?){SPACE}*(?:\\n|\\z)"
+COMMAND = f"\\Abenchmarks{SPACE}+run(?:{SPACE}|\\z)"
 
 
 def parse_commands(comments: DataFrame, body: str = "body") -> DataFrame:
@@ -24,24 +29,19 @@ def parse_commands(comments: DataFrame, body: str = "body") -> DataFrame:
     Only the first non-blank line counts.  Dataset words run up to the first
     option word; the first failing check decides the reply.
     """
-    strip = lambda text: F.regexp_replace(text, f"^{SPACE}+|{SPACE}+\\z", "")
-    lines = F.filter(F.transform(F.split(F.col(body), "\n"), strip), lambda line: line != "")
-    words = F.split(F.get(lines, F.lit(0)), f"{SPACE}+")
+    line = F.col("_line")
+    first_line = F.regexp_extract(F.col(body), FIRST_LINE, 1)
+    # Anything but a command ends here: without words all later steps are null.
+    # The words are extracted, as splitting would compile its pattern per row.
+    words = F.when(line.rlike(COMMAND), F.regexp_extract_all(line, F.lit(WORD), F.lit(0)))
     rest = F.col("_rest")
     found = F.array_position(F.transform(rest, lambda word: word.startswith("--")), True).cast("int")
     count = F.when(found == 0, F.size(rest)).otherwise(found - 1)
 
     staged = (
-        comments.withColumn("_words", words)
-        .withColumn(
-            "_command",
-            F.coalesce((F.get("_words", F.lit(0)) == "benchmarks") & (F.get("_words", F.lit(1)) == "run"), F.lit(False)),
-        )
-        .withColumn(
-            "_rest",
-            F.when(F.col("_command"), F.slice("_words", 3, F.greatest(F.size("_words") - 2, F.lit(0))))
-            .otherwise(F.array().cast("array<string>")),
-        )
+        comments.withColumn("_line", first_line)
+        .withColumn("_words", words)
+        .withColumn("_rest", F.slice("_words", 3, F.greatest(F.size("_words") - 2, F.lit(0))))
         .withColumn("_count", count)
         .withColumn("_datasets", F.slice("_rest", F.lit(1), F.col("_count")))
         .withColumn("_options", F.slice("_rest", F.col("_count") + 1, F.size("_rest") - F.col("_count")))
@@ -49,15 +49,15 @@ def parse_commands(comments: DataFrame, body: str = "body") -> DataFrame:
         .withColumn("_values", F.filter("_options", lambda _, i: i % 2 == 1))
         .withColumn("_instance", _option("--instance-type", DEFAULT_INSTANCE_TYPE))
         .withColumn("_nodes", _option("--nodes", str(DEFAULT_NODES)))
-        .withColumn("_message", _first_complaint())
+        .withColumn("_message", F.when(F.col("_words").isNotNull(), _first_complaint()))
     )
     kind = (
-        F.when(~F.col("_command"), "none").when(F.col("_message").isNotNull(), "invalid").otherwise("request")
+        F.when(F.col("_words").isNull(), "none").when(F.col("_message").isNotNull(), "invalid").otherwise("request")
     )
     requested = lambda column: F.when(F.col("_kind") == "request", column)
     parsed = F.struct(
         F.col("_kind").alias("kind"),
-        F.when(F.col("_command"), F.col("_message")).alias("message"),
+        F.col("_message").alias("message"),
         requested(F.col("_datasets")).alias("datasets"),
         requested(F.col("_instance")).alias("instance_type"),
         requested(F.col("_nodes").try_cast("bigint")).alias("nodes"),

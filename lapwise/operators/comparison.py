@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lapwise.functions.numbers import at_least, ratio, to_fixed
 from lapwise.functions.text import pad_start
 from lapwise.operators.iterations import failed
-from lapwise.operators.median import HOT_GROUP_ROWS, exact_median
+from lapwise.operators.median import exact_median
 from lapwise.operators.ordering import natural_order
+from lapwise.operators.skew import HOT_GROUP_ROWS
 
 # Factors from which a change is highlighted, and report marks.
 QUERY_THRESHOLD = 1.5

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lapwise.functions.numbers import round_half_up
-from lapwise.operators.median import HOT_GROUP_ROWS, hot_groups, narrowed_median
+from lapwise.operators.median import narrowed_median
 from lapwise.operators.numbering import number_rows
+from lapwise.operators.skew import HOT_GROUP_ROWS, hot_groups
 
 QUERY_KEY = ("dataset", "engine", "id")
 

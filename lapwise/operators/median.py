@@ -6,8 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Groups with more values than this are not held in one aggregation buffer.
-HOT_GROUP_ROWS = 1_000_000
+from lapwise.operators.skew import HOT_GROUP_ROWS, hot_groups
 
 # Buckets per power of two in the first pass, and per bucket in later passes.
 _STEPS_PER_OCTAVE = 64
@@ -16,17 +15,6 @@ _SPLITS = 65_536
 _LOG_SHIFT = 1_100
 
 
-def hot_groups(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_GROUP_ROWS) -> DataFrame | None:
-    """Keys holding more than ``hot_rows`` rows, or None if there are none.
-
-    One map-side combined count that reads the keys only.  It decides the plan:
-    ordinary data never pays for the narrowing passes of hot groups.
-    """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.where(F.col("_n") > hot_rows).select(*keys)
-    return None if hot.isEmpty() else hot
-
-
 def exact_median(
     rows: DataFrame, keys: Sequence[str], value: str, name: str = "median", hot_rows: int = HOT_GROUP_ROWS
 ) -> DataFrame:

@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lapwise.operators.skew import HOT_GROUP_ROWS, hot_groups
+from lapwise.session import cut
+
 
 def number_rows(
     df: DataFrame,
@@ -14,20 +17,32 @@ def number_rows(
     order: Sequence[str | Column],
     name: str = "position",
     start: int = 1,
+    hot_rows: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """``row_number`` per ``keys`` in the order ``slices + order``.
 
-    A plain window puts a whole group into one task.  Here a group is cut into
-    ordered slices: the rows of a slice are numbered on their own and shifted
-    by the size of the slices before it.  Slice sizes come from a map-side
-    combined count, so no task ever sees more than one slice of a group.
+    Groups of ordinary size take a plain window.  It would put a hot group into
+    one task, so that is cut into ordered slices: the rows of a slice are
+    numbered on their own and shifted by the size of the slices before it,
+    which a map-side combined count yields.  Where the given slices leave one
+    too large, the rows are range-partitioned by their order instead and the
+    ranges, written once, become the slices.
     """
-    slice_names = [f"_slice{i}" for i in range(len(slices))]
-    cut = [F.col(s) if isinstance(s, str) else s for s in slices]
-    rows = df.select("*", *[c.alias(n) for c, n in zip(cut, slice_names)])
-    group = [*keys, *slice_names]
+    if hot_groups(df, keys, hot_rows) is None:
+        plain = Window.partitionBy(*keys).orderBy(*slices, *order)
+        return df.withColumn(name, (F.row_number().over(plain) - (1 - start)).cast("bigint"))
+    names = [f"_slice{i}" for i in range(len(slices))]
+    cuts = [F.col(s) if isinstance(s, str) else s for s in slices]
+    rows = df.select("*", *[c.alias(n) for c, n in zip(cuts, names)])
+    if hot_groups(rows, [*keys, *names], hot_rows) is not None:
+        places = [*keys, *names, *order]
+        ranges = rows.repartitionByRange(*places).withColumn("_range", F.spark_partition_id())
+        # Ranges are sampled, so they are fixed by writing them before use.
+        rows = cut(ranges.drop(*names), "ranges")
+        order, names = [*cuts, *order], ["_range"]
 
-    before = Window.partitionBy(*keys).orderBy(*slice_names).rowsBetween(Window.unboundedPreceding, -1)
+    group = [*keys, *names]
+    before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy(*group)
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -37,7 +52,7 @@ def number_rows(
     return (
         rows.join(offsets, group)
         .withColumn(name, F.row_number().over(within) + F.col("_offset") - F.lit(1 - start).cast("bigint"))
-        .drop(*slice_names, "_offset")
+        .drop(*names, "_offset")
     )
 
 

@@ -24,7 +24,7 @@ def natural_positions(ids: DataFrame, keys: Sequence[str], query: str = "id", na
     """Position of every id within its group, from 1.
 
     Slices are the numbers themselves, so even a group with very many ids is
-    never ordered in one task.
+    not ordered in one task.
     """
     number = query_number(query)
     return number_rows(

@@ -1,0 +1,21 @@
+"""Detection of groups too large for one task."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, functions as F
+
+# Groups with more rows than this are never sorted or buffered in one task.
+HOT_GROUP_ROWS = 100_000
+
+
+def hot_groups(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_GROUP_ROWS) -> DataFrame | None:
+    """Keys holding more than ``hot_rows`` rows, or None if there are none.
+
+    One map-side combined count that reads the keys only.  It decides the plan:
+    ordinary data never pays for the detour that hot groups take.
+    """
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.where(F.col("_n") > hot_rows).select(*keys)
+    return None if hot.isEmpty() else hot

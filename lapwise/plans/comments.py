@@ -11,6 +11,7 @@ from lapwise.operators.comments import (
     attach_revisions,
     retry_delay,
 )
+from lapwise.session import cut
 
 # Outcomes after which a comment is looked at again; all others settle it.
 UNSETTLED = ("retry", "waiting")
@@ -60,6 +61,9 @@ def process_comments(
         .when(candidate, "request")
         .otherwise(F.col("outcome")),
     ).withColumn("_attempt", F.when(failing, attempt).cast("bigint"))
+    # Admission reads the requests twice and the outcome everything once more:
+    # parsing and look-ups are done once, for all of them.
+    staged = cut(staged, "staged")
 
     requests = staged.where(F.col("_stage") == "request").select(
         "queue", F.col("login").alias("requested_by"), "comment_id", F.col("updated_at").alias("arrived_at")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lapwise.operators.report import multi_dataset_report, report_texts, result_message
+from lapwise.operators.numbering import first_rows
+from lapwise.operators.report import MESSAGE_LIMIT, multi_dataset_report, report_texts, result_message
 from lapwise.operators.timings import pair_timings, phase_totals
 from lapwise.plans.compare import Comparison
 
+# Phase lines take more than 16 characters each.
+MESSAGE_PHASES = MESSAGE_LIMIT // 16
+
 
 def job_comparisons(jobs: DataFrame, comparison: Comparison) -> DataFrame:
     """Comparison text of every job, its datasets in request order.
@@ -43,8 +47,9 @@ def result_reports(
     jobs: DataFrame, comparison: Comparison, timings: DataFrame, site: str, build_target: str = "worker"
 ) -> DataFrame:
     """The final message of every job."""
-    # A job has one phase per dataset it names, which its command bounds.
-    phases = pair_timings(timings).groupBy("job_id").agg(
+    # A message that overflows keeps its end, which this many lines fill.
+    shown = first_rows(pair_timings(timings), ["job_id"], [F.col("pos").desc()], MESSAGE_PHASES, "_back")
+    phases = shown.groupBy("job_id").agg(
         F.sort_array(F.collect_list(F.struct("pos", "dataset", "base_ms", "head_ms"))).alias("phases")
     )
     texts = job_comparisons(jobs, comparison)
@@ -53,7 +58,7 @@ def result_reports(
         .join(phases.withColumnRenamed("job_id", "id"), "id", "left")
         .join(phase_totals(timings).withColumnRenamed("job_id", "id").drop("phases"), "id", "left")
         .withColumn("comparison", F.coalesce("comparison", F.lit("")))
-        .withColumn("phases", F.coalesce("phases", F.expr("cast(array() as array<struct<pos:bigint,dataset:string,base_ms:double,head_ms:double>>)")))
+        .withColumn("phases", F.coalesce("phases", F.array().cast(phases.schema["phases"].dataType)))
         .fillna(0.0, ["base_ms", "head_ms"])
     )
     return rows.select("id", result_message(site, build_target).alias("message"))

@@ -21,7 +21,7 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Sort-based fallback of percentile/collect_list after this many keys per
     # task; the default of 128 makes ordinary per-query aggregation sort.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
 }
 
 

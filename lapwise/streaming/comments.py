@@ -42,13 +42,16 @@ COMMENT_COLUMNS = ["comment_id", "repository", "queue", "login", "issue_url", "b
 def not_seen(comments: DataFrame, seen: DataFrame) -> DataFrame:
     """Comments whose id was never seen.
 
-    The seen log grows forever while a batch stays small, so the log is reduced
-    to the ids of the batch first: its side of that join is only streamed past,
-    and whichever side is small is the one Spark may broadcast by size.
+    The seen log grows forever while a batch stays small.  The log is cut to
+    the id range of the batch, which skips the files of other ranges by their
+    statistics since ids rise over time, and then to the ids themselves.
     """
     ids = comments.select("comment_id").distinct()
-    hits = seen.select("comment_id").join(ids, "comment_id", "left_semi").distinct()
-    return comments.join(hits, "comment_id", "left_anti")
+    low, high = ids.agg(F.min("comment_id"), F.max("comment_id")).head()
+    if low is None:
+        return comments
+    hits = seen.select("comment_id").where(F.col("comment_id").between(low, high)).join(ids, "comment_id", "left_semi")
+    return comments.join(hits.distinct(), "comment_id", "left_anti")
 
 
 def dedupe_batch(log: BatchLog) -> Callable[[DataFrame, int], None]:

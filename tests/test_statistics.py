@@ -152,13 +152,14 @@ def test_natural_order(spark):
     assert rows(natural_positions(data, ["dataset"]), "position", "id") == [(1, "q2"), (2, "q2a"), (3, "q10"), (4, "z")]
 
 
-def test_numbering_equals_a_window(spark):
+@pytest.mark.parametrize("hot_rows", [100_000, 20])
+def test_numbering_equals_a_window(spark, hot_rows):
     rng = random.Random(1)
     data = spark.createDataFrame(
         [("hot" if rng.random() < 0.7 else f"k{rng.randint(0, 5)}", rng.randint(0, 500), i) for i in range(2000)],
         "k string, t bigint, seq bigint",
     )
-    numbered = number_rows(data, ["k"], [F.floor(F.col("t") / 50)], ["t", "seq"], "n", start=0)
+    numbered = number_rows(data, ["k"], [F.floor(F.col("t") / 50)], ["t", "seq"], "n", start=0, hot_rows=hot_rows)
     plain = data.selectExpr("k", "t", "seq", "cast(row_number() OVER (PARTITION BY k ORDER BY t, seq) - 1 AS bigint) AS n")
     assert rows(numbered, "k", "t", "seq", "n") == rows(plain)
 
