@@ -59,16 +59,11 @@ judged AS (
   FROM totals)"""
 
 
-def rounded_totals(totals: DataFrame) -> DataFrame:
-    """Sums of averages depend on their order in the last digits."""
-    return totals.withColumns({c: F.round(c, 6) for c in ("prev_tasks", "new_tasks")})
-
-
 @query("run_totals", f"""
 WITH {COMPARED}, {TOTALS} SELECT *, factor >= 1.1 AND NOT isnan(factor) AS highlighted FROM judged
 """)
 def run_totals(fx: Fixtures) -> DataFrame:
-    return rounded_totals(comparison.run_totals(compared(fx)))
+    return comparison.run_totals(compared(fx))
 
 
 @query("sum_tasks", """
@@ -219,7 +214,55 @@ def pairs(fx: Fixtures) -> DataFrame:
     )
 
 
-@query("comparison_lines")
+def fixed_text(x: str, digits: int) -> str:
+    """Fixed-point text; an exact tie goes up, where printf goes to the even digit."""
+    parts, half = {1: (4, 0.05), 2: (8, 0.005)}[digits]
+    tie = f"({x}) * {parts} = floor(({x}) * {parts}) AND CAST(({x}) * {parts} AS BIGINT) % 2 <> 0"
+    return f"CASE WHEN {tie} THEN printf('%.{digits}f', ({x}) + {half}) ELSE printf('%.{digits}f', ({x})) END"
+
+
+def _padded(x: str, width: int) -> str:
+    return f"CASE WHEN length({x}) >= {width} THEN {x} ELSE lpad({x}, {width}, ' ') END"
+
+
+def _task_text(prev: str, new: str) -> str:
+    delta = f"abs({new} - {prev})"
+    return (
+        f"'prev=' || {fixed_text(prev, 1)} || ', new=' || {fixed_text(new, 1)} || ', diff=' || "
+        f"CASE WHEN {new} = {prev} THEN 'no change' WHEN {prev} = 0 THEN {fixed_text(new, 1)} || ' more' "
+        f"ELSE {fixed_text(delta, 1)} || CASE WHEN {new} < {prev} THEN ' fewer (' ELSE ' more (' END "
+        f"|| {fixed_text(f'{delta} / {prev} * 100', 1)} || '%)' END"
+    )
+
+
+def _marked(kind: str, threshold: float) -> str:
+    return (
+        f"CASE WHEN {kind} = 'faster' THEN CASE WHEN factor >= {threshold} THEN '✅' ELSE '✔' END "
+        f"ELSE CASE WHEN factor >= {threshold} THEN '❌' ELSE '✖' END END"
+    )
+
+
+_Q_ERROR = lambda engine: f"coalesce(max({fixed_text('q_error', 2)} || 'x') FILTER (engine = '{engine}'), 'n/a')"
+LINES = f"""{COMPARED}, {POOLED}, {TOTALS}, texts AS (
+  SELECT dataset, 0 AS section, CAST(NULL AS VARCHAR) AS id,
+         '=== Comparing ' || dataset || ' results ''base'' [prev] with ''head'' [new] ===' AS line FROM totals
+  UNION ALL SELECT dataset, 1, id, CASE outcome
+    WHEN 'recovered' THEN id || ': Previously failed, but now succeeded 🟠'
+    WHEN 'newly_failed' THEN id || ': Previously succeeded, but now failed ❌'
+    WHEN 'still_failing' THEN id || ': Previously failed, and now also failed ❌'
+    ELSE {_padded('id', 8)} || ': prev=' || {_padded('CAST(prev_p50 AS VARCHAR)', 4)} || ' ms, new='
+      || {_padded('CAST(new_p50 AS VARCHAR)', 4)} || ' ms, diff=' || {fixed_text('factor', 2)} || ' ' || outcome || ' '
+      || {_marked('outcome', 1.5)} || CASE WHEN prev_tasks IS NULL OR new_tasks IS NULL THEN ''
+         ELSE ', tasks: ' || {_task_text('prev_tasks', 'new_tasks')} END END FROM compared
+  UNION ALL SELECT dataset, CASE statistic WHEN 'p50' THEN 2 ELSE 3 END, NULL,
+         'QERR ' || upper(statistic) || ': prev=' || {_Q_ERROR('base')} || ', new=' || {_Q_ERROR('head')}
+  FROM pooled GROUP BY dataset, statistic
+  UNION ALL SELECT dataset, 4, NULL, '   TASKS: ' || {_task_text('prev_tasks', 'new_tasks')} || ' (sum of per-query averages)' FROM judged
+  UNION ALL SELECT dataset, 5, NULL, '   TOTAL: prev=' || prev_time || ' ms, new=' || new_time || ' ms, diff='
+         || {fixed_text('factor', 2)} || ' ' || direction || ' ' || {_marked('direction', 1.1)} FROM judged)"""
+
+
+@query("comparison_lines", f"WITH {LINES} SELECT * FROM texts")
 def comparison_lines(fx: Fixtures) -> DataFrame:
     lines = compare_pairs(fx.iteration_records(), pairs(fx)).lines()
     return lines.orderBy(*comparison.line_order())
@@ -248,6 +291,6 @@ def comparison_lines_numeric(fx: Fixtures) -> DataFrame:
     )
 
 
-@query("to_fixed")
+@query("to_fixed", f"SELECT event_id, {fixed_text('value / 8', 2)} AS text FROM events")
 def fixed(fx: Fixtures) -> DataFrame:
     return fx.table("events").select("event_id", to_fixed(F.col("value") / 8, 2).alias("text"))

@@ -8,7 +8,6 @@ from lapwise.contract.base import micros, query
 from lapwise.fixtures import Fixtures
 from lapwise.operators import catalog
 from lapwise.operators.ordering import natural_positions
-from lapwise.plans.compare import compare_pairs
 from lapwise.session import work_dir
 from lapwise.sources import corpus, feed, results, sinks, tables
 
@@ -347,14 +346,3 @@ def allow_list(fx: Fixtures) -> DataFrame:
         F.when(F.col("comment_id") % 10 == 0, F.concat(F.lit("  "), "login", F.lit(" \r"))).otherwise(F.col("login")).alias("value")
     )
     return feed.allow_list(lines.unionByName(fx.comments().select(F.lit("  ").alias("value"))))
-
-
-@query("report_sink")
-def report_sink(fx: Fixtures) -> DataFrame:
-    path = work_dir(fx.spark, "report")
-    iterations = fx.iteration_records()
-    pairs = iterations.select("dataset").distinct().select(
-        "dataset", F.lit("base").alias("prev_engine"), F.lit("head").alias("new_engine")
-    )
-    sinks.write_report(compare_pairs(iterations, pairs).lines(), path)
-    return fx.spark.read.text(path).select("dataset", F.col("value").alias("line"))

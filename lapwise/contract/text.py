@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from lapwise.contract.aggregates import LINES
 from lapwise.contract.base import query
 from lapwise.contract.ordering import pairs, report_jobs
 from lapwise.contract.predicates import EXPECTED_COMMANDS
+from lapwise.contract.scans import NATURAL
 from lapwise.fixtures import Fixtures
 from lapwise.functions import names, sqltext, text
 from lapwise.functions.commands import parse_commands
 from lapwise.operators import jobs, report, statements
 from lapwise.plans.compare import compare_pairs
 from lapwise.plans.job_report import job_comparisons, result_reports
+from lapwise.session import work_dir
+from lapwise.sources.sinks import write_report
 
 SITE = "https://example.org"
 
@@ -151,7 +155,26 @@ def report_links(fx: Fixtures) -> DataFrame:
     )
 
 
-@query("split_report_blocks")
+@query("report_sink", f"WITH {LINES} SELECT dataset, line FROM texts")
+def report_sink(fx: Fixtures) -> DataFrame:
+    path = work_dir(fx.spark, "report")
+    write_report(compare_pairs(fx.iteration_records(), pairs(fx)).lines(), path)
+    return fx.spark.read.text(path).select("dataset", F.col("value").alias("line"))
+
+
+# Reports of the jobs from the lines: the summary of a block and its details.
+BLOCKS = f"""{LINES}, parts AS (
+  SELECT dataset, string_agg(ltrim(line), chr(10) ORDER BY section) FILTER (section IN (0, 4, 5)) AS summary,
+         coalesce(string_agg(line, chr(10) ORDER BY section, {NATURAL.format('id')}) FILTER (section IN (1, 2, 3)), '') AS details
+  FROM texts GROUP BY 1),
+wanted AS (SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 2 = 0 THEN [0, 2] ELSE [4, 1, 3] END AS ns FROM orders),
+placed AS (SELECT job_id, CAST(u.place - 1 AS INTEGER) AS block,
+                  'ev/' || ['click', 'error', 'purchase', 'signup', 'view'][(job_id + ns[u.place]) % 5 + 1] AS dataset
+           FROM wanted, unnest(generate_series(1, len(ns))) AS u(place)),
+blocks AS (SELECT job_id, block, p.dataset, summary, details FROM placed p JOIN parts ON parts.dataset = p.dataset)"""
+
+
+@query("split_report_blocks", f"WITH {BLOCKS} SELECT job_id, block, true AS structured, summary, details FROM blocks")
 def split_report_blocks(fx: Fixtures) -> DataFrame:
     texts = job_comparisons(report_jobs(fx), compare_pairs(fx.iteration_records(), pairs(fx)))
     return report.split_report_blocks(texts, ["job_id"], "comparison").select(
@@ -190,7 +213,50 @@ def finished_jobs(fx: Fixtures) -> DataFrame:
     )
 
 
-@query("render_report")
+_DURATION = """CASE WHEN {0} < 60 THEN {0} || 's' WHEN {0} < 3600 THEN ({0} // 60) || 'm ' || ({0} % 60) || 's'
+  ELSE ({0} // 3600) || 'h ' || ({0} // 60 % 60) || 'm ' || ({0} % 60) || 's' END"""
+_SECONDS = "CAST(floor(({0}) / 1000.0 + 0.5) AS BIGINT)"
+_NL = "chr(10)"
+
+
+def _shown(milliseconds: str) -> str:
+    return _DURATION.format("(" + _SECONDS.format(milliseconds) + ")")
+
+
+def _commit(column: str) -> str:
+    return f"'{SITE}/o/r/commit/' || {column}"
+
+
+# Timings cover the orders that have lines; the comparison is short enough to be shown whole.
+_RENDERED = f"""{BLOCKS},
+shown AS (SELECT job_id, string_agg('<pre>' || summary || '</pre>' || {_NL} || {_NL} || '<details>' || {_NL}
+    || '<summary>Show full query output</summary>' || {_NL} || {_NL} || '<pre>' || details || '</pre>' || {_NL} || {_NL} || '</details>',
+    {_NL} || {_NL} ORDER BY block) AS comparison, string_agg('`' || dataset || '`', ', ' ORDER BY block) AS names FROM blocks GROUP BY 1),
+paired AS (SELECT job_id, pos, coalesce(max(dataset) FILTER (side = 'base'), max(dataset)) AS dataset,
+    coalesce(max(duration_ms) FILTER (side = 'base'), 0.0) AS base_ms, coalesce(max(duration_ms) FILTER (side = 'head'), 0.0) AS head_ms
+    FROM fx_timings GROUP BY 1, 2),
+phases AS (SELECT job_id, string_agg('| Benchmark `' || dataset || '` | ' || {_shown('base_ms')} || ' | ' || {_shown('head_ms')} || ' |', {_NL} ORDER BY pos) AS rows
+    FROM paired GROUP BY 1),
+sums AS (SELECT job_id, CAST(coalesce(sum(CAST(duration_ms AS DECIMAL(18,3))) FILTER (side = 'base'), 0) AS DOUBLE) AS base_ms,
+    CAST(coalesce(sum(CAST(duration_ms AS DECIMAL(18,3))) FILTER (side = 'head'), 0) AS DOUBLE) AS head_ms FROM fx_timings GROUP BY 1),
+keyed AS (SELECT s.*, substr(md5('b' || s.job_id) || md5(CAST(s.job_id AS VARCHAR)), 1, 40) AS base_sha,
+    substr(md5('h' || s.job_id) || md5(CAST(s.job_id AS VARCHAR)), 1, 40) AS head_sha,
+    coalesce(p.rows, '') AS rows, coalesce(t.base_ms, 0.0) AS base_ms, coalesce(t.head_ms, 0.0) AS head_ms
+    FROM shown s LEFT JOIN phases p ON p.job_id = s.job_id LEFT JOIN sums t ON t.job_id = s.job_id)
+SELECT job_id AS id, 'Requested by [this comment](https://example.org/o/r/pull/' || job_id || '#issuecomment-' || job_id || ').'
+  || {_NL} || {_NL} || '## Benchmark results' || {_NL} || {_NL} || '**Compared:** [Base `' || substr(base_sha, 1, 12) || '`](' || {_commit('base_sha')}
+  || ') → [PR head `' || substr(head_sha, 1, 12) || '`](' || {_commit('head_sha')} || ') · [View exact source diff]({SITE}/o/r/compare/' || base_sha || '...' || head_sha || ')'
+  || {_NL} || {_NL} || comparison || {_NL} || {_NL} || '<details>' || {_NL} || '<summary>Verification and run details</summary>' || {_NL} || {_NL} || 'Job `' || job_id
+  || '` captured both immutable revisions when the request was queued. The bot fetched and checked out each full commit SHA in detached HEAD, then built and deployed the `worker` target from that checkout.'
+  || {_NL} || {_NL} || '| Identity | Base | PR head |' || {_NL} || '| --- | --- | --- |' || {_NL} || '| Source commit | [`' || base_sha || '`](' || {_commit('base_sha')} || ') | [`' || head_sha || '`](' || {_commit('head_sha')} || ') |'
+  || {_NL} || {_NL} || '| Phase | Base | PR head |' || {_NL} || '| --- | ---: | ---: |' || {_NL} || '| Build and deployment | ' || {_shown('job_id * 10')} || ' | ' || {_shown('job_id * 11')} || ' |'
+  || {_NL} || '| All benchmarks | ' || {_shown('base_ms')} || ' | ' || {_shown('head_ms')} || ' |' || {_NL} || rows || {_NL} || {_NL} || '**Workload:** ' || names
+  || ' · all queries · 1 warmup + 5 measured iterations per query' || {_NL} || {_NL} || '**Capacity:** 12 `c5n.2xlarge` nodes for both revisions' || {_NL} || {_NL}
+  || '**Other timings:** Queue ' || {_shown('job_id * 3')} || ' · Dataset validation 2s · Total ' || {_shown('job_id * 100')} || {_NL} || {_NL} || '</details>' AS message
+FROM keyed"""
+
+
+@query("render_report", f"WITH {_RENDERED}")
 def render_report(fx: Fixtures) -> DataFrame:
     comparison = compare_pairs(fx.iteration_records(), pairs(fx))
     return result_reports(finished_jobs(fx), comparison, fx.timings(), SITE)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lapwise.contract.aggregates import TOTALS, rounded_totals
+from lapwise.contract.aggregates import TOTALS
 from lapwise.contract.base import query
 from lapwise.contract.joins import COMPARED
 from lapwise.contract.ordering import pairs, report_jobs
@@ -153,7 +153,13 @@ def run_view_query(fx: Fixtures) -> DataFrame:
     )
 
 
-@query("apply_settings")
+@query("apply_settings", """
+SELECT l_returnflag, l_linestatus, count(*) AS count_order,
+       'file_scan_config_bytes_per_partition:spark.sql.files.maxPartitionBytes=1048576 '
+       || 'broadcast_joins:spark.sql.autoBroadcastJoinThreshold=-1 partial_reduce:unsupported '
+       || 'target_partitions:spark.sql.shuffle.partitions=5' AS settings
+FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY 1, 2
+""")
 def settings_applied(fx: Fixtures) -> DataFrame:
     """The same aggregation before and after other settings; restores the session's values."""
     names = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.autoBroadcastJoinThreshold")
@@ -184,7 +190,7 @@ SELECT *, factor >= 1.1 AND NOT isnan(factor) AS highlighted FROM judged
 def compare_stored(fx: Fixtures) -> DataFrame:
     # Without manifests a run is all its documents, and both sides hold the same queries.
     empty = manifest_entries(fx).where("false")
-    return rounded_totals(compare.compare_stored(fx.iteration_records(), empty, pairs(fx)).totals)
+    return compare.compare_stored(fx.iteration_records(), empty, pairs(fx)).totals
 
 
 _LISTED_TOTALS = TOTALS.replace("FROM compared)", "FROM compared WHERE id <> 'q7' AND dataset <> 'ev/view')")
@@ -197,7 +203,7 @@ def compare_stored_sets(fx: Fixtures) -> DataFrame:
     """With manifests: stale documents are not compared, and a dataset whose sets differ is left out."""
     manifests = manifest_entries(fx, "id <> 'q7'")
     compared = compare.compare_stored(fx.iteration_records(), manifests, pairs(fx), strict=False)
-    return rounded_totals(compared.totals)
+    return compared.totals
 
 
 @query("compare_with_previous", f"""
@@ -208,7 +214,7 @@ def compare_with_previous(fx: Fixtures) -> DataFrame:
     base = iterations.where("engine = 'base'")
     manifests = manifest_entries(fx, "engine = 'base' AND id <> 'q99'")
     new = iterations.where("engine = 'head'")
-    return rounded_totals(compare.compare_with_previous(base, manifests, new, "head").totals)
+    return compare.compare_with_previous(base, manifests, new, "head").totals
 
 
 @query("base_head_report", f"""

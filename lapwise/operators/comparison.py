@@ -117,8 +117,9 @@ def run_totals(compared: DataFrame, keys: Sequence[str] = ("dataset",)) -> DataF
         F.count_if(timed).alias("timed"),
         total("prev_time", timed, 0).cast("bigint").alias("prev_time"),
         total("new_time", timed, 0).cast("bigint").alias("new_time"),
-        total("prev_tasks", tasked, 0.0).alias("prev_tasks"),
-        total("new_tasks", tasked, 0.0).alias("new_tasks"),
+        # Rounded, as a sum of doubles depends on their order in its last digits.
+        F.round(total("prev_tasks", tasked, 0.0), 6).alias("prev_tasks"),
+        F.round(total("new_tasks", tasked, 0.0), 6).alias("new_tasks"),
     )
     prev, now = F.col("prev_time"), F.col("new_time")
     factor = change_factor(prev, now)
