@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lapwise.operators.numbering import first_rows
+from lapwise.session import cut
 
 # Active jobs per queue and per requester.
 QUEUE_LIMIT = 20
@@ -48,6 +49,8 @@ def admit_requests(
         .where(F.col("_place") <= places)
         .select("queue", "comment_id", "arrived_at", (F.col("_place") == places).alias("_last"))
     )
+    # At most ``queue_limit`` rows per queue, read twice below.
+    admitted = cut(admitted, "admitted")
     # The last admitted request closes the queue; without free places it was never open.
     closing = admitted.where("_last").select(
         "queue", F.struct("arrived_at", "comment_id").alias("_closed_after")

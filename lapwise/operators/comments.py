@@ -104,13 +104,12 @@ def settled_watermark(comments: DataFrame, current: DataFrame, polled_at: Column
     with one row per repository; the feed is never ordered.
     """
     place = F.struct(F.col("updated_at"), F.col("comment_id"))
-    per_feed = comments.groupBy("repository").agg(
-        F.min(F.when(~F.col("settled"), place)).alias("_blocked"),
-    )
+    # Only unsettled rows, a small share of a feed, are compared by two columns.
+    blocked = comments.where(~F.col("settled")).groupBy("repository").agg(F.min(place).alias("_blocked"))
     prefix = F.col("settled") & (F.col("_blocked").isNull() | (place < F.col("_blocked")))
     overlap = F.make_dt_interval(secs=F.lit(SCAN_OVERLAP_SECONDS))
     reached = (
-        comments.join(per_feed, "repository")
+        comments.join(blocked, "repository", "left")
         .groupBy("repository")
         .agg(
             F.max(F.when(prefix, F.col("updated_at"))).alias("_newest"),

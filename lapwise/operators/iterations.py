@@ -76,8 +76,10 @@ def average_tasks(iterations: DataFrame, keys: Sequence[str] = QUERY_KEY) -> Dat
 
 def first_errors(iterations: DataFrame, keys: Sequence[str] = QUERY_KEY, order: str = "iteration") -> DataFrame:
     """First non-empty error text of every query, null if it never failed."""
-    first = F.min(F.when(failed(), F.struct(F.col(order).alias("_order"), F.col("error"))))
-    return iterations.groupBy(*keys).agg(first["error"].alias("first_error"))
+    # Texts are compared among failed iterations only; all others are just counted.
+    first = F.min(F.struct(F.col(order).alias("_order"), F.col("error")))
+    errors = iterations.where(failed()).groupBy(*keys).agg(first["error"].alias("first_error"))
+    return iterations.select(*keys).distinct().join(errors, [*keys], "left")
 
 
 def sum_tasks(iterations: DataFrame, keys: Sequence[str] = ("dataset", "engine")) -> DataFrame:

@@ -65,7 +65,7 @@ def split_report_blocks(reports: DataFrame, keys: Sequence[str], text: str = "re
 
 
 def _trim(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def _preformatted(value: Column, limit: Column) -> Column:
@@ -219,13 +219,17 @@ def report_texts(lines: DataFrame, keys: Sequence[str] = ("dataset",)) -> DataFr
     )
 
 
+def trimmed_texts(texts: DataFrame) -> DataFrame:
+    """Texts (``report``) without surrounding blanks, and none that is blank."""
+    return texts.withColumn("report", _trim(F.col("report"))).where(F.col("report") != "")
+
+
 def multi_dataset_report(texts: DataFrame, key: str = "job_id") -> DataFrame:
-    """Texts of a job's datasets in request order, blank ones dropped, a blank line between.
+    """Trimmed texts of a job's datasets in request order, a blank line between.
 
     ``texts`` has ``dataset_pos`` and ``report``; a command names its datasets
     in one comment, which bounds the list.
     """
-    kept = texts.withColumn("report", _trim(F.col("report"))).where(F.col("report") != "")
     ordered = F.sort_array(F.collect_list(F.struct("dataset_pos", "report")))
     joined = F.array_join(F.transform(ordered, lambda e: e["report"]), "\n\n")
-    return kept.groupBy(key).agg(joined.alias("comparison"), F.count(F.lit(1)).alias("blocks"))
+    return texts.groupBy(key).agg(joined.alias("comparison"), F.count(F.lit(1)).alias("blocks"))

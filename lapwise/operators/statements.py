@@ -27,14 +27,16 @@ def fold_statements(pages: DataFrame) -> DataFrame:
     read = pages.select("*", reported.alias("_reported"))
     if "error" not in pages.columns:
         read = read.withColumn("error", F.lit(None).cast("string"))
-    latest = lambda value, when: F.max(F.when(when, F.struct("page", value)))
+    latest = lambda value: F.max_by(value, F.when(F.col(value).isNotNull(), F.col("page")))
     folded = read.groupBy("statement_id").agg(
-        latest("plan", F.col("plan").isNotNull()).alias("_plan"),
-        latest("_reported", F.col("_reported").isNotNull()).alias("_set"),
-        latest("elapsed_ms", F.col("elapsed_ms").isNotNull()).alias("_elapsed"),
-        F.min(F.when(F.col("error").isNotNull(), F.struct("page", "error"))).alias("_error"),
+        latest("plan").alias("plan"),
+        latest("_reported").alias("_set"),
+        latest("elapsed_ms").alias("_elapsed"),
+        F.min_by("error", F.when(F.col("error").isNotNull(), F.col("page"))).alias("error"),
     )
-    marks = folded.select("statement_id", F.coalesce(F.col("_set.page"), F.lit(-1)).alias("_from"))
+    # Page numbers alone fit a hash aggregation, unlike the texts above.
+    reporting = F.max(F.when(F.col("_reported").isNotNull(), F.col("page")))
+    marks = read.groupBy("statement_id").agg(F.coalesce(reporting, F.lit(-1)).alias("_from"))
     added = (
         pages.where(F.col("plan").isNull() & F.col("data_rows").isNotNull())
         .select("statement_id", "page", "data_rows")
@@ -43,11 +45,11 @@ def fold_statements(pages: DataFrame) -> DataFrame:
         .groupBy("statement_id")
         .agg(F.sum("data_rows").alias("_added"))
     )
-    rows = F.coalesce(F.col("_set._reported"), F.lit(0)) + F.coalesce("_added", F.lit(0))
+    rows = F.coalesce("_set", F.lit(0)) + F.coalesce("_added", F.lit(0))
     return folded.join(added, "statement_id", "left").select(
         "statement_id",
-        F.coalesce(F.col("_plan.plan"), F.lit("")).alias("plan"),
+        F.coalesce("plan", F.lit("")).alias("plan"),
         rows.cast("bigint").alias("row_count"),
-        F.coalesce(F.col("_elapsed.elapsed_ms"), F.lit(0)).cast("bigint").alias("elapsed_ms"),
-        F.col("_error.error").alias("error"),
+        F.coalesce("_elapsed", F.lit(0)).cast("bigint").alias("elapsed_ms"),
+        "error",
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lapwise.operators.numbering import first_rows
-from lapwise.operators.report import MESSAGE_LIMIT, multi_dataset_report, report_texts, result_message
+from lapwise.operators.report import MESSAGE_LIMIT, multi_dataset_report, report_texts, result_message, trimmed_texts
 from lapwise.operators.timings import pair_timings, phase_totals
 from lapwise.plans.compare import Comparison
 
@@ -19,7 +19,7 @@ def job_comparisons(jobs: DataFrame, comparison: Comparison) -> DataFrame:
     Each dataset's text is made once and joined to the jobs that ask for it.
     """
     requested = jobs.select(F.col("id").alias("job_id"), F.posexplode("datasets").alias("dataset_pos", "dataset"))
-    texts = report_texts(comparison.lines())
+    texts = trimmed_texts(report_texts(comparison.lines()))
     return multi_dataset_report(requested.join(texts, "dataset"))
 
 
