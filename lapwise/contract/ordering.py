@@ -58,8 +58,8 @@ def admit_requests(fx: Fixtures) -> DataFrame:
 @query("admit_requests_busy", """
 WITH requests AS (
   SELECT queue, login AS requested_by, comment_id, updated_at FROM fx_comments WHERE comment_id % 12 IN (0, 1, 2, 10)),
-active AS (SELECT id % 41 AS queue, requested_by, count(*) AS n FROM fx_jobs
-           WHERE status IN ('pending', 'running') AND id % 16 = 0 GROUP BY 1, 2),
+active AS (SELECT id // 12 AS queue, requested_by, count(*) AS n FROM fx_jobs
+           WHERE status IN ('pending', 'running') GROUP BY 1, 2),
 full_queues AS (SELECT queue, sum(n) AS n FROM active GROUP BY 1),
 ranked AS (SELECT r.*, row_number() OVER (PARTITION BY r.queue, r.requested_by ORDER BY updated_at, comment_id) <= 3 - coalesce(a.n, 0) AS candidate
            FROM requests r LEFT JOIN active a ON a.queue = r.queue AND a.requested_by = r.requested_by),
@@ -73,7 +73,7 @@ def admit_requests_busy(fx: Fixtures) -> DataFrame:
     requests = parse_commands(fx.comments()).where("kind = 'request'").select(
         "queue", F.col("login").alias("requested_by"), "comment_id", F.col("updated_at").alias("arrived_at")
     )
-    busy = fx.jobs().where(F.col("id") % 16 == 0).withColumn("queue", F.col("id") % 41)
+    busy = fx.jobs().withColumn("queue", F.floor(F.col("id") / 12))
     return admission.admit_requests(requests, admission.active_by_requester(busy)).select(
         "queue", "comment_id", "decision"
     )

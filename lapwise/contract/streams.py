@@ -63,8 +63,14 @@ def _processor(fx: Fixtures, polls: list[datetime]) -> CommentProcessor:
     )
 
 
+# A stream starts without seen comments and jobs.
+FRESH = PROCESSED.replace("p.comment_id % 13 = 0 OR j.comment_id IS NOT NULL", "j.comment_id IS NOT NULL").replace(
+    "FROM fx_jobs) j", "FROM fx_jobs WHERE false) j"
+)
+
+
 @query("stream_admission", f"""
-WITH {PROCESSED.replace("p.comment_id % 13 = 0 OR j.comment_id IS NOT NULL", "j.comment_id IS NOT NULL").replace("WHERE id % 5 = 0", "WHERE false")}
+WITH {FRESH}
 SELECT comment_id, decided AS outcome FROM final
 """)
 def stream_admission(fx: Fixtures) -> DataFrame:
@@ -77,9 +83,9 @@ def stream_admission(fx: Fixtures) -> DataFrame:
 
 
 @query("stream_retry", f"""
-WITH {PROCESSED.replace("p.comment_id % 13 = 0 OR j.comment_id IS NOT NULL", "j.comment_id IS NOT NULL").replace("WHERE id % 5 = 0", "WHERE false")},
+WITH {FRESH},
 failing AS (SELECT comment_id, CASE WHEN comment_id < (SELECT max(event_id) / 3 FROM events) THEN 0
-                        WHEN comment_id < (SELECT 2 * max(event_id) / 3 FROM events) THEN 1 ELSE 2 END AS page
+                        WHEN comment_id < (SELECT 2 * (max(event_id) / 3) FROM events) THEN 1 ELSE 2 END AS page
             FROM final WHERE decided = 'retry')
 SELECT comment_id, CAST(n AS BIGINT) AS attempt, CASE WHEN n = 3 THEN 'dropped' ELSE 'retry' END AS outcome,
        CASE WHEN n < 3 THEN epoch_us(TIMESTAMP '2024-02-01 00:00:00')
@@ -90,10 +96,9 @@ def stream_retry(fx: Fixtures) -> DataFrame:
     """Three polls: comments whose look-up keeps failing are retried, and dropped after the third time."""
     landing, checkpoint = work_dir(fx.spark, "landing"), work_dir(fx.spark, "checkpoint")
     comments = fx.comments()
-    third = comments.agg((F.max("comment_id") / 3).alias("third"))
-    page = F.when(F.col("comment_id") < F.col("third"), 0).when(F.col("comment_id") < 2 * F.col("third"), 1).otherwise(2)
-    # The cross join is with the one row of a global aggregate.
-    paged = comments.crossJoin(F.broadcast(third)).withColumn("page", page).drop("third")
+    third = comments.agg(F.max("comment_id")).head()[0] / 3
+    page = F.when(F.col("comment_id") < third, 0).when(F.col("comment_id") < 2 * third, 1).otherwise(2)
+    paged = comments.withColumn("page", page)
     processor = _processor(fx, [FIRST_POLL + timedelta(seconds=s) for s in (0, 60, 300)])
     for number in range(3):
         land_comments(paged.where(F.col("page") == number).drop("page"), landing)

@@ -8,7 +8,7 @@ from lapwise.contract.aggregates import TOTALS
 from lapwise.contract.base import query
 from lapwise.contract.joins import COMPARED
 from lapwise.contract.ordering import pairs, report_jobs
-from lapwise.contract.predicates import ELIGIBLE
+from lapwise.contract.predicates import ELIGIBLE, sparse_jobs
 from lapwise.contract.scans import manifest_entries
 from lapwise.fixtures import Fixtures
 from lapwise.plans import compare, suite
@@ -255,7 +255,7 @@ SELECT comment_id, decided AS outcome, {_REPLY} AS reply, decided <> 'retry' AS
 """)
 def process(fx: Fixtures) -> DataFrame:
     outcomes = process_comments(
-        fx.comments(), fx.seen(), fx.jobs().where(F.col("id") % 5 == 0), fx.allow_list(), fx.pull_requests(),
+        fx.comments(), fx.seen(), sparse_jobs(fx), fx.allow_list(), fx.pull_requests(),
         fx.spark.createDataFrame([], "queue bigint, requested_by string, active bigint"),
         fx.spark.createDataFrame([], "comment_id bigint, attempts bigint, next_attempt_at timestamp"),
         F.lit("2024-02-01 00:00:00").cast("timestamp"),

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from lapwise.fixtures import Fixtures
 from lapwise.functions.numbers import at_least, ratio, round_half_up, to_fixed
 from lapwise.operators import comparison as c
 from lapwise.operators.iterations import first_errors, query_summary, sum_tasks
@@ -101,6 +102,14 @@ def test_summary_rules(spark):
     assert dict(rows(first_errors(data), "id", "first_error"))["even"] == "x"
 
 
+def test_summary_of_hot_queries(spark, sf_dir):
+    data = Fixtures(spark, sf_dir).iteration_records()
+    ordinary = rows(query_summary(data))
+    assert rows(query_summary(data, hot_rows=4)) == ordinary
+    pooled = lambda hot_rows: rows(exact_median(data, ["dataset", "engine"], "stats_q_error_p95", hot_rows=hot_rows))
+    assert pooled(10) == pooled(100_000)
+
+
 @pytest.mark.parametrize("hot_rows", [1_000_000, 5, 0])
 def test_median_of_hot_groups(spark, hot_rows):
     rng = random.Random(3)

@@ -1,8 +1,11 @@
 """Running a corpus."""
 
+from types import SimpleNamespace
+
 import pytest
 
 from conftest import rows
+from lapwise import session
 from lapwise.plans import suite
 from lapwise.plans.suite import Measurement, run_suite
 
@@ -64,3 +67,14 @@ def test_views_are_dropped(spark):
     sql = "create view v1 (a) as select 1; select * from v1; drop view v1;"
     assert suite.execute(spark, sql).row_count == 1
     assert not spark.catalog.tableExists("v1")
+
+
+def test_work_folders(spark):
+    assert session.work_dir(spark, "x") != session.work_dir(spark, "x")
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: "/shared/"))
+    assert session.work_dir(cluster, "x").startswith("/shared/x-")
+    bare = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(master="yarn")
+    )
+    with pytest.raises(ValueError, match="shared folder"):
+        session.work_dir(bare, "x")
