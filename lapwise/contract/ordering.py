@@ -13,6 +13,7 @@ from lapwise.operators import admission, catalog, comments, iterations, jobs, ru
 from lapwise.operators.ordering import natural_positions
 from lapwise.plans.compare import compare_pairs
 from lapwise.plans.job_report import job_comparisons
+from lapwise.session import cut
 
 POLLED_AT = "2024-02-01 00:00:00"
 
@@ -42,15 +43,24 @@ counted AS (SELECT *, coalesce(sum(CASE WHEN r <= 3 THEN 1 ELSE 0 END) OVER (PAR
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ranked)"""
 
 
+def parsed_requests(fx: Fixtures) -> DataFrame:
+    """The requests among the comments, parsed once as admission reads them twice."""
+    requests = parse_commands(fx.comments()).where("kind = 'request'")
+    return cut(
+        requests.select(
+            "queue", F.col("login").alias("requested_by"), "comment_id", F.col("updated_at").alias("arrived_at")
+        ),
+        "requests",
+    )
+
+
 @query("admit_requests", f"""
 WITH {ADMITTED}
 SELECT queue, comment_id, requested_by, CASE WHEN before >= 20 THEN 'queue_full' WHEN r > 3 THEN 'requester_limit' ELSE 'admitted' END AS decision
 FROM counted
 """)
 def admit_requests(fx: Fixtures) -> DataFrame:
-    requests = parse_commands(fx.comments()).where("kind = 'request'").select(
-        "queue", F.col("login").alias("requested_by"), "comment_id", F.col("updated_at").alias("arrived_at")
-    )
+    requests = parsed_requests(fx)
     active = fx.spark.createDataFrame([], "queue bigint, requested_by string, active bigint")
     return admission.admit_requests(requests, active).select("queue", "comment_id", "requested_by", "decision")
 
@@ -70,9 +80,7 @@ FROM counted c LEFT JOIN full_queues f ON f.queue = c.queue
 """)
 def admit_requests_busy(fx: Fixtures) -> DataFrame:
     """The same against queues that hold active jobs already."""
-    requests = parse_commands(fx.comments()).where("kind = 'request'").select(
-        "queue", F.col("login").alias("requested_by"), "comment_id", F.col("updated_at").alias("arrived_at")
-    )
+    requests = parsed_requests(fx)
     busy = fx.jobs().withColumn("queue", F.floor(F.col("id") / 12))
     return admission.admit_requests(requests, admission.active_by_requester(busy)).select(
         "queue", "comment_id", "decision"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from lapwise.contract.aggregates import TOTALS
@@ -93,8 +95,10 @@ SELECT s_suppkey, s_name, total_revenue FROM supplier JOIN revenue0 ON s_suppkey
 WHERE total_revenue = (SELECT max(total_revenue) FROM revenue0) ORDER BY s_suppkey"""
 
 
-def _register(fx: Fixtures) -> None:
-    register_tables(fx.spark, {t: table_path(fx.sf_dir, t) for t in TABLES})
+def _register(fx: Fixtures, *texts: str) -> None:
+    """Register the tables that the texts name."""
+    used = [t for t in TABLES if any(re.search(rf"\b{t}\b", text) for text in texts)]
+    register_tables(fx.spark, {t: table_path(fx.sf_dir, t) for t in used})
 
 
 def _as_text(sql: str) -> str:
@@ -105,7 +109,7 @@ def _as_text(sql: str) -> str:
 def _corpus_query(id: str, sql: str) -> None:
     @query(f"tpch_{id}", _as_text(sql))
     def build(fx: Fixtures) -> DataFrame:
-        _register(fx)
+        _register(fx, sql)
         result = fx.spark.sql(suite.prepare(sql)[0])
         if "o_orderdate" in result.columns:
             result = result.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
@@ -120,7 +124,7 @@ for _id, _sql in CORPUS.items():
 @query("tpch_q15", Q15_SINGLE)
 def tpch_q15(fx: Fixtures) -> DataFrame:
     """The view query: create, select, and the view stays only as long as the plan needs it."""
-    _register(fx)
+    _register(fx, CORPUS["q15"])
     create, select, drop = suite.prepare(CORPUS["q15"])
     fx.spark.sql(create)
     result = fx.spark.sql(select)
@@ -137,7 +141,7 @@ _RUN_ORACLE = f"{_COUNTS} UNION ALL SELECT 'broken', 0, true"
 
 @query("run_suite", _RUN_ORACLE)
 def run_suite(fx: Fixtures) -> DataFrame:
-    _register(fx)
+    _register(fx, *CORPUS.values())
     corpus = [*CORPUS.items(), ("broken", "SELECT no_such_column FROM lineitem")]
     measured = suite.run_suite(fx.spark, corpus, "tpch/made", "lapwise", iterations=1, warmup=False)
     return measured.select("id", "row_count", F.col("error").isNotNull().alias("failed"))
@@ -145,7 +149,7 @@ def run_suite(fx: Fixtures) -> DataFrame:
 
 @query("run_view_query", f"SELECT count(*) AS row_count, true AS timed, true AS planned FROM ({Q15_SINGLE}) q")
 def run_view_query(fx: Fixtures) -> DataFrame:
-    _register(fx)
+    _register(fx, CORPUS["q15"])
     measured = suite.run_suite(fx.spark, [("q15", CORPUS["q15"])], "tpch/made", "lapwise", iterations=1, warmup=True)
     return measured.select(
         "row_count", ((F.col("elapsed") > 0) & (F.col("tasks") > 0)).alias("timed"),
@@ -170,7 +174,7 @@ def settings_applied(fx: Fixtures) -> DataFrame:
     }
     report = apply_settings(fx.spark, options)
     try:
-        _register(fx)
+        _register(fx, CORPUS["q1"])
         counted = fx.spark.sql(CORPUS["q1"])
         counted = counted.select("l_returnflag", "l_linestatus", "count_order")
         rows = counted.withColumn("settings", F.lit(" ".join(f"{k}:{v}" for k, v in report.items())))
