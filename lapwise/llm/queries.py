@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lapwise.llm.bpe import digests
+from lapwise.llm.decontamination import WINDOW, decontaminate
+from lapwise.llm.language_id import identify, learn
 from lapwise.llm.licenses import LEAST_SHARE, TEMPLATES, scan_licenses
 from lapwise.llm.line_dedup import line_dedup
+from lapwise.llm.quality_classifier import quality_classifier
 from lapwise.llm.quality_rules import quality_rules
 from lapwise.llm.registry import ORACLES, QUERIES, query  # noqa: F401
+from lapwise.llm.simhash import near_duplicates
+from lapwise.llm.token_files import token_files
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 @query("op1_quality_rules")
@@ -17,16 +26,31 @@ def op1(table) -> DataFrame:
     return judged.select("row.doc_id", *[f"m.{c}" for c in counts], "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
+@query("op2_language_id")
+def op2(table) -> DataFrame:
+    documents = table("documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    learning = documents.where(~held_out & F.col("lang").isNotNull()).select(F.col("doc_id").alias("id"), "text", "lang")
+    predicted = identify(documents, learn(learning))
+    return predicted.withColumnRenamed("id", "doc_id").select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
+@query("op3_token_files")
+def op3(table) -> DataFrame:
+    return token_files(table("documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def _licenses_sql() -> str:
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     rows = ",\n".join(
         f"('{t.label}', {str(t.base).lower()}, {quoted(t.words)}, {t.key_start}, {quoted(t.key)})" for t in TEMPLATES
     )
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return rf"""
 WITH template(label, base, words, key_start, phrase) AS (VALUES {rows}),
 doc AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'),
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'),
          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 place AS (
   SELECT doc_id, w, label, base, words, key_start, unnest(range(0, len(w))) AS pos, phrase
@@ -71,6 +95,55 @@ def op4(table) -> DataFrame:
     )
 
 
+@query("op5_quality_classifier")
+def op5(table) -> DataFrame:
+    labels = table("labels").select(F.col("doc_id").alias("id"), (F.col("quality") > 0).cast("int").alias("good"))
+    # The documents name a source; its language editions are the paths below it.
+    judged = quality_classifier(table("documents"), labels, (F.col("source"), F.col("lang")))
+    measures = [F.round(c, 6).alias(c) for c in ("evidence", "host_quality", "path_quality", "quality")]
+    return judged.select(F.col("id").alias("doc_id"), *measures, "kept")
+
+
+DECONTAMINATION_SQL = rf"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bw AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+item_window AS (
+  SELECT DISTINCT item_id, array_to_string(w[i : i + {WINDOW} - 1], ' ') AS s, least(len(w), {WINDOW}) AS size
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - {WINDOW} + 1, 1) + 1)) AS i FROM bw WHERE len(w) > 0)),
+doc_window AS (
+  SELECT doc_id, i, size, array_to_string(w[i : i + size - 1], ' ') AS s
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i
+        FROM dw CROSS JOIN (SELECT DISTINCT size FROM item_window) WHERE len(w) >= size)),
+found AS (SELECT doc_id, i, size, item_id FROM doc_window JOIN item_window USING (s, size)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM found) GROUP BY doc_id),
+item AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id)
+"""
+
+
+@query("op6_decontamination", DECONTAMINATION_SQL)
+def op6(table) -> DataFrame:
+    searched = decontaminate(table("documents").select("doc_id", "text"), table("benchmark"))
+    n_hit = F.aggregate("hits", F.lit(0), lambda total, h: total + h["last"] - h["first"] + 1).cast("bigint")
+    return searched.select(
+        "row.doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("hits") > 0).alias("contaminated"),
+    )
+
+
 LINE_DEDUP_SQL = r"""
 WITH lines AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
@@ -121,3 +194,16 @@ def op7(table) -> DataFrame:
     deduped = line_dedup(table("documents"))
     kept = F.sha2(F.coalesce("kept", F.lit("")), 256)
     return deduped.select("row.doc_id", "n_lines", "n_removed", "n_spans", kept.alias("kept_sha256"))
+
+
+@query("op8_simhash")
+def op8(table) -> DataFrame:
+    digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
+    found = near_duplicates(table("documents"))
+    return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query("op10_bpe")
+def op10(table) -> DataFrame:
+    encoded = digests(table("documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return encoded.withColumnRenamed("id", "doc_id")
