@@ -14,6 +14,7 @@ from lapwise.llm.quality_classifier import quality_classifier
 from lapwise.llm.quality_rules import quality_rules
 from lapwise.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from lapwise.llm.simhash import near_duplicates
+from lapwise.llm.substring_dedup import LENGTH, sha256_of_kept, substring_dedup
 from lapwise.llm.token_files import token_files
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -203,6 +204,35 @@ def op8(table) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+# Bytes as two hexadecimal digits each.
+SUBSTRING_DEDUP_SQL = f"""
+WITH doc AS (
+  SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS digits FROM documents),
+string AS (
+  SELECT doc_id, p, substr(digits, 2 * p + 1, 2 * {LENGTH}) AS s
+  FROM (SELECT doc_id, digits, unnest(range(0, len(digits) // 2 - {LENGTH} + 1)) AS p FROM doc WHERE len(digits) >= 2 * {LENGTH})),
+first AS (SELECT s, min(doc_id) AS first_id FROM string GROUP BY s),
+repeated AS (SELECT doc_id, p FROM string JOIN first USING (s) WHERE doc_id > first_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + {LENGTH})) AS b FROM repeated),
+runs AS (
+  SELECT doc_id, count(*) AS n_removed, count(*) FILTER (before IS NULL OR before < b - 1) AS n_spans
+  FROM (SELECT doc_id, b, lag(b) OVER (PARTITION BY doc_id ORDER BY b) AS before FROM gone) GROUP BY doc_id),
+bytes AS (SELECT doc_id, digits, unnest(range(0, len(digits) // 2)) AS b FROM doc WHERE doc_id IN (SELECT doc_id FROM runs)),
+kept AS (
+  SELECT doc_id, string_agg(substr(digits, 2 * b + 1, 2), '' ORDER BY b) AS digits
+  FROM bytes ANTI JOIN gone USING (doc_id, b) GROUP BY doc_id)
+SELECT doc.doc_id, CAST(len(doc.digits) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN runs.doc_id IS NULL THEN doc.digits ELSE coalesce(kept.digits, '') END)) AS kept_sha256
+FROM doc LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op9_substring_dedup", SUBSTRING_DEDUP_SQL)
+def op9(table) -> DataFrame:
+    return sha256_of_kept(substring_dedup(table("documents"))).withColumnRenamed("id", "doc_id")
+
+
 @query("op10_bpe")
 def op10(table) -> DataFrame:
     encoded = digests(table("documents"), public_tokenizers.path("byte_bpe_50k.json"))
