@@ -11,7 +11,6 @@ from lapwise.functions.text import pad_start
 from lapwise.operators.iterations import failed
 from lapwise.operators.median import exact_median
 from lapwise.operators.ordering import natural_order
-from lapwise.operators.skew import HOT_GROUP_ROWS
 
 # Factors from which a change is highlighted, and report marks.
 QUERY_THRESHOLD = 1.5
@@ -132,12 +131,11 @@ def run_totals(compared: DataFrame, keys: Sequence[str] = ("dataset",)) -> DataF
 
 
 def pooled_q_errors(
-    iterations: DataFrame, compared: DataFrame, keys: Sequence[str] = ("dataset", "engine"),
-    hot_rows: int = HOT_GROUP_ROWS,
+    iterations: DataFrame, compared: DataFrame, keys: Sequence[str] = ("dataset", "engine")
 ) -> DataFrame:
     """Median q-errors of a run, pooled over all iterations of the queries timed on both sides.
 
-    A pool spans a whole run, so its median is the narrowed one for large runs.
+    A pool spans a whole run; its median is found between bounds, never by gathering the pool.
     """
     timed = compared.where(F.col("prev_time").isNotNull() & F.col("new_time").isNotNull())
     pooled = iterations.join(timed.select("dataset", "id"), ["dataset", "id"], "left_semi")
@@ -146,7 +144,7 @@ def pooled_q_errors(
         F.lit("p50"), F.col("stats_q_error_p50"),
         F.lit("p95"), F.col("stats_q_error_p95"),
     ).alias("statistic", "value"))
-    return exact_median(values, [*keys, "statistic"], "value", "q_error", hot_rows)
+    return exact_median(values, [*keys, "statistic"], "value", "q_error")
 
 
 def ordered_set_check(base: DataFrame, head: DataFrame) -> DataFrame:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lapwise.functions.numbers import round_half_up
-from lapwise.operators.median import narrowed_median
+from lapwise.operators.median import median_bounds, median_within
 from lapwise.operators.numbering import number_rows
-from lapwise.operators.skew import HOT_GROUP_ROWS, hot_groups
 
 QUERY_KEY = ("dataset", "engine", "id")
 
@@ -24,35 +24,30 @@ def successful_iterations(iterations: DataFrame) -> DataFrame:
     return iterations.where(~failed())
 
 
-def query_summary(
-    iterations: DataFrame, keys: Sequence[str] = QUERY_KEY, hot_rows: int = HOT_GROUP_ROWS
-) -> DataFrame:
+def query_summary(iterations: DataFrame, keys: Sequence[str] = QUERY_KEY) -> DataFrame:
     """One row per query of a run: counts, median, representative time and average tasks.
 
     ``p50`` skips failed iterations and is 0 without any success;
-    ``representative`` is null as soon as one iteration failed.  All measures
-    come from one aggregation; only the medians of hot queries are computed
-    apart (see ``exact_median``).
+    ``representative`` is null as soon as one iteration failed.  One pass yields
+    all measures but the median, which takes a second one between the bounds
+    that the first has found (see ``exact_median``).
     """
     keys = list(keys)
-    rows = iterations.select(*keys, "elapsed", "tasks", failed().alias("_failed"))
     ok = ~F.col("_failed")
-    hot = hot_groups(rows.where(ok), keys, hot_rows)
-    if hot is None:
-        timed, rest = ok, rows
-    else:
-        timed, rest = ok & F.col("_hot").isNull(), rows.join(hot.withColumn("_hot", F.lit(True)), keys, "left")
-    summary = rest.groupBy(*keys).agg(
+    timed = F.when(ok, F.col("elapsed").cast("double"))
+    rows = iterations.select(*keys, "elapsed", "tasks", failed().alias("_failed")).withColumn("_v", timed)
+    measures = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("iterations"),
         F.count_if(ok).alias("successes"),
         F.bool_or("_failed").alias("failed"),
-        F.percentile(F.when(timed, F.col("elapsed")), 0.5).alias("_median"),
         _mean_tasks(ok).alias("average_tasks"),
+        *median_bounds(F.col("_v")),
     )
+    medians = median_within(rows.select(*keys, "_v"), measures, keys, "_median")
+    named = medians.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_median")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    summary = measures.join(named, same, "left")
     median = F.col("_median")
-    if hot is not None:
-        summary = summary.join(narrowed_median(rows.where(ok), keys, "elapsed", hot, "_hot_median"), keys, "left")
-        median = F.coalesce("_median", "_hot_median")
     p50 = round_half_up(F.coalesce(median, F.lit(0.0))).cast("bigint")
     return summary.select(
         *keys,

@@ -3,119 +3,75 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lapwise.operators.skew import HOT_GROUP_ROWS, hot_groups
+# Share of a group on either side of its middle that is counted value by value.  The quantile sketch that
+# bounds it is five times as accurate, and exact for small groups.
+_MARGIN = 2.5e-4
+_SKETCH_ACCURACY = 20_000
+_BOUNDS = ("_n", "_nan", "_low", "_high")
 
-# Buckets per power of two in the first pass, and per bucket in later passes.
-_STEPS_PER_OCTAVE = 64
-_SPLITS = 65_536
-# log2 of a positive double lies in [-1074, 1024].
-_LOG_SHIFT = 1_100
 
+def exact_median(rows: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
+    """Median per group (mean of the two middle values), ignoring nulls; NaN is the largest value.
 
-def exact_median(
-    rows: DataFrame, keys: Sequence[str], value: str, name: str = "median", hot_rows: int = HOT_GROUP_ROWS
-) -> DataFrame:
-    """Median per group (mean of the two middle values), ignoring nulls.
-
-    Ordinary groups use the built-in exact percentile.  Its buffer keeps every
-    distinct value of a group, so hot groups are narrowed down instead.
+    Two passes, the same for every group.  The first takes a mergeable quantile
+    sketch of bounded size, combined before the shuffle: it bounds the middle of
+    the group.  The second counts the rows below, and how often each value
+    within the bounds occurs, and picks the middle ranks from these counts.
     """
-    keys = list(keys)
     rows = rows.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    hot = hot_groups(rows, keys, hot_rows)
-    if hot is None:
-        return rows.groupBy(*keys).agg(F.percentile("_v", 0.5).alias(name))
-    ordinary = rows.join(hot, keys, "left_anti").groupBy(*keys).agg(F.percentile("_v", 0.5).alias(name))
-    return ordinary.unionByName(narrowed_median(rows, keys, "_v", hot, name))
+    bounds = rows.groupBy(*keys).agg(*median_bounds(F.col("_v")))
+    return median_within(rows, bounds, keys, name)
 
 
-def narrowed_median(rows: DataFrame, keys: Sequence[str], value: str, hot: DataFrame, name: str) -> DataFrame:
-    """Median of the ``hot`` groups by counting ordered buckets and keeping only the middle ones.
-
-    Three counting passes (logarithmic, then twice an even split of the middle
-    bucket) leave at most some ten thousand distinct doubles per group, whose
-    counts give the middle values exactly.  Every pass is a map-side combined
-    count with a bounded number of buckets per group.
-    """
-    keys = list(keys)
-    v = F.col("_v")
-    rows = rows.select(*keys, F.col(value).alias("_v"))
-    magnitude = F.floor((F.log2(F.abs(v)) + _LOG_SHIFT) * _STEPS_PER_OCTAVE)
-    sign_bucket = F.when(v > 0, magnitude).when(v < 0, -magnitude).otherwise(F.lit(0))
-
-    first = rows.join(hot, keys, "left_semi").select(*keys, "_v", sign_bucket.cast("bigint").alias("_b"))
-    group = Window.partitionBy(*keys)
-    total = F.sum("_n").over(group)
-    counts = _bucket_counts(first, keys, "_b").select(
-        "*",
-        F.lit(0).cast("bigint").alias("_first"),
-        F.floor((total - 1) / 2).alias("_lower"),
-        F.floor(total / 2).alias("_upper"),
-        F.lit(False).alias("_settled"),
-    )
-    for _ in range(2):
-        counts = _bucket_counts(_within(rows, _middle_range(counts, keys, "_b"), keys), keys, "_b", carried=True)
-    values = _within(rows, _middle_range(counts, keys, "_b"), keys)
-
-    ranked = _ranked(_bucket_counts(values, keys, "_v", carried=True), keys, "_v")
-    hit = lambda rank: ~F.col("_settled") & (F.col("_from") <= F.col(rank)) & (F.col(rank) < F.col("_end"))
-    lower, upper = F.max(F.when(hit("_lower"), v)), F.max(F.when(hit("_upper"), v))
-    return ranked.groupBy(*keys).agg(
-        F.when(F.bool_or("_settled"), 0.5 * F.min("_v") + 0.5 * F.max("_v"))
-        .otherwise(0.5 * lower + 0.5 * upper)
-        .alias(name)
-    )
+def _ordered(v: Column) -> Column:
+    """NaN as Infinity: comparisons of both are plain, and they are told apart by their number."""
+    return F.when(F.isnan(v), F.lit(float("inf"))).otherwise(v)
 
 
-def _bucket_counts(rows: DataFrame, keys: list[str], bucket: str, carried: bool = False) -> DataFrame:
-    measures = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
-    if carried:  # constant within a group
-        measures += [F.any_value(c).alias(c) for c in ("_first", "_lower", "_upper", "_settled")]
-    if bucket == "_v":
-        measures = [m for i, m in enumerate(measures) if i not in (1, 2)]
-    return rows.groupBy(*keys, bucket).agg(*measures)
+def median_bounds(v: Column) -> list[Column]:
+    """Aggregates of the first pass over a value that is null where it does not count."""
+    sketch = F.percentile_approx(_ordered(v), [0.5 - _MARGIN, 0.5 + _MARGIN], _SKETCH_ACCURACY)
+    return [
+        F.count(v).alias("_n"),
+        F.count_if(F.isnan(v)).alias("_nan"),
+        F.get(sketch, F.lit(0)).alias("_low"),
+        F.get(sketch, F.lit(1)).alias("_high"),
+    ]
 
 
-def _ranked(counts: DataFrame, keys: list[str], bucket: str) -> DataFrame:
-    """Add the ranks of each bucket's first row and of the row after its last."""
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    start: Column = F.col("_first") + F.coalesce(F.sum("_n").over(before), F.lit(0))
-    return counts.withColumn("_from", start).withColumn("_end", F.col("_from") + F.col("_n"))
+def _same(keys: Sequence[str], prefix: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys])
 
 
-def _middle_range(counts: DataFrame, keys: list[str], bucket: str) -> DataFrame:
-    """The value range holding both middle rows.
-
-    When they fall into two buckets, the lower one is the largest value of the
-    first and the upper one the smallest of the second: the group is settled.
-    """
-    overlap = (F.col("_from") <= F.col("_upper")) & (F.col("_lower") < F.col("_end"))
-    settled = F.bool_or("_settled") | (F.count(F.lit(1)) > 1)
-    return (
-        _ranked(counts, keys, bucket)
-        .where(F.col("_settled") | overlap)
-        .groupBy(*keys)
-        .agg(
-            F.min("_from").alias("_first"),
-            F.min("_lower").alias("_lower"),
-            F.max("_upper").alias("_upper"),
-            settled.alias("_settled"),
-            F.when(settled, F.min("_hi")).otherwise(F.min("_lo")).alias("_from_value"),
-            F.when(settled, F.max("_lo")).otherwise(F.max("_hi")).alias("_to_value"),
-        )
-    )
-
-
-def _within(rows: DataFrame, middle: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows inside the middle range of their group, split evenly into new buckets."""
-    v, low, high = F.col("_v"), F.col("_from_value"), F.col("_to_value")
-    part = F.when(high > low, (v - low) / (high - low)).otherwise(F.lit(0.0))
-    return (
-        rows.join(middle, keys)
-        .where(v.between(low, high))
-        .withColumn("_b", F.floor(part * _SPLITS).cast("bigint"))
-        .drop("_from_value", "_to_value")
+def median_within(rows: DataFrame, bounds: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """The second pass over ``rows`` (keys and ``_v``) with the aggregates of the first."""
+    keys = list(keys)
+    limits = bounds.where("_n > 0").select(*[F.col(k).alias(f"_key_{k}") for k in keys], *_BOUNDS)
+    w = _ordered(F.col("_v"))
+    # Rows below the bounds are one value, so that they are counted with the others.
+    placed = F.when(w >= F.col("_low"), w)
+    counted = (
+        rows.join(limits, _same(keys, "_key_"))
+        .where(F.col("_v").isNotNull() & (w <= F.col("_high")))
+        .groupBy(*keys, *_BOUNDS, placed.alias("_w"))
+        .agg(F.count(F.lit(1)).alias("_count"))
     )
+    upto = Window.partitionBy(*keys).orderBy(F.col("_w").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("_end", F.sum("_count").over(upto))
+    lower, upper = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    hit = lambda rank: (F.col("_end") - F.col("_count") <= rank) & (rank < F.col("_end"))
+    at = lambda rank: F.max(F.when(hit(rank), _found(F.col("_w"), rank)))
+    middle = ranked.groupBy(*keys).agg(at(lower).alias("_lower"), at(upper).alias("_upper"))
+    outside = F.col("_lower").isNull() | F.col("_upper").isNull()
+    mean = F.when(F.col("_lower") == F.col("_upper"), F.col("_lower")).otherwise(0.5 * F.col("_lower") + 0.5 * F.col("_upper"))
+    failure = F.raise_error(F.lit("The bounds of a median do not hold")).cast("double")
+    return middle.select(*keys, F.when(outside, failure).otherwise(mean).alias(name))
+
+
+def _found(w: Column, rank: Column) -> Column:
+    """The value at a rank; the last ``_nan`` of a group are NaN."""
+    return F.when(rank >= F.col("_n") - F.col("_nan"), F.lit(float("nan"))).otherwise(w)

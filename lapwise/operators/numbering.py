@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lapwise.operators.skew import HOT_GROUP_ROWS, hot_groups
-from lapwise.session import cut
-
 
 def number_rows(
     df: DataFrame,
@@ -17,42 +15,30 @@ def number_rows(
     order: Sequence[str | Column],
     name: str = "position",
     start: int = 1,
-    hot_rows: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """``row_number`` per ``keys`` in the order ``slices + order``.
 
-    Groups of ordinary size take a plain window.  It would put a hot group into
-    one task, so that is cut into ordered slices: the rows of a slice are
-    numbered on their own and shifted by the size of the slices before it,
-    which a map-side combined count yields.  Where the given slices leave one
-    too large, the rows are range-partitioned by their order instead and the
-    ranges, written once, become the slices.
+    A group is never ordered as a whole: the rows of a slice are numbered on
+    their own and shifted by the size of the slices before it, which a count
+    combined before the shuffle yields.  Slices are ordered parts of a group
+    that the caller knows to be small, such as a minute of a run.
     """
-    if hot_groups(df, keys, hot_rows) is None:
-        plain = Window.partitionBy(*keys).orderBy(*slices, *order)
-        return df.withColumn(name, (F.row_number().over(plain) - (1 - start)).cast("bigint"))
     names = [f"_slice{i}" for i in range(len(slices))]
     cuts = [F.col(s) if isinstance(s, str) else s for s in slices]
     rows = df.select("*", *[c.alias(n) for c, n in zip(cuts, names)])
-    if hot_groups(rows, [*keys, *names], hot_rows) is not None:
-        places = [*keys, *names, *order]
-        ranges = rows.repartitionByRange(*places).withColumn("_range", F.spark_partition_id())
-        # Ranges are sampled, so they are fixed by writing them before use.
-        rows = cut(ranges.drop(*names), "ranges")
-        order, names = [*cuts, *order], ["_range"]
-
     group = [*keys, *names]
     before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy(*group)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        .select(*[F.col(g).alias(f"_of{g}") for g in group], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_of{g}")) for g in group])
     within = Window.partitionBy(*group).orderBy(*order)
     return (
-        rows.join(offsets, group)
+        rows.join(offsets, same)
         .withColumn(name, F.row_number().over(within) + F.col("_offset") - F.lit(1 - start).cast("bigint"))
-        .drop(*names, "_offset")
+        .drop(*names, "_offset", *[f"_of{g}" for g in group])
     )
 
 
@@ -61,8 +47,9 @@ def first_rows(
 ) -> DataFrame:
     """The first ``limit`` rows of every group, with their rank.
 
-    The literal limit lets Spark cut every group to ``limit`` rows per task
-    before the shuffle, so a hot group stays small.
+    For limits up to ``spark.sql.optimizer.windowGroupLimitThreshold`` (1,000
+    as a rule) Spark cuts every group to ``limit`` rows in each task before the
+    shuffle, so a hot group stays small.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= F.lit(limit))
