@@ -197,17 +197,6 @@ def task_change(fx: Fixtures) -> DataFrame:
     return comparison.task_change(compared(fx)).select("dataset", "id", "task_direction", "task_delta", "task_percent")
 
 
-@query("q_error_line", f"""
-WITH {COMPARED}, {POOLED}
-SELECT dataset, statistic, max(q_error) FILTER (engine = 'base') AS prev, max(q_error) FILTER (engine = 'head') AS new
-FROM pooled GROUP BY 1, 2
-""")
-def q_error_line(fx: Fixtures) -> DataFrame:
-    pooled = comparison.pooled_q_errors(fx.iteration_records(), compared(fx))
-    side = lambda engine: F.max(F.when(F.col("engine") == engine, F.col("q_error")))
-    return pooled.groupBy("dataset", "statistic").agg(side("base").alias("prev"), side("head").alias("new"))
-
-
 def pairs(fx: Fixtures) -> DataFrame:
     return fx.iteration_records().select("dataset").distinct().select(
         "dataset", F.lit("base").alias("prev_engine"), F.lit("head").alias("new_engine")
@@ -262,6 +251,12 @@ LINES = f"""{COMPARED}, {POOLED}, {TOTALS}, texts AS (
          || {fixed_text('factor', 2)} || ' ' || direction || ' ' || {_marked('direction', 1.1)} FROM judged)"""
 
 
+@query("q_error_line", f"WITH {LINES} SELECT dataset, section, line FROM texts WHERE section IN (2, 3)")
+def q_error_line(fx: Fixtures) -> DataFrame:
+    pooled = comparison.pooled_q_errors(fx.iteration_records(), compared(fx))
+    return comparison.q_error_lines(pooled, pairs(fx))
+
+
 @query("comparison_lines", f"WITH {LINES} SELECT * FROM texts")
 def comparison_lines(fx: Fixtures) -> DataFrame:
     lines = compare_pairs(fx.iteration_records(), pairs(fx)).lines()

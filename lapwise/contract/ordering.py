@@ -11,8 +11,6 @@ from lapwise.fixtures import Fixtures
 from lapwise.functions.commands import parse_commands
 from lapwise.operators import admission, catalog, comments, iterations, jobs, runs
 from lapwise.operators.ordering import natural_positions
-from lapwise.plans.compare import compare_pairs
-from lapwise.plans.job_report import job_comparisons
 from lapwise.session import cut
 
 POLLED_AT = "2024-02-01 00:00:00"
@@ -184,17 +182,3 @@ def pairs(fx: Fixtures) -> DataFrame:
     return fx.iteration_records().select("dataset").distinct().select(
         "dataset", F.lit("base").alias("prev_engine"), F.lit("head").alias("new_engine")
     )
-
-
-@query("multi_dataset_report", """
-SELECT o_orderkey AS job_id, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 3 END AS BIGINT) AS blocks,
-       'ev/' || ['click', 'error', 'purchase', 'signup', 'view'][(o_orderkey + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 4 END) % 5 + 1] AS first_dataset
-FROM orders
-""")
-def multi_dataset_report(fx: Fixtures) -> DataFrame:
-    texts = job_comparisons(report_jobs(fx), compare_pairs(fx.iteration_records(), pairs(fx)))
-    return texts.select(
-        "job_id",
-        F.size(F.regexp_extract_all("comparison", F.lit("(?m)(^=== Comparing )"))).cast("bigint").alias("blocks"),
-        F.regexp_extract("comparison", "^=== Comparing (\\S+) ", 1).alias("first_dataset"),
-    )

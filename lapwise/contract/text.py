@@ -174,6 +174,35 @@ placed AS (SELECT job_id, CAST(u.place - 1 AS INTEGER) AS block,
 blocks AS (SELECT job_id, block, p.dataset, summary, details FROM placed p JOIN parts ON parts.dataset = p.dataset)"""
 
 
+@query("multi_dataset_report", f"""
+WITH {BLOCKS},
+whole AS (SELECT dataset, trim(string_agg(line, chr(10) ORDER BY section, {NATURAL.format('id')})) AS report FROM texts GROUP BY 1)
+SELECT job_id, string_agg(report, chr(10) || chr(10) ORDER BY block) AS comparison, count(*) AS blocks
+FROM blocks JOIN whole USING (dataset) GROUP BY 1
+""")
+def multi_dataset_report(fx: Fixtures) -> DataFrame:
+    return job_comparisons(report_jobs(fx), compare_pairs(fx.iteration_records(), pairs(fx)))
+
+
+# A text that ends in characters of two units each, cut to a size in units.
+_ASTRAL, _ASTRALS, _LIMIT = "🟠", "(doc_id % 40)", "(200 + doc_id % 97)"
+_TAIL = f"({_LIMIT} - {len(text.TRUNCATION_NOTICE)})"
+
+
+@query("truncate_units", f"""
+SELECT doc_id, CASE WHEN length(t) + 2 * k <= {_LIMIT} THEN t || repeat('{_ASTRAL}', CAST(k AS INTEGER))
+  ELSE '{text.TRUNCATION_NOTICE.strip()}' || chr(10) || CASE WHEN {_TAIL} >= 2 * k
+         THEN right(t, CAST({_TAIL} - 2 * k AS INTEGER)) || repeat('{_ASTRAL}', CAST(k AS INTEGER))
+         ELSE CASE WHEN {_TAIL} % 2 = 1 THEN chr(65533) ELSE '' END || repeat('{_ASTRAL}', CAST({_TAIL} // 2 AS INTEGER)) END END AS shown
+FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '?', 'g') AS t, {_ASTRALS} * 4 AS k FROM documents) d
+""")
+def truncate_units(fx: Fixtures) -> DataFrame:
+    ends = F.repeat(F.lit(_ASTRAL), F.expr(f"CAST({_ASTRALS} * 4 AS INT)"))
+    value = F.concat(F.regexp_replace("text", "[^ -~]", "?"), ends)
+    cut = text.truncate_tail(F.col("value"), F.expr(f"CAST({_LIMIT} AS INT)"))
+    return fx.table("documents").withColumn("value", value).select("doc_id", cut.alias("shown"))
+
+
 @query("split_report_blocks", f"WITH {BLOCKS} SELECT job_id, block, true AS structured, summary, details FROM blocks")
 def split_report_blocks(fx: Fixtures) -> DataFrame:
     texts = job_comparisons(report_jobs(fx), compare_pairs(fx.iteration_records(), pairs(fx)))

@@ -16,7 +16,8 @@ from lapwise.fixtures import Fixtures
 from lapwise.plans import compare, suite
 from lapwise.plans.comments import process_comments
 from lapwise.plans.job_report import base_head_report
-from lapwise.plans.settings import apply_settings
+from lapwise.plans.settings import applied_settings
+from lapwise.session import work_dir
 from lapwise.sources.tables import TABLES, register_tables, table_path
 
 MONEY = "CAST({0} AS DECIMAL(15,2))"
@@ -42,7 +43,8 @@ SELECT n_name, {REVENUE} AS revenue
 FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
 JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey
 JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-WHERE r_name = 'ASIA' GROUP BY n_name ORDER BY revenue DESC""",
+WHERE r_name = 'ASIA' AND o_orderdate >= DATE '1997-01-01' AND o_orderdate < DATE '1998-01-01'
+GROUP BY n_name ORDER BY revenue DESC""",
     "q6": f"""
 SELECT CAST(sum({_PRICE} * {_DISCOUNT}) AS DOUBLE) AS revenue FROM lineitem
 WHERE l_shipdate >= DATE '1997-01-01' AND l_shipdate < DATE '1998-01-01'
@@ -52,7 +54,8 @@ SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(year(l_shipdate)
 FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey
 JOIN customer ON c_custkey = o_custkey JOIN nation n1 ON s_nationkey = n1.n_nationkey
 JOIN nation n2 ON c_nationkey = n2.n_nationkey
-WHERE n1.n_regionkey <> n2.n_regionkey
+WHERE (n1.n_name = 'NATION_1' AND n2.n_name = 'NATION_2' OR n1.n_name = 'NATION_2' AND n2.n_name = 'NATION_1')
+  AND l_shipdate >= DATE '1995-01-01' AND l_shipdate < DATE '1997-01-01'
 GROUP BY n1.n_name, n2.n_name, year(l_shipdate) ORDER BY supp_nation, cust_nation, l_year""",
     "q8": f"""
 SELECT CAST(year(o_orderdate) AS BIGINT) AS o_year,
@@ -61,7 +64,8 @@ FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_
 JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 JOIN nation n1 ON c_nationkey = n1.n_nationkey JOIN region ON n1.n_regionkey = r_regionkey
 JOIN nation n2 ON s_nationkey = n2.n_nationkey
-WHERE r_name = 'AMERICA' AND p_type = 'ECONOMY' GROUP BY year(o_orderdate) ORDER BY o_year""",
+WHERE r_name = 'AMERICA' AND o_orderdate >= DATE '1995-01-01' AND o_orderdate < DATE '1997-01-01'
+  AND p_type = 'ECONOMY' GROUP BY year(o_orderdate) ORDER BY o_year""",
     "q10": f"""
 SELECT c_custkey, c_name, {REVENUE} AS revenue, c_acctbal, n_name
 FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
@@ -158,30 +162,30 @@ def run_view_query(fx: Fixtures) -> DataFrame:
 
 
 @query("apply_settings", """
-SELECT l_returnflag, l_linestatus, count(*) AS count_order,
-       'file_scan_config_bytes_per_partition:spark.sql.files.maxPartitionBytes=1048576 '
-       || 'broadcast_joins:spark.sql.autoBroadcastJoinThreshold=-1 partial_reduce:unsupported '
-       || 'target_partitions:spark.sql.shuffle.partitions=5' AS settings
-FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY 1, 2
+SELECT l_orderkey, count(*) AS lines, CAST(5 AS BIGINT) AS partitions, 'SortMergeJoin' AS join_type, '1048576' AS scan_bytes,
+       'unsupported' AS partial_reduce
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey
 """)
 def settings_applied(fx: Fixtures) -> DataFrame:
-    """The same aggregation before and after other settings; restores the session's values."""
-    names = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.autoBroadcastJoinThreshold")
-    before = {name: fx.spark.conf.get(name) for name in names}
+    """A join and an aggregation executed under other settings, with what their execution shows of them."""
+    _register(fx, "lineitem orders")
+    path = work_dir(fx.spark, "settings")
     options = {
         "target_partitions": 5, "file_scan_config_bytes_per_partition": 1 << 20, "broadcast_joins": False,
-        "partial_reduce": True,
+        "dynamic_task_count": False, "partial_reduce": True,
     }
-    report = apply_settings(fx.spark, options)
-    try:
-        _register(fx, CORPUS["q1"])
-        counted = fx.spark.sql(CORPUS["q1"])
-        counted = counted.select("l_returnflag", "l_linestatus", "count_order")
-        rows = counted.withColumn("settings", F.lit(" ".join(f"{k}:{v}" for k, v in report.items())))
-        return rows
-    finally:
-        for name, value in before.items():
-            fx.spark.conf.set(name, value)
+    with applied_settings(fx.spark, options) as report:
+        sql = "SELECT l_orderkey, count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey"
+        plan = fx.spark.sql(f"EXPLAIN FORMATTED {sql}").head()[0]
+        fx.spark.sql(sql).withColumn("partition", F.spark_partition_id()).write.parquet(path)
+        scan_bytes = fx.spark.conf.get("spark.sql.files.maxPartitionBytes")
+    joins = re.findall(r"SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin", plan)
+    written = fx.spark.read.parquet(path)
+    partitions = written.agg(F.countDistinct("partition").alias("partitions"))
+    return written.drop("partition").crossJoin(F.broadcast(partitions)).select(
+        "l_orderkey", "lines", "partitions", F.lit(joins[0]).alias("join_type"),
+        F.lit(scan_bytes.rstrip("b")).alias("scan_bytes"), F.lit(report["partial_reduce"]).alias("partial_reduce"),
+    )
 
 
 # --- comparisons of stored runs -------------------------------------------------

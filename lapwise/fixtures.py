@@ -87,21 +87,23 @@ SELECT conv_id AS statement_id, turn AS page,
 FROM conversations
 """
 
-_LISTING_PATH = """CASE o_custkey % 4 WHEN 0 THEN 'tpch' WHEN 1 THEN 'tpcds' WHEN 2 THEN 'clickbench' ELSE 'adhoc' END
+def _listing_path(part: str) -> str:
+    """Paths of a listing; ``part`` names the files, so that two listings differ by names and not by left-out rows."""
+    return f"""CASE o_custkey % 4 WHEN 0 THEN 'tpch' WHEN 1 THEN 'tpcds' WHEN 2 THEN 'clickbench' ELSE 'adhoc' END
        || CASE WHEN o_orderkey % 50 = 0 AND o_custkey % 4 <> 3 THEN '/queries/q' || CAST(o_orderkey AS STRING) || '.sql'
-               ELSE '/sf' || CAST(o_orderkey % 3 AS STRING) || '/t' || CAST(o_custkey % 20 AS STRING) || '/part-' || CAST(o_orderkey AS STRING)
+               ELSE '/sf' || CAST(o_orderkey % 3 AS STRING) || '/t' || CAST(o_custkey % 20 AS STRING) || '/part-' || {part} || CAST(o_orderkey AS STRING)
                     || CASE WHEN o_custkey % 20 IN (3, 6) AND o_orderkey % 11 = 0 THEN '.csv' ELSE '.parquet' END END"""
 
 LISTING_SOURCE = f"""
-SELECT o_orderkey % 2 AS root_idx, {_LISTING_PATH} AS path,
+SELECT o_orderkey % 2 AS root_idx, {_listing_path("CASE WHEN o_orderkey % 10 = 0 THEN 'new-' ELSE '' END")} AS path,
        o_custkey AS size, o_orderdate AS modified_at
-FROM orders WHERE o_orderkey % 10 <> 0
+FROM orders
 """
 
 LISTING_TARGET = f"""
-SELECT {_LISTING_PATH} AS path,
+SELECT {_listing_path("CASE WHEN o_orderkey % 9 = 0 THEN 'old-' ELSE '' END")} AS path,
        o_custkey + CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE 0 END AS size, o_orderdate AS modified_at
-FROM orders WHERE o_orderkey % 9 <> 0
+FROM orders
 """
 
 JOB_EVENTS = """
@@ -143,13 +145,14 @@ SELECT p_partkey AS worktree_id,
 FROM part
 """
 
-# Pull requests by number, with gaps so that some look-ups fail.
+# Pull requests by number; some have numbers that no comment names, so that look-ups fail.
 PULL_REQUESTS = """
 SELECT repository, number, 'https://example.org/' || repository || '/pull/' || CAST(number AS STRING) AS html_url,
        substring(md5('b' || CAST(number AS STRING)) || md5(c_name), 1, 40) AS base_sha,
        substring(md5('h' || CAST(number AS STRING)) || md5(c_name), 1, 40) AS head_sha
-FROM (SELECT 'o/r' || CAST(c_custkey % 3 AS STRING) AS repository, c_custkey AS number, c_name
-      FROM customer WHERE c_custkey % 17 <> 0) t
+FROM (SELECT 'o/r' || CAST(c_custkey % 3 AS STRING) AS repository,
+             CASE WHEN c_custkey % 17 = 0 THEN -1 - c_custkey ELSE c_custkey END AS number, c_name
+      FROM customer) t
 """
 
 # Failed attempts to handle a comment, with long error texts.

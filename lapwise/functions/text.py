@@ -35,16 +35,48 @@ def html_escape(value: Column) -> Column:
     return value
 
 
-def truncate_tail(value: Column, limit: Column) -> Column:
-    """Keep the end of a text within ``limit`` characters, after a notice."""
+def units(value: Column) -> Column:
+    """Size of a text in UTF-16 units, as the receivers of messages count it."""
+    return F.floor(F.octet_length(F.encode(value, "UTF-16BE")) / 2).cast("int")
+
+
+def tail_units(value: Column, limit: Column) -> Column:
+    """The last ``limit`` UTF-16 units of a text; half of a character that is cut reads as a replacement character."""
+
+    def cut(data: Column) -> Column:
+        tail = F.substring(data, F.greatest(F.lit(1), F.octet_length(data) + 1 - 2 * limit), 2 * limit)
+        text = lambda kept: F.decode(kept, "UTF-16BE")
+        half = lambda t: F.hex(F.substring(t, F.lit(1), F.lit(1))).between("DC", "DF")
+        return let(
+            tail,
+            lambda t: F.when(half(t), F.concat(F.lit("\ufffd"), text(F.substring(t, F.lit(3), 2 * limit)))).otherwise(text(t)),
+        )
+
+    # Without characters of two units the last characters are the last units.
+    plain = units(value) == F.length(value)
+    return F.when(limit <= 0, "").when(plain, F.right(value, limit)).otherwise(let(F.encode(value, "UTF-16BE"), cut))
+
+
+def sized(value: Column, most: int) -> Column:
+    """A text as far as a message of ``most`` units can show it, with its whole size."""
+    return F.struct(tail_units(value, F.lit(most)).alias("tail"), units(value).alias("units"))
+
+
+def truncate_sized(text: Column, limit: Column) -> Column:
+    """Keep the end of a sized text within ``limit`` units, after a notice."""
     notice = len(TRUNCATION_NOTICE)
     return (
-        F.when(F.length(value) <= limit, value)
+        F.when(text["units"] <= limit, text["tail"])
         .when(limit <= notice, F.left(F.lit(TRUNCATION_NOTICE), F.greatest(F.lit(0), limit)))
-        .otherwise(F.concat(F.lit(TRUNCATION_NOTICE), F.right(value, limit - notice)))
+        .otherwise(F.concat(F.lit(TRUNCATION_NOTICE), tail_units(text["tail"], limit - notice)))
     )
 
 
+def truncate_tail(value: Column, limit: Column) -> Column:
+    """Keep the end of a text within ``limit`` units, after a notice."""
+    return let(F.struct(value.alias("tail"), units(value).alias("units")), lambda text: truncate_sized(text, limit))
+
+
 def utf8_tail(value: Column, limit: int) -> Column:
     """The last ``limit`` bytes of a text, not starting inside a character."""
     data = F.encode(value, "UTF-8")

@@ -12,14 +12,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lapwise.functions.binding import let, rows_of
 from lapwise.functions.names import commit_url, compare_url, request_url
-from lapwise.functions.text import format_duration, html_escape, truncate_tail
-from lapwise.operators.numbering import first_rows
+from lapwise.functions.text import format_duration, html_escape, sized, truncate_sized, truncate_tail, units
 from lapwise.operators.ordering import query_number
 
-# Size limit of a message and the shape of its parts.
+# Size limit of a message in UTF-16 units and the shape of its parts.
 MESSAGE_LIMIT = 65_536
-# Sizes are counted in code points; a margin covers characters that need two units.
-SIZE_MARGIN = 256
 BLOCK_START = "=== Comparing "
 SUMMARY_OPEN, SUMMARY_CLOSE = "<pre>", "</pre>\n\n"
 DETAILS_OPEN = "<details>\n<summary>Show full query output</summary>\n\n<pre>"
@@ -68,45 +65,54 @@ def _trim(text: Column) -> Column:
     return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
-def _preformatted(value: Column, limit: Column) -> Column:
+def sized_blocks(text: Column) -> Column:
+    """The blocks of a comparison text, split and escaped once: ``structured``, ``summary``, ``details``, ``whole``.
+
+    Of each text only what a message can show is kept, with its whole size.
+    """
+
+    def escaped(block: Column) -> Column:
+        fit = lambda value: sized(html_escape(value), MESSAGE_LIMIT)
+        return let(
+            block_parts(block),
+            lambda parts: F.struct(
+                parts["structured"].alias("structured"), fit(parts["summary"]).alias("summary"),
+                fit(parts["details"]).alias("details"), fit(block).alias("whole"),
+            ),
+        )
+
+    return F.transform(report_blocks(text), escaped)
+
+
+def _preformatted(whole: Column, limit: Column) -> Column:
     frame = len("<pre>") + len("</pre>")
-    return let(
-        html_escape(value),
-        lambda escaped: F.when(limit <= frame, truncate_tail(escaped, limit)).otherwise(
-            F.concat(F.lit("<pre>"), truncate_tail(escaped, limit - frame), F.lit("</pre>"))
-        ),
+    return F.when(limit <= frame, truncate_sized(whole, limit)).otherwise(
+        F.concat(F.lit("<pre>"), truncate_sized(whole, limit - frame), F.lit("</pre>"))
     )
 
 
 def render_block(block: Column, limit: Column) -> Column:
-    """A block within its size: the summary first, the details folded below it."""
+    """A sized block within its size: the summary first, the details folded below it."""
     frame = sum(map(len, (SUMMARY_OPEN, SUMMARY_CLOSE, DETAILS_OPEN, DETAILS_CLOSE)))
     room = limit - frame
 
-    def framed(summary: Column, details: Column) -> Column:
-        shown = let(details, lambda whole: truncate_tail(whole, room - F.length(summary)))
+    def framed(summary: Column) -> Column:
+        details = truncate_sized(block["details"], room - units(summary))
         return F.concat(
-            F.lit(SUMMARY_OPEN), summary, F.lit(SUMMARY_CLOSE), F.lit(DETAILS_OPEN), shown, F.lit(DETAILS_CLOSE)
+            F.lit(SUMMARY_OPEN), summary, F.lit(SUMMARY_CLOSE), F.lit(DETAILS_OPEN), details, F.lit(DETAILS_CLOSE)
         )
 
-    def structured(parts: Column) -> Column:
-        summary = let(html_escape(parts["summary"]), lambda whole: truncate_tail(whole, room))
-        whole = let(summary, lambda fitted: framed(fitted, html_escape(parts["details"])))
-        return F.when(~parts["structured"] | (room <= 0), _preformatted(block, limit)).otherwise(whole)
+    whole = let(truncate_sized(block["summary"], room), framed)
+    shown = F.when(~block["structured"] | (room <= 0), _preformatted(block["whole"], limit)).otherwise(whole)
+    return F.when(limit <= 0, "").otherwise(shown)
 
-    return F.when(limit <= 0, "").otherwise(let(block_parts(block), structured))
 
-
-def render_comparison(text: Column, limit: Column) -> Column:
-    """All blocks of a comparison, sharing the size evenly."""
-
-    def render(blocks: Column) -> Column:
-        count = F.size(blocks)
-        share = F.floor(F.greatest(F.lit(0), limit - (count - 1) * 2) / F.greatest(count, F.lit(1))).cast("int")
-        shared = let(share, lambda size: F.transform(blocks, lambda block: render_block(block, size)))
-        return F.array_join(shared, "\n\n")
-
-    return let(report_blocks(text), render)
+def render_comparison(blocks: Column, limit: Column) -> Column:
+    """All sized blocks of a comparison, sharing the size evenly."""
+    count = F.size(blocks)
+    share = F.floor(F.greatest(F.lit(0), limit - (count - 1) * 2) / F.greatest(count, F.lit(1))).cast("int")
+    shared = let(share, lambda size: F.transform(blocks, lambda block: render_block(block, size)))
+    return F.array_join(shared, "\n\n")
 
 
 # --- messages -----------------------------------------------------------------
@@ -155,7 +161,7 @@ def failure_message() -> Column:
 def result_message(site: str, build_target: str) -> Column:
     """The report of a finished job within the size limit.
 
-    Uses the job columns, ``comparison`` and the timings: ``phases`` (an array
+    Uses the job columns, ``blocks`` (of ``sized_blocks``) and the timings: ``phases`` (an array
     of dataset, base_ms, head_ms), ``base_deploy_ms``, ``head_deploy_ms``,
     ``base_ms``, ``head_ms``, ``queue_wait_ms``, ``validation_ms`` and ``total_ms``.
     """
@@ -185,12 +191,12 @@ def result_message(site: str, build_target: str) -> Column:
         " for both revisions\n\n**Other timings:** Queue ", duration("queue_wait_ms"), " · Dataset validation ",
         duration("validation_ms"), " · Total ", duration("total_ms"), "\n\n</details>",
     )
-    limit = MESSAGE_LIMIT - SIZE_MARGIN
+    limit = F.lit(MESSAGE_LIMIT)
 
     def assemble(head: Column, tail: Column) -> Column:
-        fixed = F.length(head) + F.length(tail)
-        short = let(F.concat(head, tail), lambda whole: truncate_tail(whole, F.lit(limit)))
-        room = let(F.lit(limit) - fixed, lambda size: render_comparison(F.col("comparison"), size))
+        fixed = units(head) + units(tail)
+        short = truncate_tail(F.concat(head, tail), limit)
+        room = let(limit - fixed, lambda size: render_comparison(F.col("blocks"), size))
         return F.when(fixed >= limit, short).otherwise(F.concat(head, room, tail))
 
     return let(header, lambda head: let(details, lambda tail: assemble(head, tail)))
@@ -200,21 +206,14 @@ def result_message(site: str, build_target: str) -> Column:
 
 
 def report_texts(lines: DataFrame, keys: Sequence[str] = ("dataset",)) -> DataFrame:
-    """The comparison text of every dataset, as far as a message can show it.
-
-    Every line takes at least two characters, so a message cannot show more
-    than the last 65,536 lines; header and closing lines are kept beside them.
-    A text therefore never grows with the number of compared queries.
-    """
-    keys = list(keys)
+    """The whole comparison text of every dataset; it is one value, as large as its lines."""
     number = query_number("id")
-    backwards = [number.desc_nulls_first(), F.collate(F.col("id"), "UNICODE").desc(), F.col("id").desc()]
-    frame = lines.where(F.col("section") != 1)
-    queries = first_rows(lines.where(F.col("section") == 1), keys, backwards, MESSAGE_LIMIT, "_back")
-    both = frame.withColumn("_back", F.lit(0)).unionByName(queries)
-    entry = F.struct("section", (-F.col("_back")).alias("_place"), "line")
+    entry = F.struct(
+        "section", number.isNull().alias("unnumbered"), number.alias("number"),
+        F.collate(F.col("id"), "UNICODE").alias("locale"), F.col("id").alias("id"), "line",
+    )
     ordered = F.sort_array(F.collect_list(entry))
-    return both.groupBy(*keys).agg(
+    return lines.groupBy(*keys).agg(
         F.array_join(F.transform(ordered, lambda e: e["line"]), "\n").alias("report")
     )
 

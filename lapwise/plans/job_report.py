@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lapwise.operators.numbering import first_rows
-from lapwise.operators.report import MESSAGE_LIMIT, multi_dataset_report, report_texts, result_message, trimmed_texts
+from lapwise.operators.report import multi_dataset_report, report_texts, result_message, sized_blocks, trimmed_texts
 from lapwise.operators.timings import pair_timings, phase_totals
 from lapwise.plans.compare import Comparison
 
-# Phase lines take more than 16 characters each.
-MESSAGE_PHASES = MESSAGE_LIMIT // 16
+
+def _requested(jobs: DataFrame) -> DataFrame:
+    return jobs.select(F.col("id").alias("job_id"), F.posexplode("datasets").alias("dataset_pos", "dataset"))
 
 
 def job_comparisons(jobs: DataFrame, comparison: Comparison) -> DataFrame:
@@ -18,22 +18,41 @@ def job_comparisons(jobs: DataFrame, comparison: Comparison) -> DataFrame:
 
     Each dataset's text is made once and joined to the jobs that ask for it.
     """
-    requested = jobs.select(F.col("id").alias("job_id"), F.posexplode("datasets").alias("dataset_pos", "dataset"))
     texts = trimmed_texts(report_texts(comparison.lines()))
-    return multi_dataset_report(requested.join(texts, "dataset"))
+    return multi_dataset_report(_requested(jobs).join(texts, "dataset"))
+
+
+def job_blocks(jobs: DataFrame, comparison: Comparison) -> DataFrame:
+    """Blocks of every job in request order, each as far as a message can show it.
+
+    A dataset's text is made, split and escaped once; the jobs that ask for it
+    are joined to parts of bounded size.
+    """
+    texts = trimmed_texts(report_texts(comparison.lines()))
+    blocks = texts.select("dataset", sized_blocks(F.col("report")).alias("blocks"))
+    ordered = F.sort_array(F.collect_list(F.struct("dataset_pos", "blocks")))
+    return (
+        _requested(jobs)
+        .join(blocks, "dataset")
+        .groupBy("job_id")
+        .agg(F.flatten(F.transform(ordered, lambda e: e["blocks"])).alias("blocks"))
+    )
 
 
 def base_head_report(jobs: DataFrame, comparison: Comparison, timings: DataFrame) -> DataFrame:
-    """Per job: compared blocks, base and head durations, total times over its datasets."""
-    requested = jobs.select(F.col("id").alias("job_id"), F.posexplode("datasets").alias("dataset_pos", "dataset"))
+    """Per job: its datasets, base and head durations, total times over the datasets.
+
+    A dataset without compared queries counts with zero totals.
+    """
     compared = (
-        requested.join(comparison.totals, "dataset")
+        _requested(jobs)
+        .join(comparison.totals, "dataset", "left")
         .groupBy("job_id")
         .agg(
             F.count(F.lit(1)).alias("datasets"),
-            F.sum("compared").alias("queries"),
-            F.sum("prev_time").alias("prev_time"),
-            F.sum("new_time").alias("new_time"),
+            *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(name) for c, name in (
+                ("compared", "queries"), ("prev_time", "prev_time"), ("new_time", "new_time"),
+            )],
             F.count_if(F.col("direction") == "faster").alias("faster"),
             F.count_if("highlighted").alias("highlighted"),
         )
@@ -47,17 +66,16 @@ def result_reports(
     jobs: DataFrame, comparison: Comparison, timings: DataFrame, site: str, build_target: str = "worker"
 ) -> DataFrame:
     """The final message of every job."""
-    # A message that overflows keeps its end, which this many lines fill.
-    shown = first_rows(pair_timings(timings), ["job_id"], [F.col("pos").desc()], MESSAGE_PHASES, "_back")
-    phases = shown.groupBy("job_id").agg(
+    # One line per dataset of a request, which bounds the list.
+    phases = pair_timings(timings).groupBy("job_id").agg(
         F.sort_array(F.collect_list(F.struct("pos", "dataset", "base_ms", "head_ms"))).alias("phases")
     )
-    texts = job_comparisons(jobs, comparison)
+    blocks = job_blocks(jobs, comparison)
     rows = (
-        jobs.join(texts.withColumnRenamed("job_id", "id"), "id", "left")
+        jobs.join(blocks.withColumnRenamed("job_id", "id"), "id", "left")
         .join(phases.withColumnRenamed("job_id", "id"), "id", "left")
         .join(phase_totals(timings).withColumnRenamed("job_id", "id").drop("phases"), "id", "left")
-        .withColumn("comparison", F.coalesce("comparison", F.lit("")))
+        .withColumn("blocks", F.coalesce("blocks", F.array().cast(blocks.schema["blocks"].dataType)))
         .withColumn("phases", F.coalesce("phases", F.array().cast(phases.schema["phases"].dataType)))
         .fillna(0.0, ["base_ms", "head_ms"])
     )

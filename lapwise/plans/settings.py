@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, SparkSession, functions as F
@@ -78,3 +79,18 @@ def apply_settings(spark: SparkSession, options: Mapping[str, object]) -> dict[s
         spark.conf.set(setting.spark_name, text)
         report[setting.option] = f"{setting.spark_name}={text}"
     return report
+
+
+@contextmanager
+def applied_settings(spark: SparkSession, options: Mapping[str, object]) -> Iterator[dict[str, str]]:
+    """Settings that hold for the jobs run inside; the session's own values come back afterwards.
+
+    Plans are fixed when they run, so a result must be executed inside.
+    """
+    names = {s.spark_name for s in SETTINGS if s.spark_name and s.fit in ("direct", "near")}
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        yield apply_settings(spark, options)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)

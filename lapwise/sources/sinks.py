@@ -11,9 +11,13 @@ from lapwise.operators.comparison import line_order
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    """Comparison lines in report order as one text per dataset folder."""
+    """Comparison lines in report order as one text per dataset folder.
+
+    Ranges are cut between lines, so the files of a dataset, in the order of
+    their names, hold its text however many lines it has.
+    """
     (
-        lines.repartitionByRange("dataset", "section")
+        lines.repartitionByRange(*line_order())
         .sortWithinPartitions(*line_order())
         .select("dataset", F.col("line").alias("value"))
         .write.mode("overwrite")

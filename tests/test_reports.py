@@ -82,7 +82,8 @@ def result(spark, comparison, **changes):
         "total_ms bigint, phases array<struct<pos:bigint,dataset:string,base_ms:double,head_ms:double>>"
     )
     df = spark.createDataFrame([job], schema)
-    return df.select(report.result_message("https://example.org", "worker").alias("m")).head()["m"]
+    blocks = df.withColumn("blocks", report.sized_blocks(F.col("comparison")))
+    return blocks.select(report.result_message("https://example.org", "worker").alias("m")).head()["m"]
 
 
 def test_result_report(spark):
@@ -110,6 +111,44 @@ def test_reports_stay_within_their_limit(spark):
     assert "<pre>" not in result(spark, " \n ")
 
 
+def units(value):
+    return len(value.encode("utf-16-be")) // 2
+
+
+def truncated(value, limit):
+    """Truncation by UTF-16 units, as strings of such units do it."""
+    if units(value) <= limit:
+        return value
+    if limit <= len(text.TRUNCATION_NOTICE):
+        return text.TRUNCATION_NOTICE[: max(0, limit)]
+    tail = value.encode("utf-16-be")[-2 * (limit - len(text.TRUNCATION_NOTICE)) :]
+    half = 0xDC <= tail[0] <= 0xDF
+    return text.TRUNCATION_NOTICE + ("\ufffd" if half else "") + tail[2 * half :].decode("utf-16-be")
+
+
+def test_sizes_are_counted_in_units(spark):
+    for value in ("plain" * 20, "🟠" * 50, "a🟠" * 40, "é" * 90, "🟠" + "b" * 60, ""):
+        for limit in (0, 3, 29, 30, 31, 32, 60, 99, 100, 101):
+            assert apply(spark, lambda v: text.truncate_tail(v, F.lit(limit)), value) == truncated(value, limit), (value, limit)
+
+
+@pytest.mark.parametrize("filler", ["x", "🟠"])
+def test_a_message_fills_its_limit_exactly(spark, filler):
+    frame = units(result(spark, "")) + len("<pre></pre>")
+    room = report.MESSAGE_LIMIT - frame
+    whole = filler * (room // units(filler)) + "y" * (room % units(filler))
+    message = result(spark, whole)
+    assert units(message) == report.MESSAGE_LIMIT and text.TRUNCATION_NOTICE not in message and whole in message
+    longer = result(spark, whole + "z")
+    assert units(longer) == report.MESSAGE_LIMIT
+    assert longer.split("<pre>")[1].split("</pre>")[0] == truncated(whole + "z", room)
+
+
+def test_all_phases_are_shown(spark):
+    phases = [(i, f"d{i}", 1000.0, 2000.0) for i in range(300)]
+    assert result(spark, BLOCK, phases=phases).count("| Benchmark `d") == 300
+
+
 def test_blocks(spark):
     parts = spark.createDataFrame([(1, f"{BLOCK}\n\n{BLOCK}\n\n=== Comparing only a header")], "k int, report string")
     found = report.split_report_blocks(parts, ["k"]).orderBy("block").collect()
@@ -130,8 +169,9 @@ def test_messages(spark):
     assert "controller journal" in show(report.failure_message())
 
 
-def test_texts_show_the_last_lines(spark, monkeypatch):
-    monkeypatch.setattr(report, "MESSAGE_LIMIT", 3)
-    data = [("d", 0, None, "head"), ("d", 5, None, "total")] + [("d", 1, f"q{i}", f"line {i}") for i in range(12)]
-    lines = spark.createDataFrame(data, "dataset string, section int, id string, line string")
-    assert report.report_texts(lines).head()["report"].split("\n") == ["head", "line 9", "line 10", "line 11", "total"]
+def test_texts_hold_all_lines_in_order(spark):
+    data = [("d", 0, None, "head"), ("d", 5, None, "total"), ("d", 1, "z", "line z")]
+    data += [("d", 1, f"q{i}", f"line {i}") for i in range(3000)]
+    lines = spark.createDataFrame(data, "dataset string, section int, id string, line string").repartition(7)
+    expected = ["head", *[f"line {i}" for i in range(3000)], "line z", "total"]
+    assert report.report_texts(lines).head()["report"].split("\n") == expected
