@@ -274,7 +274,7 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]
     return ids, hashes, batch.column("data").to_pylist()
 
 
-def _shared(blobs: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+def _shared(blobs: list[list[np.ndarray]], hot_anchor: int) -> Iterator[pa.RecordBatch]:
     """Anchors of a bucket that stand in two texts or more: their offsets, negative (less 1) for those of hot anchors."""
     low, high, steps, ids, text_hashes, counts = (np.concatenate(c) for c in zip(*[
         (b[0], b[1], np.cumsum(b[2].astype(np.int64)), b[3], b[4], b[5]) for b in blobs
@@ -296,7 +296,7 @@ def _shared(blobs: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
     sizes = np.diff(np.append(starts, len(key)))
     texts = np.add.reduceat(new_text.astype(np.int64), starts)
     chosen = np.repeat(texts > 1, sizes)
-    hot = np.repeat(sizes > HOT_ANCHOR, sizes)[chosen]
+    hot = np.repeat(sizes > hot_anchor, sizes)[chosen]
     order = order[chosen]
     offsets = steps[order]
     yield from _by_document(ids[row[order]], text_hashes[row[order]], np.where(hot, -offsets - 1, offsets))
@@ -382,7 +382,9 @@ def _spans(blobs: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
     yield from _by_document(np.concatenate([span_ids, ids[rows]]), np.concatenate([span_hashes, hashes[rows]]), every)
 
 
-def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def substring_dedup(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", hot_anchor: int = HOT_ANCHOR
+) -> DataFrame:
     """``id``, ``n_bytes``, ``n_removed``, ``n_spans`` and the ``kept`` bytes of every row."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -396,7 +398,7 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
     firsts = digests.groupBy("text_hash", "digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first")
     copies = digests.join(firsts, ["text_hash", "digest"]).where("id > first").select(*key).distinct()
 
-    shared = _exchanged(_anchor_rows(texts, buckets), buckets, _shared)
+    shared = _exchanged(_anchor_rows(texts, buckets), buckets, lambda blobs: _shared(blobs, hot_anchor))
     anchors = shared.groupBy(*key).agg(F.collect_list("found").alias("anchors"))
     strings = _string_rows(texts.join(anchors, key), buckets)
     spans = _exchanged(strings, buckets, _spans).groupBy(*key).agg(F.collect_list("found").alias("spans"))
