@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from lapwise.contract.base import micros, query
 from lapwise.fixtures import Fixtures
 from lapwise.operators import catalog
+from lapwise.operators.comments import scan_start
 from lapwise.operators.ordering import natural_positions
-from lapwise.session import work_dir
+from lapwise.session import folder_exists, work_dir
 from lapwise.sources import corpus, feed, results, sinks, tables
 
 TPCH = ("customer", "lineitem", "nation", "orders", "part", "region", "supplier")
@@ -207,6 +210,40 @@ def query_corpus(fx: Fixtures) -> DataFrame:
     return natural_positions(read, ["suite"]).select("id", "sql", "position")
 
 
+@query("read_corpus", """
+SELECT 'q' || CAST(n_nationkey AS VARCHAR) AS id,
+       'select * from customer' || chr(10) || 'where c_nationkey = ' || CAST(n_nationkey AS VARCHAR) || ';' || chr(10) AS sql FROM nation
+""")
+def read_corpus(fx: Fixtures) -> DataFrame:
+    """One ``*.sql`` file per query, and other files beside them."""
+    folder, key = work_dir(fx.spark, "queries"), F.col("n_nationkey").cast("string")
+    text = F.concat(F.lit("select * from customer\nwhere c_nationkey = "), key, F.lit(";"))
+    texts = fx.table("nation").select(F.concat(F.lit("q"), key).alias("query"), text.alias("value"))
+    texts.write.partitionBy("query").text(folder)
+    _name_files(fx.spark, folder, lambda keys: f"{keys['query']}.sql")
+    notes = fx.table("region").select(F.col("r_name").alias("query"), F.lit("no query").alias("value"))
+    notes.write.partitionBy("query").text(f"{folder}/notes")
+    _name_files(fx.spark, f"{folder}/notes", lambda keys: f"../{keys['query']}.txt")
+    return corpus.read_corpus(fx.spark, folder)
+
+
+def _name_files(spark, folder: str, name) -> None:
+    """Give the single files of partition folders names of their own; ``name`` maps the partition's keys."""
+    files = spark._jvm.org.apache.hadoop.fs
+    root = files.Path(folder)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, paths = store.listFiles(root, True), []
+    while found.hasNext():
+        path = found.next().getPath()
+        if path.getName().startswith("part-"):
+            paths.append(path)
+    for path in paths:
+        keys = dict(part.split("=", 1) for part in path.toString().split("/") if "=" in part)
+        target = files.Path(f"{folder}/{name(keys)}")
+        store.mkdirs(target.getParent())
+        store.rename(path, target)
+
+
 _ITERATION_COLUMNS = """dataset, engine, id, CAST(iteration AS BIGINT) AS iteration, CAST(elapsed AS DOUBLE) AS elapsed,
        CAST(row_count AS BIGINT) AS row_count, CAST(tasks AS BIGINT) AS tasks,
        CAST(stats_q_error_p50 AS DOUBLE) AS stats_q_error_p50, CAST(stats_q_error_p95 AS DOUBLE) AS stats_q_error_p95, error"""
@@ -219,12 +256,39 @@ def read_results(fx: Fixtures) -> DataFrame:
     return results.read_results(fx.spark, path).drop("plan")
 
 
+@query("read_result_files", f"SELECT {_ITERATION_COLUMNS} FROM fx_iterations")
+def read_result_files(fx: Fixtures) -> DataFrame:
+    """A store with one file per query, ``<suite>/<variant>/results/<engine>/<id>.json``."""
+    root = work_dir(fx.spark, "store")
+    documents = results.result_documents(fx.iterations()).select(
+        F.substring_index("dataset", "/", 1).alias("suite"), F.substring_index("dataset", "/", -1).alias("variant"),
+        F.col("engine").alias("run"), F.col("id").alias("query"), F.to_json(F.struct("dataset", "engine", "id", "iterations")).alias("value"),
+    )
+    documents.write.partitionBy("suite", "variant", "run", "query").text(root)
+    _name_files(fx.spark, root, lambda k: f"{k['suite']}/{k['variant']}/results/{k['run']}/{k['query']}.json")
+    return results.read_result_files(fx.spark, f"{root}/*/*/results/*/*.json").drop("plan")
+
+
 @query("write_results", """
+SELECT dataset, engine, id, CAST(iteration AS BIGINT) AS iteration,
+       CAST(elapsed + CASE WHEN id = 'q3' THEN 1000 ELSE 0 END AS DOUBLE) AS elapsed
+FROM fx_iterations
+""")
+def write_results(fx: Fixtures) -> DataFrame:
+    """A whole run, and one query of it again: the others keep their documents."""
+    path = work_dir(fx.spark, "results")
+    results.write_results(fx.iterations(), path)
+    again = fx.iterations().where("id = 'q3'").withColumn("elapsed", F.col("elapsed") + 1000)
+    results.write_results(again, path)
+    return results.read_results(fx.spark, path).select("dataset", "engine", "id", "iteration", "elapsed")
+
+
+@query("result_documents", """
 SELECT dataset, engine, id, CAST(iteration // 10000 AS BIGINT) AS part, count(*) AS iterations,
        CAST(sum(tasks) AS BIGINT) AS tasks
 FROM fx_iterations GROUP BY 1, 2, 3, 4
 """)
-def write_results(fx: Fixtures) -> DataFrame:
+def result_documents(fx: Fixtures) -> DataFrame:
     documents = results.result_documents(fx.iterations())
     tasks = F.aggregate("iterations", F.lit(0).cast("bigint"), lambda total, i: total + i["tasks"])
     return documents.select(
@@ -263,6 +327,22 @@ def run_manifest(fx: Fixtures) -> DataFrame:
 
 @query("load_results", f"""
 WITH {LISTED}, present AS (SELECT DISTINCT dataset, engine, id FROM fx_iterations),
+legacy AS (SELECT dataset, engine, id,
+         row_number() OVER (PARTITION BY dataset, engine ORDER BY {NATURAL.format('id')}) AS position
+  FROM present WHERE dataset = 'ev/error'),
+wanted AS (SELECT dataset, engine, id, position FROM listed WHERE dataset <> 'ev/error' AND id <> 'q99' UNION ALL SELECT * FROM legacy)
+SELECT i.dataset, i.engine, i.id, position, CAST(iteration AS BIGINT) AS iteration, CAST(elapsed AS DOUBLE) AS elapsed
+FROM wanted w JOIN fx_iterations i ON i.dataset = w.dataset AND i.engine = w.engine AND i.id = w.id
+""")
+def load_results(fx: Fixtures) -> DataFrame:
+    """Runs with a manifest, of which a stale document is left out, and runs without."""
+    manifests = manifest_entries(fx).where("id <> 'q99' AND dataset <> 'ev/error'")
+    loaded = results.load_results(fx.iterations(), manifests)
+    return loaded.select("dataset", "engine", "id", "position", "iteration", "elapsed")
+
+
+@query("run_listing", f"""
+WITH {LISTED}, present AS (SELECT DISTINCT dataset, engine, id FROM fx_iterations),
 manifested AS (SELECT * FROM listed WHERE dataset <> 'ev/error'),
 legacy AS (SELECT dataset, engine, id,
          row_number() OVER (PARTITION BY dataset, engine ORDER BY {NATURAL.format('id')}) AS position
@@ -271,7 +351,7 @@ SELECT m.dataset, m.engine, m.id, m.position, p.id IS NULL AS missing
 FROM manifested m LEFT JOIN present p ON m.dataset = p.dataset AND m.engine = p.engine AND m.id = p.id
 UNION ALL SELECT dataset, engine, id, position, false FROM legacy
 """)
-def load_results(fx: Fixtures) -> DataFrame:
+def run_listing(fx: Fixtures) -> DataFrame:
     # One dataset has no manifests, so its runs load as all their documents.
     manifests = manifest_entries(fx).where("dataset <> 'ev/error'")
     return results.run_listing(fx.iteration_records(), manifests)
@@ -303,14 +383,23 @@ def publish_plan(fx: Fixtures) -> DataFrame:
     return catalog.publish_plan(fx.listing_source(), fx.listing_target())
 
 
-@query("publish_dataset", "SELECT 'orders' AS name, count(*) AS row_count, CAST(sum(o_custkey) AS BIGINT) AS key_sum FROM orders")
+@query("publish_dataset", " UNION ALL ".join(
+    f"SELECT '{t}' AS name, 'skip' AS action, count(*) AS row_count FROM {t}" for t in tables.TABLES if t not in ("nation", "region")
+) + " UNION ALL SELECT 'nation', 'upload', count(*) FROM supplier UNION ALL SELECT 'region', 'delete', 0")
 def publish_dataset(fx: Fixtures) -> DataFrame:
+    """All tables, then again with one table replaced and one gone."""
     target = work_dir(fx.spark, "published")
-    sinks.publish_dataset(fx.spark, {"orders": tables.table_path(fx.sf_dir, "orders")}, target)
-    copy = fx.spark.read.parquet(f"{target}/orders")
-    return copy.agg(F.count(F.lit(1)).alias("row_count"), F.sum("o_custkey").alias("key_sum")).select(
-        F.lit("orders").alias("name"), "row_count", "key_sum"
-    )
+    source = {t: tables.table_path(fx.sf_dir, t) for t in tables.TABLES}
+    first = sinks.publish_dataset(fx.spark, source, target)
+    changed = {t: p for t, p in source.items() if t != "region"} | {"nation": source["supplier"]}
+    actions = sinks.publish_dataset(fx.spark, changed, target)
+    counts = [
+        (fx.spark.read.parquet(f"{target}/{name}") if folder_exists(fx.spark, f"{target}/{name}") else fx.spark.range(0))
+        .agg(F.count(F.lit(1)).alias("row_count"))
+        .select(F.lit(name).alias("name"), F.lit(action if first[name] == "upload" else "?").alias("action"), "row_count")
+        for name, action in actions.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query("drop_plan", f"""
@@ -338,6 +427,21 @@ def comment_feed(fx: Fixtures) -> DataFrame:
     )
 
 
+_POSITIONS = """SELECT 'o/r0' AS repository, TIMESTAMP '2024-01-12 00:00:00' AS scanned_through
+UNION ALL SELECT 'o/r1', NULL UNION ALL SELECT 'o/r2', TIMESTAMP '2024-01-20 06:00:00'"""
+
+
+@query("scan_feed", f"""
+SELECT comment_id, c.repository, epoch_us(updated_at) AS updated_us
+FROM fx_comments c JOIN ({_POSITIONS}) p ON p.repository = c.repository
+WHERE updated_at >= coalesce(scanned_through, TIMESTAMP '2024-01-15 12:00:00' - INTERVAL '1' HOUR)
+""")
+def scan_feed(fx: Fixtures) -> DataFrame:
+    """A scan from the stored positions; a repository without one is looked at from an hour back."""
+    starts = scan_start(fx.spark.sql(_POSITIONS), F.lit("2024-01-15 12:00:00").cast("timestamp"))
+    return feed.comments_since(fx.comments(), starts).select("comment_id", "repository", micros("updated_at").alias("updated_us"))
+
+
 @query("allow_list", """
 SELECT DISTINCT lower(trim(login)) AS login FROM fx_comments WHERE regexp_full_match(lower(trim(login)), '[a-z0-9](?:[a-z0-9-]{0,37}[a-z0-9])?')
 """)

@@ -145,6 +145,15 @@ def stream_progress(fx: Fixtures) -> DataFrame:
     return run_progress(fx.spark, events, work_dir(fx.spark, "state"), work_dir(fx.spark, "checkpoint"))
 
 
+@query("claim_next", """
+SELECT j.id, CASE WHEN j.id = n.id THEN 'running' ELSE status END AS status,
+       attempt_count + CASE WHEN j.id = n.id THEN 1 ELSE 0 END AS attempt_count
+FROM fx_jobs j LEFT JOIN (SELECT min(id) AS id FROM fx_jobs WHERE status = 'pending' AND status_comment_id IS NOT NULL) n ON j.id = n.id
+""")
+def claim_next(fx: Fixtures) -> DataFrame:
+    return jobs.claim_next(fx.jobs()).select("id", "status", "attempt_count")
+
+
 @query("recover_running", """
 SELECT id, CASE WHEN status = 'running' AND attempt_count < 3 THEN 'pending' WHEN status = 'running' THEN 'failed' ELSE status END AS status,
        CASE WHEN status = 'running' AND attempt_count >= 3 THEN 'Controller restarted during this job 3 times' END AS error

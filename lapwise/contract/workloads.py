@@ -258,7 +258,7 @@ _REPLY = """CASE decided WHEN 'invalid_reply' THEN '@' || login || ' ' || messag
 
 @query("process_comments", f"""
 WITH {PROCESSED}
-SELECT comment_id, decided AS outcome, {_REPLY} AS reply, decided <> 'retry' AS settled,
+SELECT comment_id, decided AS outcome, {_REPLY} AS reply, decided NOT IN ('retry', 'status_comment') AS settled,
        CASE WHEN decided = 'retry' THEN CAST(1 AS BIGINT) END AS attempt FROM final
 """)
 def process(fx: Fixtures) -> DataFrame:

@@ -49,9 +49,10 @@ def issue_number(url: Column) -> Column:
 
 
 def run_label(branch: Column, commit: Column) -> Column:
-    """Last part of the branch name, or the short commit of a detached work-tree."""
+    """Last part of the branch name, or the short commit of a detached work-tree; neither is an error."""
     last = F.element_at(F.split(F.trim(branch), "/"), -1)
-    return F.coalesce(F.nullif(last, F.lit("")), F.nullif(F.left(commit, F.lit(LABEL_LENGTH)), F.lit("")))
+    neither = F.raise_error(F.lit("A work-tree has neither branch nor commit")).cast("string")
+    return F.coalesce(F.nullif(last, F.lit("")), F.nullif(F.left(commit, F.lit(LABEL_LENGTH)), F.lit("")), neither)
 
 
 def bucket_uri(bucket: Column) -> Column:

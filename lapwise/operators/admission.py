@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lapwise.operators.numbering import first_rows
-from lapwise.session import cut
 
 # Active jobs per queue and per requester.
 QUEUE_LIMIT = 20
@@ -26,7 +25,7 @@ def admit_requests(
     within their requester's limit.  Both steps keep a literal number of rows
     per group, so a queue or requester with a large share of all requests is
     cut down in every task before anything is shuffled; the decisions are then
-    joined back by comment and by queue.
+    joined back by queue.
     """
     order = [F.col("arrived_at"), F.col("comment_id")]
     used = active.groupBy("queue", "requested_by").agg(F.sum("active").alias("_used"))
@@ -49,24 +48,23 @@ def admit_requests(
         .where(F.col("_place") <= places)
         .select("queue", "comment_id", "arrived_at", (F.col("_place") == places).alias("_last"))
     )
-    # At most ``queue_limit`` rows per queue, read twice below.
-    admitted = cut(admitted, "admitted")
-    # The last admitted request closes the queue; without free places it was never open.
-    closing = admitted.where("_last").select(
-        "queue", F.struct("arrived_at", "comment_id").alias("_closed_after")
+    # One row per queue: the ids admitted, ``queue_limit`` at most, and the request that takes the last place.
+    place = F.struct("arrived_at", "comment_id")
+    by_queue = admitted.groupBy("queue").agg(
+        F.collect_list("comment_id").alias("_admitted"), F.max(F.when(F.col("_last"), place)).alias("_closed_after")
     )
     full = queue_used.where(F.col("_queue_used") >= queue_limit).select("queue", F.lit(True).alias("_full"))
+    queues = by_queue.join(full, "queue", "full_outer")
 
-    after = F.struct("arrived_at", "comment_id") > F.col("_closed_after")
+    # Without free places a queue was never open.
+    closed = F.coalesce(F.col("_full"), F.lit(False)) | F.coalesce(place > F.col("_closed_after"), F.lit(False))
     decision = (
-        F.when(F.col("_admitted"), "admitted")
-        .when(F.coalesce(F.col("_full"), F.lit(False)) | F.coalesce(after, F.lit(False)), "queue_full")
+        F.when(F.array_contains("_admitted", F.col("comment_id")), "admitted")
+        .when(closed, "queue_full")
         .otherwise("requester_limit")
     )
     return (
-        requests.join(admitted.select("comment_id", F.lit(True).alias("_admitted")), "comment_id", "left")
-        .join(closing, "queue", "left")
-        .join(full, "queue", "left")
+        requests.join(queues, "queue", "left")
         .withColumn("decision", decision)
         .drop("_admitted", "_closed_after", "_full")
     )

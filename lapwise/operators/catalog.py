@@ -93,12 +93,11 @@ def checked_layout(spark: SparkSession, listing: DataFrame, datasets: Sequence[s
     """Tables of the requested datasets; a dataset without tables or a bad table name is an error."""
     requested = spark.createDataFrame([(d,) for d in datasets], "dataset string")
     found = requested.join(remote_layout(listing, datasets), "dataset", "left")
-    name = (
-        F.when(F.col("name").isNull(), F.raise_error(F.concat(F.lit("Dataset has no table prefixes: "), "dataset")))
-        .when(~F.col("valid"), F.raise_error(F.concat(F.lit("Invalid table name "), "name")))
-        .otherwise(F.col("name"))
+    problem = F.when(F.col("name").isNull(), F.concat(F.lit("Dataset has no table prefixes: "), "dataset")).when(
+        ~F.col("valid"), F.concat(F.lit("Invalid table name "), "name")
     )
-    return found.select("dataset", name.alias("name"))
+    # A filter, so that the check stays whatever columns are read.
+    return found.where(F.assert_true(problem.isNull(), problem).isNull()).select("dataset", "name")
 
 
 def publish_plan(source: DataFrame, target: DataFrame) -> DataFrame:

@@ -48,8 +48,9 @@ def admission_eligible(comments: DataFrame, seen: DataFrame, jobs: DataFrame, al
     invalid (a reply), and otherwise a candidate for the queue.
     """
     allowed = allow_list.select(F.col("login").alias("_login"), F.lit(True).alias("_allowed"))
-    parsed = parse_commands(with_handling(comments, seen, jobs)).withColumn("number", issue_number(F.col("issue_url")))
-    judged = parsed.join(allowed, F.lower("login") == F.col("_login"), "left")
+    # Parsed at the scan: what a caller does not read of a comment is not shuffled by the joins.
+    parsed = parse_commands(comments).withColumn("number", issue_number(F.col("issue_url")))
+    judged = with_handling(parsed, seen, jobs).join(allowed, F.lower("login") == F.col("_login"), "left")
     outcome = (
         F.when(F.col("_has_job") & ~F.col("_job_has_status"), "status_comment")
         .when(F.col("_seen") | F.col("_has_job"), "handled")

@@ -14,7 +14,7 @@ from lapwise.operators.comments import (
 from lapwise.session import cut
 
 # Outcomes after which a comment is looked at again; all others settle it.
-UNSETTLED = ("retry", "waiting")
+UNSETTLED = ("retry", "waiting", "status_comment")
 # Replies to requests that are not queued.
 LIMIT_REPLIES = {
     "queue_full": "The benchmark queue is full; this request was not queued.",

@@ -67,10 +67,11 @@ def compare_stored(
     listing = cut(run_listing(stored, manifests.join(sides, ["dataset", "engine"], "left_semi")), "listing")
     checked = cut(_set_check(listing, pairs), "sets")
     if strict:
-        bad = checked.where("verdict <> 'same'").limit(5).collect()
+        differing = checked.where("verdict <> 'same'")
+        bad = differing.orderBy("dataset").limit(5).collect()
         if bad:
             names = ", ".join(f"{row['dataset']} ({row['verdict']})" for row in bad)
-            raise ValueError(f"Stored query sets differ: {names}")
+            raise ValueError(f"Stored query sets differ in {differing.count()} dataset(s): {names}")
     usable = pairs.join(checked.where("verdict = 'same'"), "dataset", "left_semi")
     kept = listing.join(usable.select("dataset"), "dataset", "left_semi")
     return compare_pairs(load_listed(stored, kept).drop("position"), usable)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,5 +71,41 @@ def cut(df: DataFrame, purpose: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = work_dir(spark, purpose)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes what ``cut`` writes inside, once results that rest on it are stored.
+
+    For work that is done again and again, such as the batches of a stream.
+    """
+    paths: list[str] = []
+    _SCRATCH.append(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(paths)
+        for path in paths:
+            remove_folder(spark, path)
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder, store = _hadoop_path(spark, path)
+    store.delete(folder, True)
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    folder, store = _hadoop_path(spark, path)
+    return store.exists(folder)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from lapwise.operators.ordering import natural_positions
 from lapwise.session import cut
@@ -48,9 +48,13 @@ MANIFEST_DOCUMENT = T.StructType(
 )
 
 
-def required(column: Column, message: Column) -> Column:
-    """The value, or an error at run time if it is null."""
-    return F.when(column.isNull(), F.raise_error(message)).otherwise(column)
+def holds(condition: Column, message: Column) -> Column:
+    """A filter that every row passes, or else fails the job.
+
+    As a filter it is kept whatever columns a reader selects; an error inside
+    a column would go with the column.
+    """
+    return F.assert_true(F.coalesce(condition, F.lit(False)), message).isNull()
 
 
 # --- iteration table ----------------------------------------------------------
@@ -100,30 +104,37 @@ def result_documents(iterations: DataFrame) -> DataFrame:
 
 
 def write_results(iterations: DataFrame, path: str) -> None:
-    """Write documents as JSON, replacing the runs they belong to and no others."""
+    """Write documents as JSON, replacing those of the same queries and no others.
+
+    Every query of a run has a folder of its own, so storing a part of a run
+    leaves its other documents alone.
+    """
     documents = result_documents(iterations)
     writer = documents.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(*RUN_KEY).json(path)
+    writer.partitionBy(*QUERY_KEY).json(path)
 
 
 def documents_to_iterations(documents: DataFrame) -> DataFrame:
     """Explode documents into validated iterations; absent task counts become 0."""
     where = F.concat_ws("/", "dataset", "engine", "id")
-    need = lambda name: required(F.col(f"i.{name}"), F.concat(F.lit(f"Invalid result, {name} missing: "), where))
+    complete = F.lit(True)
+    for name in ("elapsed", "rowCount", "plan"):
+        complete = complete & F.col(f"i.{name}").isNotNull()
     part = F.coalesce(F.col("part"), F.lit(0))
     return (
         documents.select(*QUERY_KEY, part.alias("part"), F.posexplode_outer("iterations").alias("_pos", "i"))
         .where(F.col("_pos").isNotNull())
+        .where(holds(complete, F.concat(F.lit("Invalid result, elapsed, rowCount or plan missing: "), where)))
         .select(
             *QUERY_KEY,
             (F.col("part") * DOCUMENT_ROWS + F.col("_pos")).alias("iteration"),
-            need("elapsed").alias("elapsed"),
-            need("rowCount").alias("row_count"),
+            F.col("i.elapsed").alias("elapsed"),
+            F.col("i.rowCount").alias("row_count"),
             F.coalesce("i.tasks", F.lit(0)).cast("bigint").alias("tasks"),
             F.col("i.statsQErrorP50").alias("stats_q_error_p50"),
             F.col("i.statsQErrorP95").alias("stats_q_error_p95"),
             F.col("i.error").alias("error"),
-            need("plan").alias("plan"),
+            F.col("i.plan").alias("plan"),
         )
     )
 
@@ -155,9 +166,7 @@ def read_result_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
     found = F.concat_ws("/", "dataset", "engine", "id")
     message = F.concat(F.lit("Result "), "_file", F.lit(" identifies "), found, F.lit(", expected "), expected)
-    checked = F.when(found == expected, F.col("id")).otherwise(F.raise_error(message))
-    documents = raw.withColumn("id", checked).drop("_file")
-    return documents_to_iterations(documents)
+    return documents_to_iterations(raw.where(holds(found == expected, message)).drop("_file"))
 
 
 # --- manifests ----------------------------------------------------------------
@@ -188,7 +197,7 @@ def read_manifests(spark: SparkSession, path: str | list[str], multi_line: bool
 
 
 def manifest_entries(documents: DataFrame) -> DataFrame:
-    """Validated manifest documents, one row per listed id."""
+    """Validated manifest documents, one row per listed id; an id is listed once in all parts of a manifest."""
     bad_id = F.exists(
         "queryIds", lambda q: q.isNull() | (q == "") | q.isin(".", "..") | q.contains("/")
     )
@@ -203,21 +212,17 @@ def manifest_entries(documents: DataFrame) -> DataFrame:
         .when(F.coalesce(F.col("startTime"), F.lit(-1)) < 0, "startTime must be a non-negative integer")
         .when(F.col("dataset").isNull() | F.col("engine").isNull() | F.col("queryIds").isNull(), "keys missing")
         .when(bad_id, "query IDs must be file names")
-        .when(F.size(F.array_distinct("queryIds")) < F.size("queryIds"), "queryIds must be unique")
     )
-    checked = F.when(
-        problem.isNotNull(), F.raise_error(F.concat(F.lit("Invalid manifest: "), problem))
-    ).otherwise(F.col("dataset"))
     part = F.coalesce(F.col("part"), F.lit(0)) if "part" in documents.columns else F.lit(0)
-    return documents.select(
-        checked.alias("dataset"),
-        "engine",
-        F.col("startTime").alias("start_time"),
-        part.alias("_part"),
-        F.posexplode("queryIds").alias("_pos", "id"),
+    valid = documents.where(holds(problem.isNull(), F.concat(F.lit("Invalid manifest: "), problem)))
+    entries = valid.select(
+        *RUN_KEY, F.col("startTime").alias("start_time"), part.alias("_part"), F.posexplode("queryIds").alias("_pos", "id")
     ).select(
         *RUN_KEY, "start_time", (F.col("_part") * DOCUMENT_ROWS + F.col("_pos") + 1).cast("bigint").alias("position"), "id"
     )
+    times = F.count(F.lit(1)).over(Window.partitionBy(*RUN_KEY, "start_time", "id"))
+    repeated = F.concat(F.lit("Invalid manifest: queryIds must be unique, "), "id")
+    return entries.withColumn("_times", times).where(holds(F.col("_times") == 1, repeated)).drop("_times")
 
 
 def previous_runs(runs: DataFrame) -> DataFrame:
@@ -252,10 +257,10 @@ def load_results(iterations: DataFrame, manifests: DataFrame) -> DataFrame:
 
 def load_listed(iterations: DataFrame, listing: DataFrame) -> DataFrame:
     """Iterations of listed queries, once none of their documents is missing."""
-    missing = listing.where("missing").limit(_SHOWN).collect()
+    missing = listing.where("missing").orderBy(*QUERY_KEY).limit(_SHOWN).collect()
     if missing:
         names = ", ".join("/".join(row[k] for k in QUERY_KEY) for row in missing)
-        raise ValueError(f"Manifest references missing result(s): {names}")
+        raise ValueError(f"Manifest references {listing.where('missing').count()} missing result(s): {names}")
     return listing.select(*QUERY_KEY, "position").join(iterations, [*QUERY_KEY])
 
 

@@ -6,8 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lapwise.operators.catalog import drop_plan
+from lapwise.operators.catalog import drop_plan, publish_plan
 from lapwise.operators.comparison import line_order
+from lapwise.session import folder_exists, remove_folder
 
 
 def write_report(lines: DataFrame, path: str) -> None:
@@ -26,17 +27,54 @@ def write_report(lines: DataFrame, path: str) -> None:
     )
 
 
-def publish_dataset(spark: SparkSession, tables: Mapping[str, str], target: str) -> None:
-    """Copy the tables of a dataset to a target, replacing what is there.
+_LISTING = "path string, size bigint, modified_at timestamp"
 
-    Success markers are left out: a folder counts as a table only if it holds
-    nothing but Parquet files.
+
+def table_files(spark: SparkSession, tables: Mapping[str, str]) -> DataFrame:
+    """Parquet files of tables by ``<table>/<file>``, with size and time; only their metadata is read."""
+    listing = spark.createDataFrame([], _LISTING)
+    for name, path in tables.items():
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+        last = F.element_at(F.split("path", "/"), -1)
+        listing = listing.unionByName(
+            files.load(path).select(
+                F.concat(F.lit(f"{name}/"), last).alias("path"),
+                F.col("length").alias("size"),
+                F.col("modificationTime").alias("modified_at"),
+            )
+        )
+    return listing
+
+
+def publish_dataset(spark: SparkSession, tables: Mapping[str, str], target: str) -> dict[str, str]:
+    """Mirror the tables of a dataset at a target; returns what was done with each: upload, skip or delete.
+
+    The files a target was made from are recorded beside it.  The plan compares
+    them with the tables' files now: tables with new, changed or vanished files
+    are written anew, tables found only at the target are deleted, and the rest
+    is left alone.  Success markers are left out: a folder counts as a table
+    only if it holds nothing but Parquet files.
     """
     if not tables:
         raise ValueError("Dataset contains no Parquet files")
+    target = target.rstrip("/")
+    record = f"{target}.published"
+    known = spark.read.schema(_LISTING).parquet(record) if folder_exists(spark, record) else spark.createDataFrame([], _LISTING)
+    source = table_files(spark, tables)
+    plan = publish_plan(source, known).withColumn("name", F.substring_index("path", "/", 1))
+    # One row per table.
+    changes = plan.groupBy("name").agg(F.count_if(F.col("action") != "skip").alias("changed"), F.count("source_size").alias("files"))
+    actions = {}
     option = ("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
-    for name, path in tables.items():
-        spark.read.parquet(path).write.mode("overwrite").option(*option).parquet(f"{target.rstrip('/')}/{name}")
+    for row in sorted(changes.collect()):
+        name = row["name"]
+        actions[name] = "delete" if not row["files"] else "upload" if row["changed"] else "skip"
+        if actions[name] == "upload":
+            spark.read.parquet(tables[name]).write.mode("overwrite").option(*option).parquet(f"{target}/{name}")
+        elif actions[name] == "delete":
+            remove_folder(spark, f"{target}/{name}")
+    source.write.mode("overwrite").parquet(record)
+    return actions
 
 
 def confirmed_drop_plan(spark: SparkSession, listing: DataFrame, datasets: Sequence[str], confirm: bool) -> DataFrame:

@@ -46,7 +46,7 @@ def typed(df: DataFrame, suite: str, table: str, registry: Registry = REGISTRY)
     """
     actual = set(df.columns)
     columns = []
-    for name, registered in registry.columns(suite, table, df.columns):
+    for name, registered in registry.columns(suite, table):
         source = F.col(name) if name in actual else F.lit(None)
         columns.append(source.cast(spark_type(registered)).alias(name))
     return df.select(*columns)
@@ -67,8 +67,7 @@ def schema_conformance(
     """
     registered_rows, actual_rows, counts = [], [], []
     for table in registry.tables(suite):
-        names = tables[table].columns if table in tables else ()
-        for name, kind in registry.columns(suite, table, names):
+        for name, kind in registry.columns(suite, table):
             registered_rows.append((table, name, spark_type(kind).simpleString()))
     for table, df in tables.items():
         actual_rows += [(table, field.name, field.dataType.simpleString()) for field in df.schema]
@@ -96,7 +95,7 @@ def schema_conformance(
 
 def _value_counts(df: DataFrame, suite: str, table: str, registry: Registry) -> DataFrame:
     """One row per column: non-null values, and those that become null in the registered type."""
-    kinds = dict(registry.columns(suite, table, df.columns)) if table in registry.tables(suite) else {}
+    kinds = dict(registry.columns(suite, table)) if table in registry.tables(suite) else {}
     measures = []
     for name in df.columns:
         column = F.col(name)

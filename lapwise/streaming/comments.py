@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lapwise.operators.comments import first_versions, settled_watermark
 from lapwise.plans.comments import process_comments
+from lapwise.session import scratch
 from lapwise.sources.feed import comment_stream
-from lapwise.streaming.state import BatchLog
+from lapwise.streaming.state import BatchLog, CurrentTable, SeenIds
 
 OUTCOME_LOG = T.StructType(
     [
@@ -39,36 +40,47 @@ OUTCOME_LOG = T.StructType(
 COMMENT_COLUMNS = ["comment_id", "repository", "queue", "login", "issue_url", "body", "created_at", "updated_at"]
 
 
-def not_seen(comments: DataFrame, seen: DataFrame) -> DataFrame:
-    """Comments whose id was never seen.
+WAITING = T.StructType(
+    [
+        *[f for f in OUTCOME_LOG if f.name in COMMENT_COLUMNS],
+        T.StructField("attempts", T.LongType()),
+        T.StructField("next_attempt_at", T.TimestampType()),
+    ]
+)
+ACTIVE = T.StructType(
+    [
+        T.StructField("comment_id", T.LongType()),
+        T.StructField("queue", T.LongType()),
+        T.StructField("requested_by", T.StringType()),
+    ]
+)
 
-    The seen log grows forever while a batch stays small.  The log is cut to
-    the id range of the batch, which skips the files of other ranges by their
-    statistics since ids rise over time, and then to the ids themselves.
-    """
-    ids = comments.select("comment_id").distinct()
-    low, high = ids.agg(F.min("comment_id"), F.max("comment_id")).head()
-    if low is None:
-        return comments
-    hits = seen.select("comment_id").where(F.col("comment_id").between(low, high)).join(ids, "comment_id", "left_semi")
-    return comments.join(hits.distinct(), "comment_id", "left_anti")
+
+def not_seen(comments: DataFrame, seen: SeenIds, batch: int) -> DataFrame:
+    """Comments whose id no earlier batch has seen."""
+    known = seen.among(comments.select("comment_id"), batch)
+    return comments.join(known.distinct(), "comment_id", "left_anti")
 
 
 def dedupe_batch(log: BatchLog) -> Callable[[DataFrame, int], None]:
     """Batch function that logs every comment once, in its first version."""
+    seen = SeenIds(log.spark, f"{log.path}-ids")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        log.write(not_seen(first_versions(batch), log.read(before=batch_id)), batch_id)
+        log.write(not_seen(first_versions(batch), seen, batch_id), batch_id)
+        seen.write(log.read_batch(batch_id), batch_id)
 
     return handle
 
 
 class CommentProcessor:
-    """Handles landed comments batch by batch; its whole state is one outcome log.
+    """Handles landed comments batch by batch.
 
-    Seen comments, jobs and failures are read from the log of the earlier
-    batches, so one write per batch changes all of them together.  The stream
-    runs one batch at a time, which makes admission a single writer.
+    What a batch needs of the past are three tables: the comments waiting for
+    another attempt and the active jobs, both as they stand, and the ids seen,
+    of which it opens the ranges of its own ids.  The outcome log is written
+    and never read by a batch.  The stream runs one batch at a time, which
+    makes admission a single writer.
     """
 
     def __init__(
@@ -80,52 +92,50 @@ class CommentProcessor:
         finished: Callable[[], DataFrame] | None = None,
         now: Callable[[int], datetime] = lambda _: datetime.now(timezone.utc),
     ):
-        self.spark = spark
-        self.log = BatchLog(spark, f"{state.rstrip('/')}/outcomes", OUTCOME_LOG)
+        self.spark, state = spark, state.rstrip("/")
+        self.log = BatchLog(spark, f"{state}/outcomes", OUTCOME_LOG)
+        self.waiting = CurrentTable(spark, f"{state}/waiting", WAITING)
+        self.active = CurrentTable(spark, f"{state}/active", ACTIVE)
+        self.seen = SeenIds(spark, f"{state}/seen")
         self.allow_list, self.pull_requests = allow_list, pull_requests
         self.finished, self.now = finished, now
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
         polled_at = F.lit(self.now(batch_id)).cast("timestamp")
-        earlier = self.log.read(before=batch_id)
-        seen = earlier.where("settled").select("comment_id")
-        failures = self._failures(earlier, seen)
-        due = failures.where(F.col("next_attempt_at") <= polled_at)
-        comments = not_seen(first_versions(batch.select(*COMMENT_COLUMNS)), seen)
-        fresh = comments.join(failures.select("comment_id"), "comment_id", "left_anti")
-        todo = fresh.unionByName(due.select(*COMMENT_COLUMNS))
-        outcomes = process_comments(
-            todo,
-            seen=seen.limit(0),  # already taken out above
-            jobs=self._no_jobs(),
-            allow_list=self.allow_list,
-            pull_requests=self.pull_requests,
-            active=self._active(earlier),
-            failures=failures,
-            polled_at=polled_at,
-        )
-        self.log.write(outcomes, batch_id)
-
-    def _failures(self, earlier: DataFrame, seen: DataFrame) -> DataFrame:
-        """Comments waiting for another attempt, as of the earlier batches."""
-        waiting = earlier.where(F.col("outcome") == "retry")
-        last = F.max(F.struct("attempt", "next_attempt_at", *[c for c in COMMENT_COLUMNS if c != "comment_id"]))
-        return (
-            waiting.groupBy("comment_id")
-            .agg(last.alias("last"))
-            .select("comment_id", F.col("last.attempt").alias("attempts"), "last.*")
-            .drop("attempt")
-            .join(seen, "comment_id", "left_anti")
-        )
-
-    def _active(self, earlier: DataFrame) -> DataFrame:
-        queued = earlier.where(F.col("outcome") == "queued")
-        if self.finished is not None:
-            queued = queued.join(self.finished().select("comment_id"), "comment_id", "left_anti")
-        return queued.groupBy("queue", F.col("login").alias("requested_by")).agg(F.count(F.lit(1)).alias("active"))
-
-    def _no_jobs(self) -> DataFrame:
-        return self.spark.createDataFrame([], "comment_id bigint, status_comment_id bigint")
+        waiting, active = self.waiting.read(batch_id), self._unfinished(self.active.read(batch_id))
+        comments = not_seen(first_versions(batch.select(*COMMENT_COLUMNS)), self.seen, batch_id)
+        fresh = comments.join(waiting.select("comment_id"), "comment_id", "left_anti")
+        due = waiting.where(F.col("next_attempt_at") <= polled_at)
+        with scratch(self.spark):
+            outcomes = process_comments(
+                fresh.unionByName(due.select(*COMMENT_COLUMNS)),
+                seen=self._none("comment_id bigint"),  # already taken out above
+                jobs=self._none("comment_id bigint, status_comment_id bigint"),
+                allow_list=self.allow_list,
+                pull_requests=self.pull_requests,
+                active=active.groupBy("queue", "requested_by").agg(F.count(F.lit(1)).alias("active")),
+                failures=waiting,
+                polled_at=polled_at,
+            )
+            self.log.write(outcomes, batch_id)
+        self._advance(self.log.read_batch(batch_id), waiting, active, batch_id)
+
+    def _advance(self, outcomes: DataFrame, waiting: DataFrame, active: DataFrame, batch_id: int) -> None:
+        """The tables as the next batch finds them."""
+        again = outcomes.where("outcome = 'retry'").withColumn("attempts", F.col("attempt"))
+        left = waiting.join(outcomes.select("comment_id"), "comment_id", "left_anti")
+        self.waiting.write(left.unionByName(again.select(*left.columns)), batch_id)
+        queued = outcomes.where("outcome = 'queued'").withColumn("requested_by", F.col("login"))
+        self.active.write(active.unionByName(queued.select(*active.columns)), batch_id)
+        self.seen.write(outcomes.where("settled"), batch_id)
+
+    def _unfinished(self, active: DataFrame) -> DataFrame:
+        if self.finished is None:
+            return active
+        return active.join(self.finished().select("comment_id"), "comment_id", "left_anti")
+
+    def _none(self, schema: str) -> DataFrame:
+        return self.spark.createDataFrame([], schema)
 
     def outcomes(self) -> DataFrame:
         return self.log.read()

@@ -1,17 +1,22 @@
-"""State of streaming jobs as append-only batch logs."""
+"""State of streaming jobs: batch logs, current tables and seen ids.
+
+A batch that is run again after a failure sees the same state and leaves the
+same result: it reads only what earlier batches left, and replaces what it wrote
+itself.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from lapwise.session import folder_exists, remove_folder
 
-class BatchLog:
-    """A table with one folder per micro-batch.
+# Ids that share a folder of the seen ids.
+SEEN_BUCKET = 100_000
 
-    Writing a batch replaces its folder, and a batch reads only the folders of
-    earlier ones.  A batch that is run again after a failure therefore sees the
-    same state and leaves the same result.
-    """
+
+class BatchLog:
+    """A growing table with one folder per micro-batch; writing a batch replaces its folder."""
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
@@ -35,6 +40,60 @@ class BatchLog:
         log = self.spark.read.schema(schema).option("basePath", self.path).parquet(self.path)
         return log if before is None else log.where(F.col("batch") < before)
 
+    def read_batch(self, batch: int) -> DataFrame:
+        """The rows of one batch; no other folder is looked at."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={batch}")
+
+
+class CurrentTable:
+    """A table that every batch replaces as a whole; the last two versions are kept.
+
+    What a batch reads is the version of the batch before, so its cost follows
+    the current rows and not the history.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+
+    def _folder(self, batch: int) -> str:
+        return f"{self.path}/batch={batch}"
+
+    def read(self, batch: int) -> DataFrame:
+        """The table as the batch before left it; empty for the first one."""
+        if batch == 0:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self._folder(batch - 1))
+
+    def write(self, rows: DataFrame, batch: int) -> None:
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]
+        rows.select(*columns).write.mode("overwrite").parquet(self._folder(batch))
+        remove_folder(self.spark, self._folder(batch - 2))
+
+
+class SeenIds:
+    """All ids that earlier batches have seen, by ranges of ids: a batch opens the ranges of its own ids only."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def among(self, ids: DataFrame, batch: int, column: str = "comment_id") -> DataFrame:
+        """The ids of earlier batches in the ranges of ``ids``."""
+        ranges = ids.select(F.floor(F.col(column) / SEEN_BUCKET).alias("bucket")).distinct().collect()
+        folders = [f"{self.path}/bucket={r['bucket']}" for r in ranges]
+        folders = [f for f in folders if folder_exists(self.spark, f)]
+        if not folders:
+            return self.spark.createDataFrame([], f"{column} bigint")
+        schema = f"{column} bigint, bucket bigint, batch bigint"
+        known = self.spark.read.schema(schema).option("basePath", self.path).parquet(*folders)
+        return known.where(F.col("batch") < batch).select(column)
+
+    def write(self, ids: DataFrame, batch: int, column: str = "comment_id") -> None:
+        rows = ids.select(
+            column, F.floor(F.col(column) / SEEN_BUCKET).alias("bucket"), F.lit(batch).cast("bigint").alias("batch")
+        )
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("bucket", "batch").parquet(self.path)
+
 
 def latest_rows(log: DataFrame, keys: list[str]) -> DataFrame:
     """The newest logged row per key; a struct maximum combines map-side."""

@@ -15,7 +15,7 @@ from lapwise.plans.compare import compare_stored
 from lapwise.plans.settings import apply_settings, setting_statements
 from lapwise.sources import corpus, feed, results, sinks
 from lapwise.sources.registry import REGISTRY
-from lapwise.sources.tables import scan_typed, typed
+from lapwise.sources.tables import scan_typed, schema_conformance, typed
 from test_statistics import iterations, pairs
 
 
@@ -80,11 +80,13 @@ def test_result_files(spark, tmp_path):
             results.read_result_files(spark, bad).collect()
 
 
-def test_results_round_trip_and_replace_only_their_run(spark, tmp_path):
+def test_results_round_trip_and_replace_only_their_query(spark, tmp_path):
     path = f"{tmp_path}/results"
     results.write_results(iterations(spark, ("a", "q1", 1.25, 1), ("b", "q1", 2, 2, "x")), path)
-    results.write_results(iterations(spark, ("a", "q1", 7, 1)), path)
-    assert rows(results.read_results(spark, path), "engine", "elapsed", "error") == [("a", 7.0, None), ("b", 2.0, "x")]
+    results.write_results(iterations(spark, ("a", "q1", 7, 1), ("a", "q2", 3, 1)), path)
+    results.write_results(iterations(spark, ("a", "q2", 4, 1)), path)
+    found = rows(results.read_results(spark, path), "engine", "id", "elapsed", "error")
+    assert found == [("a", "q1", 7.0, None), ("a", "q2", 4.0, None), ("b", "q1", 2.0, "x")]
 
 
 def test_long_documents_continue_in_parts(spark, monkeypatch):
@@ -187,9 +189,12 @@ def test_dataset_validators(spark):
 
 
 def test_run_labels(spark):
-    df = spark.createDataFrame([("a/b/topic", "x" * 40), (None, "0123456789abcdef"), ("", ""), ("main", None)], "b string, c string")
+    df = spark.createDataFrame([("a/b/topic", "x" * 40), (None, "0123456789abcdef"), ("main", None)], "b string, c string")
     found = df.select(names.run_label(F.col("b"), F.col("c")).alias("l"))
-    assert [r["l"] for r in found.collect()] == ["topic", "0123456789ab", None, "main"]
+    assert [r["l"] for r in found.collect()] == ["topic", "0123456789ab", "main"]
+    neither = spark.createDataFrame([("", "")], "b string, c string").select(names.run_label(F.col("b"), F.col("c")))
+    with pytest.raises(PySparkException, match="neither branch nor commit"):
+        neither.collect()
 
 
 def test_settings(spark):
@@ -232,20 +237,65 @@ def test_allow_lists(spark, tmp_path):
 def test_registry(spark, sf_dir):
     assert len(REGISTRY.columns("clickbench", "hits")) == 105
     assert sum(len(REGISTRY.columns("tpch", t)) for t in REGISTRY.tables("tpch")) == 61
-    assert len(REGISTRY.tables("tpcds")) == 24
-    found = dict(REGISTRY.columns("tpcds", "store_sales", [
-        "ss_sold_date_sk", "ss_item_sk", "ss_ticket_number", "ss_quantity", "ss_list_price", "ss_ext_tax",
-        "ss_ext_sales_price", "ss_coupon_amt", "ss_net_profit", "ss_net_paid"]))
-    assert list(found.values()) == [
-        "double", "integer", "integer", "double", "decimal(5,2)", "decimal(6,2)", "decimal(7,2)", "decimal(7,2)",
-        "decimal(6,2)", "decimal(7,2)"]
     with pytest.raises(ValueError, match="not registered"):
         scan_typed(spark, f"{sf_dir}/events.parquet", "tpch", "events")
     extended = REGISTRY.with_suite("lab", "runs: id bigint, took decimal(5,1)")
     assert [f.dataType.simpleString() for f in typed(spark.range(1), "lab", "runs", extended).schema] == ["bigint", "decimal(5,1)"]
 
 
+def test_suites_from_a_file_report_missing_columns(spark, tmp_path):
+    write(f"{tmp_path}/tpcds.txt", "store: s_store_sk integer, s_store_id varchar(16),\n  s_gmt_offset decimal(3,2)\nreason: r_reason_sk integer\n")
+    registry = REGISTRY.with_suite_file(spark, "tpcds", f"{tmp_path}/tpcds.txt")
+    assert registry.tables("tpcds") == ["store", "reason"]
+    store = spark.createDataFrame([(1, 5.25, "x")], "s_store_sk int, s_gmt_offset double, extra string")
+    found = schema_conformance(spark, "tpcds", {"store": store}, registry)
+    assert rows(found, "table_name", "column_name", "outcome") == sorted([
+        ("store", "s_store_sk", "match"), ("store", "s_store_id", "missing"), ("store", "s_gmt_offset", "type_differs"),
+        ("store", "extra", "extra"), ("reason", "r_reason_sk", "missing"),
+    ])
+
+
+def test_checks_stay_whatever_is_read(spark, tmp_path):
+    """A check is no column that a narrow read or a count could drop."""
+    write(f"{tmp_path}/m/one.json", manifest_text(version=2))
+    bad = results.read_manifests(spark, f"{tmp_path}/m")
+    path = f"{tmp_path}/tpch/sf1/results/base/q2.json"
+    write(path, document())
+    files = results.read_result_files(spark, path)
+    write(f"{tmp_path}/tpch/sf1/results/base/q1.json", document(iterations=[{"elapsed": 1, "rowCount": 1}]))
+    plans = results.read_result_files(spark, f"{tmp_path}/tpch/sf1/results/base/q1.json")
+    layout = catalog.checked_layout(spark, listing(spark, (0, "d/w/bad name/a")), ["d/w"])
+    for df, narrow in ((bad, "id"), (files, "elapsed"), (plans, "iteration"), (layout, "dataset")):
+        for action in (lambda: df.collect(), lambda: df.select(narrow).collect(), lambda: df.count()):
+            with pytest.raises((PySparkException, Py4JJavaError)):
+                action()
+
+
+def test_ids_repeat_in_no_part_of_a_manifest(spark, monkeypatch):
+    monkeypatch.setattr(results, "DOCUMENT_ROWS", 3)
+    entries = lambda ids: spark.createDataFrame(
+        [("d/v", "e", 1, p + 1, i) for p, i in enumerate(ids)], "dataset string, engine string, start_time bigint, position bigint, id string"
+    )
+    good = results.manifest_documents(entries([f"q{i}" for i in range(8)]))
+    assert results.manifest_entries(good).count() == 8
+    repeated = results.manifest_entries(results.manifest_documents(entries(["a", "b", "c", "d", "a"])))
+    for action in (lambda: repeated.count(), lambda: repeated.select("dataset").collect()):
+        with pytest.raises(PySparkException, match="unique"):
+            action()
+
+
 def test_published_tables_are_tables_again(spark, sf_dir, tmp_path):
     sinks.publish_dataset(spark, {"nation": f"{sf_dir}/nation.parquet"}, f"{tmp_path}/d/v")
     left = [f for f in os.listdir(f"{tmp_path}/d/v/nation") if not f.endswith(".crc")]
     assert left and all(f.endswith(".parquet") for f in left)
+
+
+def test_publishing_again_follows_the_plan(spark, sf_dir, tmp_path):
+    source = {t: f"{sf_dir}/{t}.parquet" for t in ("nation", "region")}
+    target = f"{tmp_path}/d/v"
+    assert sinks.publish_dataset(spark, source, target) == {"nation": "upload", "region": "upload"}
+    assert sinks.publish_dataset(spark, source, target) == {"nation": "skip", "region": "skip"}
+    assert sinks.publish_dataset(spark, {"nation": source["region"]}, target) == {"nation": "upload", "region": "delete"}
+    assert os.listdir(target) == ["nation"] and "r_name" in spark.read.parquet(f"{target}/nation").columns
+    with pytest.raises(ValueError):
+        sinks.publish_dataset(spark, {}, target)

@@ -1,17 +1,19 @@
 """Streams against their batch meaning, also when run again."""
 
+import os
 from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from lapwise import session
 from lapwise.fixtures import Fixtures
 from lapwise.operators.jobs import job_state
 from lapwise.sources.feed import comment_stream, land_comments
 from lapwise.streaming.comments import CommentProcessor, dedupe_batch, run_available
 from lapwise.streaming.jobs import job_event_stream, run_job_state
-from lapwise.streaming.state import BatchLog, latest_rows
+from lapwise.streaming.state import SEEN_BUCKET, BatchLog, CurrentTable, SeenIds, latest_rows
 
 T0 = datetime(2024, 2, 1, tzinfo=timezone.utc)
 
@@ -72,3 +74,29 @@ def test_job_state_over_several_batches(spark, fx, tmp_path):
 def test_latest_rows(spark):
     log = spark.createDataFrame([(1, "a", 0), (1, "b", 2), (2, "c", 1)], "k int, v string, batch bigint")
     assert rows(latest_rows(log, ["k"])) == [(1, "b"), (2, "c")]
+
+
+def test_a_batch_reads_current_state_only(spark, fx, tmp_path):
+    """After a hundred batches a batch opens one version of each table and the ranges of its own ids."""
+    path = f"{tmp_path}/t"
+    table = CurrentTable(spark, path, spark.range(0).schema)
+    for batch in range(4):
+        table.write(table.read(batch).unionByName(spark.range(batch, batch + 1)), batch)
+    assert sorted(f for f in os.listdir(path) if f.startswith("batch=")) == ["batch=2", "batch=3"]
+    assert rows(table.read(4)) == [(0,), (1,), (2,), (3,)] and rows(table.read(3)) == [(0,), (1,), (2,)]
+    seen = SeenIds(spark, f"{tmp_path}/seen")
+    for batch in range(3):
+        seen.write(spark.createDataFrame([(batch * SEEN_BUCKET + i,) for i in range(3)], "comment_id bigint"), batch)
+    seen.write(spark.createDataFrame([(5,)], "comment_id bigint"), 3)
+    mine = seen.among(spark.createDataFrame([(1,), (7,)], "comment_id bigint"), 3)
+    assert rows(mine) == [(0,), (1,), (2,)] and all("bucket=0/" in f for f in mine.inputFiles())
+    assert rows(seen.among(spark.createDataFrame([(9 * SEEN_BUCKET,)], "comment_id bigint"), 3)) == []
+
+
+def test_work_of_a_batch_is_removed(spark, fx, tmp_path, monkeypatch):
+    removed, remove = [], session.remove_folder
+    monkeypatch.setattr(session, "remove_folder", lambda spark, path: (remove(spark, path), removed.append(path)))
+    processor = CommentProcessor(spark, f"{tmp_path}/state", fx.allow_list(), fx.pull_requests(), now=lambda batch: T0)
+    processor.handle(fx.comments(), 0)
+    assert processor.outcomes().count() == fx.comments().count()
+    assert removed and not any(session.folder_exists(spark, path) for path in removed)
