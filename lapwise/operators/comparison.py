@@ -171,6 +171,7 @@ def ordered_set_check(base: DataFrame, head: DataFrame) -> DataFrame:
 
 
 # --- report lines -----------------------------------------------------------
+# The texts of all lines below.
 
 
 def _mark(kind: Column, highlighted: Column) -> Column:

@@ -116,6 +116,7 @@ def render_comparison(blocks: Column, limit: Column) -> Column:
 
 
 # --- messages -----------------------------------------------------------------
+# The texts of all messages below.
 
 
 def _text(*parts: Column | str) -> Column:

@@ -18,6 +18,7 @@ from lapwise.plans.comments import process_comments
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 DEFAULT = ("c5n.2xlarge", 12)
+# Texts that must match.
 REQUESTS = {
     "benchmarks run tpch/sf1": (["tpch/sf1"], *DEFAULT),
     "benchmarks run tpch/sf1 tpch/sf10 tpch/sf100 --nodes 6": (["tpch/sf1", "tpch/sf10", "tpch/sf100"], "c5n.2xlarge", 6),
@@ -29,6 +30,7 @@ REQUESTS = {
     "benchmarks run ../..": (["../.."], *DEFAULT),
     "benchmarks run tpch/sf1 --nodes 24": (["tpch/sf1"], "c5n.2xlarge", 24),
 }
+# Texts that must match.
 INVALID = {
     "benchmarks run tpch/sf1 --instance-type c7i.2xlarge --nodes 25": "Invalid node count `25`; expected an integer from 1 to 24.",
     "benchmarks run tpch/sf1 --instance-type $(whoami) --nodes 12": "Invalid instance type `$(whoami)`.",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lapwise.functions import sqltext, text
 from lapwise.operators import report
 
+# Texts that must match.
 BLOCK = """=== Comparing tpch/sf1 results 'base' [prev] with 'head' [new] ===
       q1: prev= 100 ms, new= 120 ms, diff=1.20 slower ✖
       q2: prev= 200 ms, new= 150 ms, diff=1.33 faster ✔
