@@ -41,40 +41,37 @@ KEEP_AT = 0.5
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts", "n_symbol_lines")
 
 
-def _share(part: str, whole: str) -> Column:
-    return F.col(f"m.{part}") / F.greatest(F.col(f"m.{whole}"), F.lit(1))
-
-
 @dataclass(frozen=True)
 class Rule:
-    """Votes bad outside the tolerated range of a measure, good inside the usual one, else abstains."""
+    """Votes bad outside the tolerated range of a share, good inside the usual one, else abstains."""
 
     name: str
-    measure: Column
+    part: str
+    whole: str
     usual: tuple[float, float]
     tolerated: tuple[float, float]
 
     def vote(self) -> Column:
-        m = self.measure
+        share = F.col(f"m.{self.part}") / F.greatest(F.col(f"m.{self.whole}"), F.lit(1))
         return (
             F.when(F.col("m.n_words") == 0, F.lit(0))
-            .when(~m.between(*self.tolerated), F.lit(-1))
-            .when(m.between(*self.usual), F.lit(1))
+            .when(~share.between(*self.tolerated), F.lit(-1))
+            .when(share.between(*self.usual), F.lit(1))
             .otherwise(F.lit(0))
         )
 
 
 def rules() -> list[Rule]:
     return [
-        Rule("symbols", _share("n_symbols", "n_words"), (0, 0.02), (0, 0.1)),
-        Rule("symbol_chars", _share("n_symbols", "word_chars"), (0, 0.005), (0, 0.03)),
-        Rule("symbol_lines", _share("n_symbol_lines", "n_lines"), (0, 0.1), (0, 0.5)),
-        Rule("shouts", _share("n_shouts", "n_words"), (0, 0.02), (0, 0.15)),
-        Rule("capitals", _share("n_upper", "word_chars"), (0, 0.08), (0, 0.3)),
-        Rule("repeats", _share("n_repeat_words", "n_words"), (0, 0.2), (0, 0.4)),
-        Rule("lines", _share("n_dup_lines", "n_lines"), (0, 0.0), (0, 0.5)),
-        Rule("word_length", _share("word_chars", "n_words"), (3.5, 9), (2.5, 14)),
-        Rule("line_length", _share("n_words", "n_lines"), (4, 400), (1.5, 1e9)),
+        Rule("symbols", "n_symbols", "n_words", (0.0, 0.02), (0.0, 0.1)),
+        Rule("symbol_chars", "n_symbols", "word_chars", (0.0, 0.005), (0.0, 0.03)),
+        Rule("symbol_lines", "n_symbol_lines", "n_lines", (0.0, 0.1), (0.0, 0.5)),
+        Rule("shouts", "n_shouts", "n_words", (0.0, 0.02), (0.0, 0.15)),
+        Rule("capitals", "n_upper", "word_chars", (0.0, 0.08), (0.0, 0.3)),
+        Rule("repeats", "n_repeat_words", "n_words", (0.0, 0.2), (0.0, 0.4)),
+        Rule("lines", "n_dup_lines", "n_lines", (0.0, 0.0), (0.0, 0.5)),
+        Rule("word_length", "word_chars", "n_words", (3.5, 9.0), (2.5, 14.0)),
+        Rule("line_length", "n_words", "n_lines", (4.0, 400.0), (1.5, 1e9)),
     ]
 
 

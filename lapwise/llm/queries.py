@@ -11,7 +11,7 @@ from lapwise.llm.language_id import identify, learn
 from lapwise.llm.licenses import LEAST_SHARE, TEMPLATES, scan_licenses
 from lapwise.llm.line_dedup import line_dedup
 from lapwise.llm.quality_classifier import quality_classifier
-from lapwise.llm.quality_rules import quality_rules
+from lapwise.llm import quality_rules as qr
 from lapwise.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from lapwise.llm.simhash import near_duplicates
 from lapwise.llm.substring_dedup import LENGTH, sha256_of_kept, substring_dedup
@@ -20,10 +20,73 @@ from lapwise.llm.token_files import token_files
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-@query("op1_quality_rules")
+def _quality_sql() -> str:
+    """The counts, the votes, and expectation-maximisation over vote patterns as a recursion."""
+    rules = qr.rules()
+    real = lambda x: f"CAST({x!r} AS DOUBLE)"
+    votes = []
+    for rule in rules:
+        share = f"(CAST({rule.part} AS DOUBLE) / greatest({rule.whole}, 1))"
+        inside = lambda limits, share=share: f"{share} BETWEEN {real(limits[0])} AND {real(limits[1])}"
+        votes.append(f"CASE WHEN n_words = 0 THEN 0 WHEN NOT ({inside(rule.tolerated)}) THEN -1 WHEN {inside(rule.usual)} THEN 1 ELSE 0 END")
+    evidence = [
+        f"CASE votes[{j}] WHEN 1 THEN ln(g[{j}] / (1 - b[{j}])) WHEN -1 THEN ln((1 - g[{j}]) / b[{j}]) ELSE 0 END"
+        for j in range(1, len(rules) + 1)
+    ]
+    odds = "ln(good / (1 - good)) + " + " + ".join(evidence)
+    total = lambda weight, j, sign: f"coalesce(sum({weight}) FILTER (votes[{j}] = {sign}), 0)"
+
+    def estimates(weight: str, right: int, start: float, limits: tuple[float, float]) -> str:
+        parts = [
+            f"least(greatest(({total(weight, j, right)} + {qr.PRIOR_VOTES * start!r}) / ({total(weight, j, 1)} + {total(weight, j, -1)} + {qr.PRIOR_VOTES}),"
+            f" {real(limits[0])}), {real(limits[1])})"
+            for j in range(1, len(rules) + 1)
+        ]
+        return "[" + ",\n   ".join(parts) + "]"
+
+    same = lambda x: "[" + ", ".join([real(x)] * len(rules)) + "]"
+    return rf"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+triple AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM doc WHERE len(w) >= 3)),
+twice AS (SELECT doc_id, s FROM triple GROUP BY ALL HAVING count(*) > 1),
+repeated AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM triple JOIN twice USING (doc_id, s)) GROUP BY 1),
+m AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+         coalesce(repeated.n, 0) AS n_repeat_words, len(l) AS n_lines, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper,
+         length(regexp_replace(t, '[^!]+', '', 'g')) AS n_shouts,
+         len(list_filter(l, lambda x: regexp_matches(x, '[#*$%&|<>]'))) AS n_symbol_lines
+  FROM doc LEFT JOIN repeated USING (doc_id)),
+voted AS (SELECT *, [{", ".join(votes)}] AS votes FROM m),
+pattern AS MATERIALIZED (SELECT votes, CAST(count(*) AS DOUBLE) AS n FROM voted GROUP BY votes),
+em(step, good, g, b) AS (
+  SELECT 0, {real(qr.START_GOOD)}, {same(qr.START_ON_GOOD)}, {same(qr.START_ON_BAD)}
+  UNION ALL
+  SELECT step + 1,
+   least(greatest((sum(n * p) + {qr.PRIOR_VOTES * qr.START_GOOD!r}) / (sum(n) + {qr.PRIOR_VOTES}), {real(qr.GOOD_RANGE[0])}), {real(qr.GOOD_RANGE[1])}),
+   {estimates("n * p", 1, qr.START_ON_GOOD, qr.ON_GOOD_RANGE)},
+   {estimates("n * (1 - p)", -1, qr.START_ON_BAD, qr.ON_BAD_RANGE)}
+  FROM (SELECT step, votes, n, 1 / (1 + exp(-greatest(-500, least(500, {odds})))) AS p FROM em, pattern WHERE step < {qr.ITERATIONS})
+  GROUP BY step),
+judged AS (
+  SELECT voted.*, n_words < {qr.LEAST_WORDS} OR 100 * n_repeat_words > {qr.MOST_REPEATED_PERCENT} * n_words AS base_failed,
+         1 / (1 + exp(-({odds}))) AS q
+  FROM voted, (SELECT good, g, b FROM em ORDER BY step DESC LIMIT 1))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND q >= {qr.KEEP_AT} AS kept, round(q, 6) AS quality
+FROM judged"""
+
+
+@query("op1_quality_rules", _quality_sql())
 def op1(table) -> DataFrame:
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    judged = quality_rules(table("documents"))
+    judged = qr.quality_rules(table("documents"))
     return judged.select("row.doc_id", *[f"m.{c}" for c in counts], "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
