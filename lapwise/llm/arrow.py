@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Rows and bytes of one batch; the bytes bound holds whatever the length of texts.
 BATCH_ROWS = 2_000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

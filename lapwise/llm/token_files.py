@@ -12,12 +12,15 @@ pieces are remembered, so frequent ones are encoded once by a worker.  This is
 exact where no token, normalisation or special token reaches over a blank, which
 holds for vocabularies of words with word ends.
 
+A worker remembers a bounded number of pieces.
+
 Null and empty texts are a document of the end id alone.  Null ids come first,
 rows with equal ids follow one another in the order of their texts.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -33,11 +36,42 @@ from lapwise.session import work_dir
 END_ID = 2
 STRIPE_BYTES = 64 << 20
 INDEX_ROWS = 1_000
-REMEMBERED_PIECES = 400_000
+REMEMBERED_PIECES = 150_000
+# Pieces that are encoded in one call.
+TOGETHER = 1_000
+# Marks that often stand behind a word.
+MARKS = tuple(".,;:!?")
+# Letters whose lower case and composition are one letter again.
+is_word = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+
+
+class Recent(dict):
+    """What was used lately: two generations of a bounded number of entries; a full one becomes the older one."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def __missing__(self, key):
+        value = self[key] = self.older[key]
+        return value
+
+    def turn_over(self) -> None:
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+
+    def unknown(self, keys: set) -> set:
+        return keys - self.keys() - self.older.keys()
 
 
 class PieceEncoder:
-    """Ids of pieces by the tokenizers library, remembered as little-endian bytes."""
+    """Ids of pieces by the tokenizers library, remembered as little-endian bytes.
+
+    Pieces of plain letters only are one word each; they are encoded many at a
+    time, as a text, and told apart by the word ends of their last ids.  Others
+    are encoded one by one, as their normalisation may make several words.
+    """
 
     def __init__(self, text: str):
         from tokenizers import Tokenizer
@@ -45,19 +79,41 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_str(text)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known = Recent(REMEMBERED_PIECES)
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*pieces) - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED_PIECES:
-            self.known.clear()
-            new = list(set().union(*pieces))
-        for piece, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[piece] = np.array(coded.ids, "<u4").tobytes()
+        self.known.turn_over()
+        self._learn(self.known.unknown(set().union(*pieces)))
         end = np.array([end_id], "<u4").tobytes()
         return [b"".join(map(self.known.__getitem__, p)) + end for p in pieces]
 
+    def _learn(self, new: set[str]) -> None:
+        words = {p for p in new if is_word(p)}
+        # A word and the mark behind it are two words.
+        marked = {p for p in new - words if p[-1:] in MARKS and is_word(p[:-1])}
+        self._learn_words(sorted(words | self.known.unknown({p[:-1] for p in marked})))
+        self._learn_pieces(sorted((new - words - marked) | self.known.unknown({p[-1] for p in marked})))
+        for piece in marked:
+            self.known[piece] = self.known[piece[:-1]] + self.known[piece[-1]]
+
+    def _learn_words(self, words: list[str]) -> None:
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = (4 * (np.nonzero(self.ends_word[ids])[0] + 1)).tolist()
+            data = ids.tobytes()
+            self.known.update(zip(some, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        for at in range(0, len(pieces), TOGETHER):
+            some = pieces[at : at + TOGETHER]
+            for piece, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[piece] = np.array(coded.ids, "<u4").tobytes()
+
 
 @lru_cache(maxsize=1)
 def _encoder(text: str) -> PieceEncoder:

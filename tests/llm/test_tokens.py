@@ -96,6 +96,18 @@ def test_pieces_equal_whole_texts():
         assert np.frombuffer(ids, "<u4").tolist() == [*expected.ids, 2], text
 
 
+def test_few_remembered_pieces_change_nothing(monkeypatch):
+    library = Tokenizer.from_file(WORD_FILE)
+    with open(WORD_FILE, encoding="utf-8") as file:
+        text = file.read()
+    monkeypatch.setattr(token_files, "REMEMBERED_PIECES", 15)
+    monkeypatch.setattr(token_files, "TOGETHER", 7)
+    encoder = token_files.PieceEncoder(text)
+    for sample in strange_texts()[::3] + ["Words, words; and Words. more words! words", "words words, Words."]:
+        expected = library.encode(sample, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode([sample], 2)[0], "<u4").tolist() == [*expected, 2]
+
+
 def _expected(rows):
     library, start = Tokenizer.from_file(WORD_FILE), 0
     for i, text in rows:
