@@ -52,8 +52,8 @@ COLUMNS = LENGTH + STRINGS - 1
 # Occurrences of an anchor from which its strings are dealt by their neighbouring bytes too.
 HOT_ANCHOR = 4_096
 HALF = (STRINGS - 1) // 2
-# Positions that are hashed at a time; they fit the low bits of a packed minimum.
-_PIECE = 1 << 23
+# Positions that are hashed at a time, which bounds the memory; they fit the low bits of a packed minimum.
+_PIECE = 1 << 19
 _PLACE_BITS = np.uint64(24)
 _LAST_ID = 2**63 - 1
 _KEY = "id long, text_hash long"
@@ -101,34 +101,40 @@ class Anchors:
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         self.data = np.frombuffer(b"".join(texts), np.uint8)
-        # A string that would reach over the end of its text is none.
-        left = np.repeat(self.starts[1:], self.sizes)
         parts = [
-            self._piece(at, min(at + _PIECE + LENGTH - 1, len(self.data)), left)
+            self._piece(at, min(at + _PIECE + LENGTH - 1, len(self.data)))
             for at in range(0, max(len(self.data) - LENGTH + 1, 0), _PIECE)
         ]
-        empty = np.empty(0, np.int64)
-        strings = np.concatenate([p[0] for p in parts]) if parts else empty
-        places = np.concatenate([p[1] for p in parts]) if parts else empty
-        hashes = np.concatenate([p[2] for p in parts]) if parts else np.empty(0, np.uint64)
-        new = np.ones(len(places), bool)
-        new[1:] = places[1:] != places[:-1]
+        first, last, place, hashes = (
+            np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.uint64 if i == 3 else np.int64) for i in range(4)
+        )
+        # An anchor of strings on either side of a cut between pieces is one.
+        new = np.ones(len(place), bool)
+        new[1:] = place[1:] != place[:-1]
         heads = np.nonzero(new)[0]
-        ends = np.concatenate([heads[1:], [len(places)]])[: len(heads)] - 1
-        self.place, self.hash = places[heads], hashes[heads]
-        self.first = strings[heads] - self.place + STRINGS - 1
-        self.last = strings[ends] - self.place + STRINGS - 1
+        ends = np.append(heads[1:], len(place))[: len(heads)] - 1
+        self.place, self.hash = place[heads], hashes[heads]
+        self.first = first[heads] - self.place + STRINGS - 1
+        self.last = last[ends] - self.place + STRINGS - 1
         self.row = np.searchsorted(self.starts, self.place, side="right") - 1
 
-    def _piece(self, start: int, end: int, left: np.ndarray):
-        """Start, anchor place and anchor hash of every string that starts in a piece."""
+    def _piece(self, start: int, end: int):
+        """First and last string, place and hash of the anchors of the strings that start in a piece."""
         hashes = gram_hashes(self.data[start:end], GRAM)
         packed_places = (hashes >> _PLACE_BITS << _PLACE_BITS) | np.arange(len(hashes), dtype=np.uint64)
         least = _least_of(packed_places, STRINGS)
-        strings = np.arange(len(least))
-        whole = strings + start + LENGTH <= left[strings + start]
-        strings, at = strings[whole], (least[whole] & np.uint64((1 << 24) - 1)).astype(np.int64)
-        return strings + start, at + start, hashes[at]
+        # A string that would reach over the end of its text is none.
+        rows = slice(np.searchsorted(self.starts, start, side="right") - 1, np.searchsorted(self.starts, start + len(least)))
+        begins = np.maximum(self.starts[:-1][rows], start)
+        ends = np.minimum(self.starts[1:][rows], start + len(least))
+        text_end = np.repeat(self.starts[1:][rows], np.maximum(ends - begins, 0))
+        strings = np.nonzero(np.arange(start + LENGTH, start + LENGTH + len(least)) <= text_end)[0]
+        places = (least[strings] & np.uint64((1 << 24) - 1)).astype(np.int64)
+        new = np.ones(len(places), bool)
+        new[1:] = places[1:] != places[:-1]
+        heads = np.nonzero(new)[0]
+        tails = np.append(heads[1:], len(places))[: len(heads)] - 1
+        return strings[heads] + start, strings[tails] + start, places[heads] + start, hashes[places[heads]]
 
     def offset(self) -> np.ndarray:
         """Place of each anchor in its text."""
