@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lapwise.llm.arrow import map_batches
-from lapwise.llm.rows import packed
+from lapwise.llm.rows import hash_below, packed
 from lapwise.session import cut
 
 DIMENSIONS = 4_096
 SAMPLE_PER_LANGUAGE = 800
 CENTROIDS_PER_LANGUAGE = 4
 KMEANS_ROUNDS = 8
+MOST_BROADCAST_LANGUAGES = 10_000
 REJECTED_SHARE = 0.005
 UNKNOWN = "und"
 # Letters that are looked at together; longer texts are counted piece by piece.
@@ -136,10 +137,16 @@ def learn(learning: DataFrame) -> Model:
     """
     frequencies, n = _document_frequencies(learning)
     idf = np.log((1 + n) / (1 + frequencies)) + 1
-    # The hash order is cut to the sample within every task before rows of a language meet.
+    # Documents with low hashes, a few times the sample, so that what meets does not grow with the corpus.
+    usable = learning.select("lang", "id", "text").where("text IS NOT NULL")
+    share = cut(
+        usable.groupBy("lang").agg((F.lit(4.0 * SAMPLE_PER_LANGUAGE) / F.count(F.lit(1))).alias("share")), "language-shares"
+    )
+    # One row per language: with more of them than there are languages the texts are joined by a shuffle.
+    shares = F.broadcast(share) if share.count() <= MOST_BROADCAST_LANGUAGES else share
+    low = usable.join(shares, "lang").where(hash_below(F.col("id"), F.col("share")))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
-    ranked = learning.select("lang", "id", "text").where("text IS NOT NULL")
-    numbered = ranked.withColumn("rank", F.row_number().over(order))
+    numbered = low.withColumn("rank", F.row_number().over(order))
     sample = cut(numbered.where(F.col("rank") <= F.lit(SAMPLE_PER_LANGUAGE)).select("lang", "text"), "language-sample")
 
     def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -31,3 +31,8 @@ def unpacked(rows: DataFrame) -> DataFrame:
 def identity(id_column: Column, text: Column) -> Column:
     """What tells rows apart: the id with a hash of the text, as ids may be repeated or null."""
     return F.struct(id_column.alias("id"), F.xxhash64(text).alias("text_hash"))
+
+
+def hash_below(id_column: Column, share: Column) -> Column:
+    """Whether the hash of an id falls into the lowest ``share`` of all hashes; a sample that is the same on every run."""
+    return F.xxhash64(id_column).cast("double") < F.lit(-(2.0**63)) + share * F.lit(2.0**64)
