@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lapwise.llm.arrow import map_batches
+from lapwise.llm.rows import hash_below
 from lapwise.session import cut
 
 SAMPLE_LABELS = 20_000
@@ -115,7 +116,10 @@ def measured(docs: DataFrame, sites: tuple[Column, Column], id_column: str = "do
 
 def train(shapes: DataFrame, labels: DataFrame) -> Classifier:
     """The classifier of a bounded sample of ``labels`` (``id``, ``good``)."""
-    labelled = shapes.select("id", "shape").join(labels.where("good IS NOT NULL").select("id", "good"), "id")
+    usable = labels.where("good IS NOT NULL").select("id", "good")
+    # Labels with low hashes, a few times the sample, so that what is ordered does not grow with the labels.
+    low = usable.where(hash_below(F.col("id"), F.lit(4.0 * SAMPLE_LABELS / max(usable.count(), 1))))
+    labelled = shapes.select("id", "shape").join(low, "id")
     sample = labelled.orderBy(F.xxhash64("id"), "id", "good", "shape").limit(SAMPLE_LABELS).collect()
     features = np.array([r["shape"] for r in sample], float).reshape(-1, len(FEATURES))
     return fit(features, np.array([float(r["good"]) for r in sample]))
