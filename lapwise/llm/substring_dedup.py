@@ -49,6 +49,9 @@ GRAM = 24
 # Strings of LENGTH bytes that contain a given anchor, and the bytes they span.
 STRINGS = LENGTH - GRAM + 1
 COLUMNS = LENGTH + STRINGS - 1
+# Buckets of anchors and strings; more where the session shuffles into more partitions.  What a document has in a
+# bucket is one row, so with few buckets their number would decide the rows rather than the anchors.
+LEAST_BUCKETS = 64
 # Occurrences of an anchor from which its strings are dealt by their neighbouring bytes too.
 HOT_ANCHOR = 4_096
 HALF = (STRINGS - 1) // 2
@@ -393,7 +396,7 @@ def substring_dedup(
 ) -> DataFrame:
     """``id``, ``n_bytes``, ``n_removed``, ``n_spans`` and the ``kept`` bytes of every row."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     data = F.coalesce(F.col(f"row.{text_column}"), F.lit("")).cast("binary")
     order = F.coalesce(F.col(f"row.{id_column}").cast("long"), F.lit(_LAST_ID))
     texts = packed(docs).select(order.alias("id"), F.xxhash64(data).alias("text_hash"), data.alias("data"))
