@@ -20,6 +20,7 @@ rows with equal ids follow one another in the order of their texts.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from functools import lru_cache
@@ -31,12 +32,12 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from lapwise.llm.arrow import map_batches
 from lapwise.llm.bpe import id_lists, share_file
 from lapwise.llm.rows import packed
-from lapwise.session import work_dir
+from lapwise.session import cut, work_dir
 
 END_ID = 2
 STRIPE_BYTES = 64 << 20
 INDEX_ROWS = 1_000
-REMEMBERED_PIECES = 150_000
+REMEMBERED_PIECES = 200_000
 # Pieces that are encoded in one call.
 TOGETHER = 1_000
 # Marks that often stand behind a word.
@@ -62,7 +63,8 @@ class Recent(dict):
             self.clear()
 
     def unknown(self, keys: set) -> set:
-        return keys - self.keys() - self.older.keys()
+        older = self.older
+        return {k for k in keys if k not in self and k not in older}
 
 
 class PieceEncoder:
@@ -74,6 +76,8 @@ class PieceEncoder:
     """
 
     def __init__(self, text: str):
+        # A task has one core.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(text)
@@ -95,18 +99,21 @@ class PieceEncoder:
         words = {p for p in new if is_word(p)}
         # A word and the mark behind it are two words.
         marked = {p for p in new - words if p[-1:] in MARKS and is_word(p[:-1])}
-        self._learn_words(sorted(words | self.known.unknown({p[:-1] for p in marked})))
-        self._learn_pieces(sorted((new - words - marked) | self.known.unknown({p[-1] for p in marked})))
-        for piece in marked:
-            self.known[piece] = self.known[piece[:-1]] + self.known[piece[-1]]
+        every = words.union(p[:-1] for p in marked)
+        # Lower case is part of the normalisation.
+        self._learn_words(list(self.known.unknown(set(map(str.lower, every)))))
+        self.known.update((w, self.known[w.lower()]) for w in self.known.unknown(every))
+        self._learn_pieces(list((new - words - marked) | self.known.unknown({p[-1] for p in marked})))
+        self.known.update((p, self.known[p[:-1]] + self.known[p[-1]]) for p in marked)
 
     def _learn_words(self, words: list[str]) -> None:
-        for at in range(0, len(words), TOGETHER):
-            some = words[at : at + TOGETHER]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        parts = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
+        texts = [" ".join(part) for part in parts]
+        for part, coded in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(coded.ids, "<u4")
             ends = (4 * (np.nonzero(self.ends_word[ids])[0] + 1)).tolist()
             data = ids.tobytes()
-            self.known.update(zip(some, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+            self.known.update(zip(part, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
     def _learn_pieces(self, pieces: list[str]) -> None:
         for at in range(0, len(pieces), TOGETHER):
@@ -169,7 +176,9 @@ def positions(spark: SparkSession, path: str) -> DataFrame:
         )
 
     kind = dict(stored.dtypes)["doc_id"]
-    counted = map_batches(stored, summed, f"file string, place struct<split:long,number:long>, doc_id {kind}, n_tokens long, ids_crc32 long")
+    schema = f"file string, place struct<split:long,number:long>, doc_id {kind}, n_tokens long, ids_crc32 long"
+    # Counts without ids, read by file and by document: the files themselves are read once.
+    counted = cut(map_batches(stored, summed, schema), "token-counts")
     before_file = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     files = counted.groupBy("file").agg(F.sum("n_tokens").alias("n")).select(
         F.col("file"), F.coalesce(F.sum("n").over(before_file), F.lit(0)).alias("file_start")
