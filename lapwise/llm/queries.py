@@ -10,12 +10,16 @@ from lapwise.llm.decontamination import WINDOW, decontaminate
 from lapwise.llm.language_id import identify, learn
 from lapwise.llm.licenses import LEAST_SHARE, TEMPLATES, scan_licenses
 from lapwise.llm.line_dedup import line_dedup
+from lapwise.llm.nearest import nearest_neighbours
+from lapwise.llm.prefix_trie import grafted, trie, turns
 from lapwise.llm.quality_classifier import quality_classifier
 from lapwise.llm import quality_rules as qr
 from lapwise.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from lapwise.llm.simhash import near_duplicates
+from lapwise.llm.spelling import DAMAGED, LEAST_COUNT, LEAST_LETTERS, TIMES, spelling_variants
 from lapwise.llm.substring_dedup import LENGTH, sha256_of_kept, substring_dedup
 from lapwise.llm.token_files import token_files
+from lapwise.session import cut
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -300,3 +304,109 @@ def op9(table) -> DataFrame:
 def op10(table) -> DataFrame:
     encoded = digests(table("documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return encoded.withColumnRenamed("id", "doc_id")
+
+
+# CRC-32 by its table of 256 remainders, which a rule yields; ``bytes`` names a list of integers.
+CRC_TABLE = """crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS tab
+  FROM range(256) t(i))"""
+
+
+def _crc32(of: str) -> str:
+    return f"xor(list_reduce(list_concat([4294967295], {of}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+SPELLING_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+run AS (
+  SELECT doc_id, w, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents)
+  WHERE length(w) >= {LEAST_LETTERS} GROUP BY ALL),
+hashed AS (
+  SELECT w, n, {_crc32("""flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''),
+    lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [192 | (unicode(x) >> 6), 128 | (unicode(x) & 63)] END))""")} AS h
+  FROM run, crc),
+word AS (
+  SELECT w AS word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % {DAMAGED} = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w, n FROM hashed)
+  WHERE length(w) >= {LEAST_LETTERS} GROUP BY w HAVING sum(n) >= {LEAST_COUNT}),
+shorter AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM word)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM shorter a JOIN shorter b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM word a JOIN shorter b ON a.word = b.rest
+  UNION SELECT a.word, b.word, b.n FROM shorter a JOIN word b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, encode(other)) AS other, max(m) AS m FROM near GROUP BY word),
+judged AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {TIMES} * n THEN other END AS form, CASE WHEN m >= {TIMES} * n THEN m END AS form_n
+  FROM word LEFT JOIN best USING (word)),
+followed(word, root, step) AS (
+  SELECT word, word, 0 FROM judged
+  UNION ALL SELECT f.word, j.form, step + 1 FROM followed f JOIN judged j ON f.root = j.word WHERE j.form IS NOT NULL)
+SELECT word, form, last.root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n
+FROM judged JOIN (SELECT word, arg_max(root, step) AS root FROM followed GROUP BY word) last USING (word)
+"""
+
+
+@query("op11_spelling", SPELLING_SQL)
+def op11(table) -> DataFrame:
+    return spelling_variants(table("documents"))
+
+
+@query("op12_nearest")
+def op12(table) -> DataFrame:
+    found = nearest_neighbours(table("embeddings"), F.col("vec_id") % 50 == 0)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+# Turns borrowed from another conversation: the remainder of a hash by this number.
+MOST_BORROWED = 9
+
+TRIE_SQL = f"""
+WITH {CRC_TABLE},
+turn AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+hashed AS (SELECT conv_id, turn, md5(strlen(role) || ':' || role || text) AS g, strlen(text) AS bytes FROM turn),
+numbered AS (
+  SELECT conv_id, g, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, g, bytes) AS pos FROM hashed),
+conv AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS source,
+         {_crc32("list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(unicode(x) AS BIGINT))")} % {MOST_BORROWED} AS h
+  FROM (SELECT DISTINCT conv_id FROM numbered), crc),
+borrowed AS (
+  SELECT c.conv_id, n.pos, n.g, n.bytes FROM conv c JOIN numbered n ON n.conv_id = c.source AND n.pos <= c.h),
+taken AS (SELECT conv_id, count(*) AS k FROM borrowed GROUP BY conv_id),
+path AS (
+  SELECT * FROM borrowed
+  UNION ALL
+  SELECT n.conv_id, n.pos - h + coalesce(k, 0), g, bytes
+  FROM numbered n JOIN conv USING (conv_id) LEFT JOIN taken USING (conv_id) WHERE n.pos > h),
+step AS (
+  SELECT conv_id, pos, bytes, md5(string_agg(g, '') OVER (PARTITION BY conv_id ORDER BY pos)) AS node FROM path
+  UNION ALL SELECT conv_id, 0, 0, 'root' FROM conv),
+linked AS (
+  SELECT *, lag(node) OVER w AS parent, lead(pos) OVER w IS NULL AS last FROM step WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+node AS (
+  SELECT node, pos, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n, min(bytes) AS bytes,
+         sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (last), '')) AS ends
+  FROM linked GROUP BY node, pos),
+child AS (SELECT parent, count(*) AS n FROM node GROUP BY parent),
+weighed AS (SELECT node.*, coalesce(child.n, 0) AS n_children FROM node LEFT JOIN child ON child.parent = node.node),
+below AS (SELECT DISTINCT a.node, b.node AS lower FROM step a JOIN step b ON a.conv_id = b.conv_id AND a.pos <= b.pos),
+summed AS (
+  SELECT below.node, count(*) FILTER (n_children = 0) AS n_leaves, sum((n - 1) * bytes) AS saved
+  FROM below JOIN weighed ON below.lower = weighed.node GROUP BY below.node)
+SELECT w.conv_id, CAST(w.pos AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(w.n AS BIGINT) AS n_convs,
+       CAST(w.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+       w.ends AS ends_sha256
+FROM weighed w JOIN summed USING (node) LEFT JOIN node p ON w.parent = p.node
+"""
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def op13(table) -> DataFrame:
+    numbered = cut(turns(table("conversations")), "trie-order")
+    conv_id = F.col("conv_id")
+    borrowed = F.crc32(conv_id.cast("string").cast("binary")) % MOST_BORROWED
+    return trie(grafted(numbered, borrowed, conv_id - conv_id % 5, MOST_BORROWED - 1))
