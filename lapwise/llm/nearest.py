@@ -45,6 +45,9 @@ SEED = 12
 # Nodes a shard returns for a query, at least.
 LEAST_FOUND = 16
 
+# Counts by vector length that may be broadcast.
+FEW_LENGTHS = 10_000
+
 NODE = ("dim", "k1", "k2")
 
 
@@ -229,14 +232,20 @@ def _graph_row(rows: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*numbers, *columns], ["dim", "shard", "entry", *_FLAT])
 
 
+def _small(by_dim: DataFrame) -> DataFrame:
+    """Counts by vector length, broadcast if there are few: as a rule there is one length, whose rows no join may gather."""
+    counts = cut(by_dim, "ann-counts")
+    return F.broadcast(counts) if counts.count() <= FEW_LENGTHS else counts
+
+
 def build(distinct: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row of flat arrays per shard of the distinct vectors of :func:`nodes`."""
     bound_batches(distinct.sparkSession)
-    sizes = distinct.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards"))
+    sizes = _small(distinct.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards")))
     dealt = distinct.join(sizes, "dim").select("dim", F.pmod("k1", "shards").cast("int").alias("shard"), "k2", "vector", "ids")
     tasks = max(1, -(-distinct.count() // shard_rows))
     # The order within a shard is that of a hash, as a graph should grow evenly.
-    sorted_shards = dealt.repartition(tasks, "dim", "shard").sortWithinPartitions("dim", "shard", "k2")
+    sorted_shards = dealt.repartitionByRange(tasks, "dim", "shard").sortWithinPartitions("dim", "shard", "k2")
     return sorted_shards.mapInArrow(_graphs, INDEX)
 
 
@@ -280,8 +289,8 @@ def search(index: DataFrame, queries: DataFrame, k: int, cell_queries: int = CEL
     """
     bound_batches(index.sparkSession)
     most = max(LEAST_FOUND, k)
-    copies = queries.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / cell_queries).alias("copies"))
-    shards = index.groupBy("dim").agg(F.count(F.lit(1)).alias("shards"))
+    copies = _small(queries.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / cell_queries).alias("copies")))
+    shards = _small(index.groupBy("dim").agg(F.count(F.lit(1)).alias("shards")))
     none = lambda kind: F.lit(None).cast(kind)
     graphs = index.join(copies, "dim").select(
         "dim", "shard", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("copy"),
