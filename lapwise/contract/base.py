@@ -49,8 +49,9 @@ def with_views(sql: str) -> str:
         return sql.strip()
     ctes = ",\n".join(f"{name} AS ({text.strip()})" for name, text in used.items())
     body = sql.strip()
-    if re.match(r"(?i)with\b", body):
-        return f"WITH {ctes},\n{body[4:].strip()}"
+    opening = re.match(r"(?i)with(\s+recursive)?\b", body)
+    if opening:
+        return f"{opening[0]} {ctes},\n{body[opening.end():].strip()}"
     return f"WITH {ctes}\n{body}"
 
 

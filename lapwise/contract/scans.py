@@ -402,6 +402,32 @@ def publish_dataset(fx: Fixtures) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+@query("publish_versions", " UNION ALL ".join(
+    f"SELECT '{t}' AS name, 'skip' AS action, count(*) AS before, count(*) AS row_count FROM {t}" for t in tables.TABLES if t not in ("nation", "region")
+) + " UNION ALL SELECT 'nation', 'upload', (SELECT count(*) FROM nation), count(*) FROM supplier"
+  + " UNION ALL SELECT 'region', 'delete', count(*), 0 FROM region")
+def publish_versions(fx: Fixtures) -> DataFrame:
+    """All tables, then a version with one table replaced and one gone; the first version can still be read."""
+    target = work_dir(fx.spark, "versions")
+    source = {t: tables.table_path(fx.sf_dir, t) for t in tables.TABLES}
+    sinks.publish_version(fx.spark, source, target)
+    before = sinks.published_tables(fx.spark, target)
+    changed = {t: p for t, p in source.items() if t != "region"} | {"nation": source["supplier"]}
+    actions = sinks.publish_version(fx.spark, changed, target)
+    now = sinks.published_tables(fx.spark, target)
+
+    def size(path: str | None, name: str) -> DataFrame:
+        rows = fx.spark.read.parquet(path) if path else fx.spark.range(0)
+        return rows.agg(F.count(F.lit(1)).alias(name))
+
+    counts = [
+        size(before[name], "before").crossJoin(size(now.get(name), "row_count"))  # one row each
+        .select(F.lit(name).alias("name"), F.lit(action).alias("action"), "before", "row_count")
+        for name, action in actions.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query("drop_plan", f"""
 SELECT {_DATASET} AS dataset, path, CAST(size AS BIGINT) AS size FROM fx_listing_source
 WHERE len(string_split(path, '/')) >= 3 AND {_DATASET} IN ('tpch/sf1', 'tpcds/sf0')

@@ -16,6 +16,7 @@ from lapwise.session import work_dir
 from lapwise.sources.feed import comment_stream, land_comments
 from lapwise.streaming.comments import COMMENT_COLUMNS, CommentProcessor, dedupe_batch, run_available
 from lapwise.streaming.jobs import job_event_stream, run_job_state, run_progress
+from lapwise.streaming.lifecycle import run_lifecycle
 from lapwise.streaming.state import BatchLog
 
 FIRST_POLL = datetime(2024, 2, 1, tzinfo=timezone.utc)
@@ -108,6 +109,26 @@ def stream_retry(fx: Fixtures) -> DataFrame:
     )
 
 
+@query("stream_retry_idle", f"""
+WITH {FRESH},
+attempts(attempt, outcome, next_s) AS (VALUES (1, 'retry', 0 + 30), (2, 'retry', 60 + 60), (3, 'dropped', NULL))
+SELECT comment_id, CAST(attempt AS BIGINT) AS attempt, attempts.outcome,
+       epoch_us(TIMESTAMP '2024-02-01 00:00:00') + 1000000 * CAST(next_s AS BIGINT) AS next_us
+FROM final, attempts WHERE decided = 'retry'
+""")
+def stream_retry_idle(fx: Fixtures) -> DataFrame:
+    """Five polls, pages only at the first: due attempts are made without a new page, and by another process."""
+    landing, polls, checkpoint, state = (work_dir(fx.spark, p) for p in ("landing", "polls", "checkpoint", "state"))
+    land_comments(fx.comments(), landing, pages=2)
+    # Before the second attempt is due, when it is, when the third is, and afterwards.
+    for seconds in (0, 10, 60, 300, 900):
+        processor = CommentProcessor(fx.spark, state, fx.allow_list(), fx.pull_requests())
+        processor.poll(landing, polls, checkpoint, FIRST_POLL + timedelta(seconds=seconds))
+    return processor.outcomes().where("attempt IS NOT NULL").select(
+        "comment_id", "attempt", "outcome", micros("next_attempt_at").alias("next_us")
+    )
+
+
 JOB_STATE = """
 SELECT job_id, coalesce(max_by(CASE event WHEN 'queued' THEN 'pending' WHEN 'claim' THEN 'running' ELSE event END, (event_ts, event_id))
                           FILTER (event <> 'progress'), 'pending') AS status,
@@ -137,6 +158,44 @@ def stream_job_state(fx: Fixtures) -> DataFrame:
     return state.select("job_id", "status", "attempts", micros("updated_at").alias("updated_us"))
 
 
+# Every fifth event is a restart, so that jobs are taken back and claimed again.
+_RESTARTS = "event_id % 5 = 2"
+
+
+@query("stream_job_lifecycle", f"""
+WITH RECURSIVE ordered AS (
+  SELECT job_id, CASE WHEN {_RESTARTS} THEN 'recover' ELSE event END AS event, step, epoch_us(event_ts) AS us,
+         row_number() OVER (PARTITION BY job_id ORDER BY event_ts, event_id) AS n FROM fx_job_events),
+folded(job_id, n, status, attempts, step, accepted, refused, updated_us) AS (
+  SELECT DISTINCT job_id, CAST(0 AS BIGINT), 'new', CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT) FROM ordered
+  UNION ALL
+  SELECT job_id, n, coalesce(next, status), attempts + CASE WHEN next IS NOT NULL AND event = 'claim' THEN 1 ELSE 0 END,
+         CASE WHEN next IS NULL THEN reached WHEN event = 'claim' THEN NULL WHEN event = 'progress' THEN step ELSE reached END,
+         accepted + CASE WHEN next IS NULL THEN 0 ELSE 1 END, refused + CASE WHEN next IS NULL THEN 1 ELSE 0 END,
+         CASE WHEN next IS NULL THEN updated_us ELSE us END
+  FROM (SELECT o.job_id, o.n, f.status, f.attempts, f.step AS reached, o.step, f.accepted, f.refused, f.updated_us, o.us, o.event,
+               CASE WHEN f.status = 'new' AND o.event = 'queued' THEN 'pending' WHEN f.status = 'pending' AND o.event = 'claim' THEN 'running'
+                    WHEN f.status = 'running' AND o.event IN ('completed', 'failed') THEN o.event
+                    WHEN f.status = 'running' AND o.event = 'progress' THEN 'running'
+                    WHEN f.status = 'running' AND o.event = 'recover' THEN CASE WHEN f.attempts < 3 THEN 'pending' ELSE 'failed' END END AS next
+        FROM folded f JOIN ordered o ON o.job_id = f.job_id AND o.n = f.n + 1) moved)
+SELECT job_id, arg_max(status, n) AS status, arg_max(attempts, n) AS attempts, max_by(step, n) FILTER (last) AS step,
+       max(accepted) AS accepted, max(refused) AS refused, CAST(0 AS BIGINT) AS late, max(updated_us) AS updated_us
+FROM (SELECT *, n = max(n) OVER (PARTITION BY job_id) AS last FROM folded) f GROUP BY job_id
+""")
+def stream_job_lifecycle(fx: Fixtures) -> DataFrame:
+    """Checked transitions; pages are dealt at random over the whole time, and the stream is restarted between them."""
+    state, checkpoint, landing = (work_dir(fx.spark, p) for p in ("state", "checkpoint", "landing"))
+    exact = ("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    events = fx.job_events().withColumn("event", F.when(F.expr(_RESTARTS), "recover").otherwise(F.col("event")))
+    for part in (0, 1):
+        shuffled = events.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == part).repartition(2, F.xxhash64("event_id", "job_id"))
+        shuffled.write.mode("append").option(*exact).json(landing)
+        stream = job_event_stream(fx.spark, landing, files_per_batch=1)
+        jobs_now = run_lifecycle(fx.spark, stream, state, checkpoint, lateness_seconds=400 * 86_400)
+    return jobs_now
+
+
 @query("stream_progress", """
 SELECT job_id, CAST(max(step) AS BIGINT) AS step FROM fx_job_events WHERE event = 'progress' GROUP BY 1
 """)

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lapwise.functions.binding import let, rows_of
 from lapwise.functions.names import commit_url, compare_url, request_url
-from lapwise.functions.text import format_duration, html_escape, sized, truncate_sized, truncate_tail, units
+from lapwise.functions.text import format_duration, html_escape, sized, tail_units, truncate_sized, truncate_tail, units
 from lapwise.operators.ordering import query_number
+from lapwise.session import cut
 
 # Size limit of a message in UTF-16 units and the shape of its parts.
 MESSAGE_LIMIT = 65_536
@@ -22,6 +23,8 @@ SUMMARY_OPEN, SUMMARY_CLOSE = "<pre>", "</pre>\n\n"
 DETAILS_OPEN = "<details>\n<summary>Show full query output</summary>\n\n<pre>"
 DETAILS_CLOSE = "</pre>\n\n</details>"
 MEASURED_ITERATIONS = 5
+# Sections of the lines with the names of the runs and with the total.
+FIRST_SECTION, LAST_SECTION = 0, 5
 
 
 def report_blocks(text: Column) -> Column:
@@ -206,19 +209,66 @@ def result_message(site: str, build_target: str) -> Column:
 # --- texts from lines -----------------------------------------------------------
 
 
-def report_texts(lines: DataFrame, keys: Sequence[str] = ("dataset",)) -> DataFrame:
-    """The whole comparison text of every dataset; it is one value, as large as its lines."""
+def _place() -> Column:
+    """What orders the lines of a dataset."""
     number = query_number("id")
-    entry = F.struct(
+    return F.struct(
         "section", number.isNull().alias("unnumbered"), number.alias("number"),
-        F.collate(F.col("id"), "UNICODE").alias("locale"), F.col("id").alias("id"), "line",
+        F.collate(F.col("id"), "UNICODE").alias("locale"), F.col("id").alias("id"),
     )
-    ordered = F.sort_array(F.collect_list(entry))
+
+
+def report_texts(lines: DataFrame, keys: Sequence[str] = ("dataset",)) -> DataFrame:
+    """The whole comparison text of every dataset; it is one value, as large as its lines."""
+    ordered = F.sort_array(F.collect_list(F.struct(_place().alias("place"), "line")))
     return lines.groupBy(*keys).agg(
         F.array_join(F.transform(ordered, lambda e: e["line"]), "\n").alias("report")
     )
 
 
+def line_tails(lines: DataFrame, keys: Sequence[str], limit: int = MESSAGE_LIMIT) -> DataFrame:
+    """The lines (``section``, ``id``, ``line``) of every group joined in order: ``tail``, their last ``limit`` units, and ``units`` of all.
+
+    Lines are ordered by ranges of bounded size.  From the sizes of the ranges
+    follows what stands behind each, and from the sizes within a range what
+    stands behind each line, so only lines that reach into the tail are gathered.
+    """
+    ranged = lines.repartitionByRange(*keys, _place()).select(
+        *keys, "section", "id", "line", (units(F.col("line")) + 1).cast("bigint").alias("size"), F.spark_partition_id().alias("range")
+    )
+    ranged = cut(ranged, "report-lines")
+    sums = ranged.groupBy(*keys, "range").agg(F.sum("size").alias("size"))
+    later = Window.partitionBy(*keys).orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = sums.select(*keys, "range", "size", F.coalesce(F.sum("size").over(later), F.lit(0)).alias("behind"))
+    wholes = placed.groupBy(*keys).agg((F.sum("size") - 1).cast("int").alias("units"))
+    near = ranged.join(placed.where(F.col("behind") < limit).drop("size"), [*keys, "range"])
+    after = Window.partitionBy(*keys, "range").orderBy(_place().desc()).rowsBetween(Window.unboundedPreceding, -1)
+    reaching = near.withColumn("behind", F.col("behind") + F.coalesce(F.sum("size").over(after), F.lit(0))).where(F.col("behind") < limit)
+    # A line has a unit at least, so there are at most as many as units.
+    ordered = F.sort_array(F.collect_list(F.struct(_place().alias("place"), "line")))
+    joined = F.array_join(F.transform(ordered, lambda e: e["line"]), "\n")
+    tails = reaching.groupBy(*keys).agg(joined.alias("tail"))
+    return tails.join(wholes, list(keys)).withColumn("tail", tail_units(F.col("tail"), F.lit(limit)))
+
+
+def sized_reports(lines: DataFrame, key: str = "dataset") -> DataFrame:
+    """The block of every dataset as :func:`sized_blocks` gives it, from its lines instead of its text."""
+    first, last = F.col("section") == FIRST_SECTION, F.col("section") == LAST_SECTION
+    summary = first | last | F.ltrim("line").startswith("TASKS:")
+    # The summary is not indented.
+    own = F.struct(F.when(summary, "summary").otherwise("details").alias("part"), F.when(summary, F.ltrim("line")).otherwise(F.col("line")).alias("line"))
+    whole = F.struct(F.lit("whole").alias("part"), F.col("line").alias("line"))
+    parts = lines.select(key, "section", "id", F.explode(F.array(own, whole)).alias("p"))
+    escaped = parts.select(key, "section", "id", "p.part", html_escape(F.col("p.line")).alias("line"))
+    tails = line_tails(escaped, [key, "part"])
+    sized_part = F.struct("tail", "units")
+    none = F.struct(F.lit("").alias("tail"), F.lit(0).alias("units"))
+    part = lambda name: F.coalesce(F.first(F.when(F.col("part") == name, sized_part), ignorenulls=True), none)
+    gathered = tails.groupBy(key).agg(*[part(name).alias(name) for name in ("summary", "details", "whole")])
+    shape = lines.groupBy(key).agg((F.bool_or(first) & F.bool_or(last)).alias("structured"))
+    return gathered.join(shape, key).select(key, F.array(F.struct("structured", "summary", "details", "whole")).alias("blocks"))
+
+
 def trimmed_texts(texts: DataFrame) -> DataFrame:
     """Texts (``report``) without surrounding blanks, and none that is blank."""
     return texts.withColumn("report", _trim(F.col("report"))).where(F.col("report") != "")

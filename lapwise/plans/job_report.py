@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lapwise.operators.report import multi_dataset_report, report_texts, result_message, sized_blocks, trimmed_texts
+from lapwise.operators.report import multi_dataset_report, report_texts, result_message, sized_reports, trimmed_texts
 from lapwise.operators.timings import pair_timings, phase_totals
 from lapwise.plans.compare import Comparison
 
@@ -25,11 +25,10 @@ def job_comparisons(jobs: DataFrame, comparison: Comparison) -> DataFrame:
 def job_blocks(jobs: DataFrame, comparison: Comparison) -> DataFrame:
     """Blocks of every job in request order, each as far as a message can show it.
 
-    A dataset's text is made, split and escaped once; the jobs that ask for it
-    are joined to parts of bounded size.
+    Of a dataset's lines only those that a message can show are gathered, once;
+    the jobs that ask for it are joined to parts of bounded size.
     """
-    texts = trimmed_texts(report_texts(comparison.lines()))
-    blocks = texts.select("dataset", sized_blocks(F.col("report")).alias("blocks"))
+    blocks = sized_reports(comparison.lines())
     ordered = F.sort_array(F.collect_list(F.struct("dataset_pos", "blocks")))
     return (
         _requested(jobs)

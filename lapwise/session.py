@@ -49,6 +49,20 @@ def local_session(cores: int | str = 8, app_name: str = "lapwise") -> SparkSessi
     return tune(spark)
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for a time."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder for state, checkpoints or cut lineage.
 
@@ -96,16 +110,17 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove_folder(spark, path)
 
 
-def _hadoop_path(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and the file system that holds it."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
-    folder, store = _hadoop_path(spark, path)
+    folder, store = hadoop_path(spark, path)
     store.delete(folder, True)
 
 
 def folder_exists(spark: SparkSession, path: str) -> bool:
-    folder, store = _hadoop_path(spark, path)
+    folder, store = hadoop_path(spark, path)
     return store.exists(folder)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lapwise.functions.names import is_login
@@ -60,6 +62,18 @@ def land_comments(comments: DataFrame, landing: str, pages: int = 1) -> None:
     documents.repartitionByRange(pages, "updated_at").write.mode("append").option(*exact).json(landing)
 
 
+def land_poll(spark: SparkSession, polls: str, at: datetime) -> None:
+    """Note that the feed is polled at a time."""
+    exact = ("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    micros = (at - datetime.fromtimestamp(0, timezone.utc)) // timedelta(microseconds=1)
+    spark.range(1).select(F.timestamp_micros(F.lit(micros)).alias("polled_at")).write.mode("append").option(*exact).json(polls)
+
+
+def poll_stream(spark: SparkSession, polls: str) -> DataFrame:
+    """The times of the polls noted."""
+    return spark.readStream.schema("polled_at timestamp").json(polls)
+
+
 def _checked(login: Column) -> Column:
     message = F.concat(F.lit("Not a usable login: "), login)
     return F.when(is_login(login), login).otherwise(F.raise_error(message))

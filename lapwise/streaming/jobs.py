@@ -34,7 +34,7 @@ def job_event_stream(spark: SparkSession, landing: str, files_per_batch: int | N
     return reader.json(landing)
 
 
-def _run(folded: DataFrame, log: BatchLog, checkpoint: str) -> None:
+def logged(folded: DataFrame, log: BatchLog, checkpoint: str) -> None:
     """Log the changed rows of a running aggregation.
 
     In update mode a batch writes only the jobs it changed; the aggregation
@@ -53,12 +53,12 @@ def _run(folded: DataFrame, log: BatchLog, checkpoint: str) -> None:
 def run_job_state(spark: SparkSession, events: DataFrame, state: str, checkpoint: str) -> DataFrame:
     """Fold the events that have landed; returns the current state of every job."""
     log = BatchLog(spark, f"{state}/job_state", STATE_LOG)
-    _run(job_state(events), log, checkpoint)
+    logged(job_state(events), log, checkpoint)
     return latest_rows(log.read(), ["job_id"])
 
 
 def run_progress(spark: SparkSession, events: DataFrame, state: str, checkpoint: str) -> DataFrame:
     """The furthest progress step of every job."""
     log = BatchLog(spark, f"{state}/progress", PROGRESS_LOG)
-    _run(latest_progress(events), log, checkpoint)
+    logged(latest_progress(events), log, checkpoint)
     return latest_rows(log.read(), ["job_id"])

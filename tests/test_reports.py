@@ -176,3 +176,32 @@ def test_texts_hold_all_lines_in_order(spark):
     lines = spark.createDataFrame(data, "dataset string, section int, id string, line string").repartition(7)
     expected = ["head", *[f"line {i}" for i in range(3000)], "line z", "total"]
     assert report.report_texts(lines).head()["report"].split("\n") == expected
+
+
+def _report_lines(spark, n):
+    """Lines of a dataset with n queries, in ranges and order of their own, beside a small one."""
+    numbers = spark.range(n).select(
+        F.lit("big").alias("dataset"), F.lit(1).alias("section"), F.concat(F.lit("q"), F.col("id").cast("string")).alias("id"),
+        F.concat(F.lit("   q"), F.col("id").cast("string"), F.lit(": <a> 🟠")).alias("line"),
+    )
+    frame = [("big", 0, None, "=== Comparing big"), ("big", 4, None, "  TASKS: 1"), ("big", 5, None, "  TOTAL: 2"),
+             ("small", 0, None, "=== Comparing small"), ("small", 1, "z", "   z: & 🟠"), ("small", 1, "q2", "   q2: x"),
+             ("small", 2, None, "QERR"), ("small", 4, None, "  TASKS: 3"), ("small", 5, None, "  TOTAL: 4")]
+    return numbers.unionByName(spark.createDataFrame(frame, "dataset string, section int, id string, line string")).repartition(5)
+
+
+def test_reports_from_lines_are_those_from_texts(spark):
+    lines = _report_lines(spark, 9_000)
+    texts = report.trimmed_texts(report.report_texts(lines)).select("dataset", report.sized_blocks(F.col("report")).alias("blocks"))
+    plain = lambda df: {r["dataset"]: [b.asDict(True) for b in r["blocks"]] for r in df.collect()}
+    found = plain(report.sized_reports(lines))
+    assert found == plain(texts)
+    assert found["big"][0]["details"]["units"] > 2 * report.MESSAGE_LIMIT == 2 * units(found["big"][0]["details"]["tail"])
+    assert found["big"][0]["summary"]["tail"] == "=== Comparing big\nTASKS: 1\nTOTAL: 2"
+
+
+def test_only_lines_within_the_limit_are_gathered(spark):
+    lines = _report_lines(spark, 400_000)
+    tail = report.line_tails(lines.where("dataset = 'big'"), ["dataset"], 40).head()
+    assert tail["tail"].endswith("q399999: <a> 🟠\n  TASKS: 1\n  TOTAL: 2") and units(tail["tail"]) == 40
+    assert tail["units"] == sum(units(r["line"]) + 1 for r in lines.where("dataset = 'big'").select("line").toLocalIterator()) - 1

@@ -13,6 +13,7 @@ from lapwise.functions import names
 from lapwise.operators import catalog
 from lapwise.plans.compare import compare_stored
 from lapwise.plans.settings import apply_settings, setting_statements
+from lapwise.sources.commits import CommitConflict
 from lapwise.sources import corpus, feed, results, sinks
 from lapwise.sources.registry import REGISTRY
 from lapwise.sources.tables import scan_typed, schema_conformance, typed
@@ -299,3 +300,41 @@ def test_publishing_again_follows_the_plan(spark, sf_dir, tmp_path):
     assert os.listdir(target) == ["nation"] and "r_name" in spark.read.parquet(f"{target}/nation").columns
     with pytest.raises(ValueError):
         sinks.publish_dataset(spark, {}, target)
+
+
+def test_a_version_is_seen_whole_or_not_at_all(spark, sf_dir, tmp_path, monkeypatch):
+    source = {t: f"{sf_dir}/{t}.parquet" for t in ("nation", "region")}
+    target = f"{tmp_path}/d/v"
+    assert sinks.publish_version(spark, source, target) == {"nation": "upload", "region": "upload"}
+    first = sinks.published_tables(spark, target)
+    assert sinks.publish_version(spark, source, target) == {"nation": "skip", "region": "skip"}
+    assert sinks.published_tables(spark, target) == first
+    # a crash between two tables
+    changed = {"nation": source["region"], "region": source["nation"]}
+    write, written = sinks._write_table, []
+    with monkeypatch.context() as crash:
+        crash.setattr(sinks, "_write_table", lambda s, a, b: (_ for _ in ()).throw(RuntimeError("crash")) if written else (write(s, a, b), written.append(b)))
+        with pytest.raises(RuntimeError, match="crash"):
+            sinks.publish_version(spark, changed, target)
+    assert written and sinks.published_tables(spark, target) == first
+    assert spark.read.parquet(first["nation"]).columns[0] == "n_nationkey"
+    # another writer is faster
+    plan = sinks._table_actions
+    with monkeypatch.context() as race:
+        def overtaken(*listings):
+            race.undo()
+            sinks.publish_version(spark, {"nation": source["nation"]}, target)
+            return plan(*listings)
+        race.setattr(sinks, "_table_actions", overtaken)
+        with pytest.raises(CommitConflict):
+            sinks.publish_version(spark, changed, target)
+    assert list(sinks.published_tables(spark, target)) == ["nation"]
+    assert sinks.publish_version(spark, changed, target) == {"nation": "upload", "region": "upload"}
+    now = sinks.published_tables(spark, target)
+    assert spark.read.parquet(now["nation"]).columns[0] == "r_regionkey"
+    # what no kept version names goes, the crashed writer's folder too
+    sinks.remove_old_versions(spark, target, keep=1)
+    assert len(os.listdir(f"{target}/versions")) == 1 and sinks.published_tables(spark, target) == now
+    assert spark.read.parquet(now["region"]).count() == 25
+    with pytest.raises(ValueError, match="No version"):
+        sinks.published_tables(spark, target, 0)
