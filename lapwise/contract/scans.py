@@ -145,6 +145,24 @@ def schema_conformance(fx: Fixtures) -> DataFrame:
     return tables.schema_conformance(fx.spark, "tpch", {t: fx.table(t) for t in (*TPCH, "events")})
 
 
+@query("differing_files", """
+SELECT 'part' AS table_name, column_name, file_type, usual_type, outcome, CAST(1 AS BIGINT) AS files, (SELECT count(*) FROM part) AS row_count
+FROM (VALUES ('p_size', 'string', 'int', 'type_differs'), ('p_type', NULL, 'string', 'missing'), ('p_note', 'bigint', 'bigint', 'extra'))
+  t(column_name, file_type, usual_type, outcome)
+""")
+def differing_files(fx: Fixtures) -> DataFrame:
+    """All supplied tables, with one file of other columns among those of one."""
+    paths = {t: tables.table_path(fx.sf_dir, t) for t in tables.TABLES}
+    part, folder = fx.table("part"), work_dir(fx.spark, "mixed")
+    part.where("p_partkey % 4 <> 0").repartition(3).write.parquet(folder)
+    other = part.where("p_partkey % 4 = 0").drop("p_type").withColumns({"p_size": F.col("p_size").cast("string"), "p_note": F.col("p_partkey")})
+    other.coalesce(1).write.mode("append").parquet(folder)
+    rows = fx.spark.read.schema(part.select("p_partkey").schema).parquet(folder).agg(F.count(F.lit(1)).alias("row_count"))
+    found = tables.differing_files(fx.spark, paths | {"part": folder})
+    counted = found.groupBy("table_name", "column_name", "file_type", "usual_type", "outcome").agg(F.countDistinct("file").alias("files"))
+    return counted.crossJoin(rows)  # one row
+
+
 _DATASET = "split_part(path, '/', 1) || '/' || split_part(path, '/', 2)"
 
 

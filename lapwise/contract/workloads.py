@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -18,6 +19,7 @@ from lapwise.plans.comments import process_comments
 from lapwise.plans.job_report import base_head_report
 from lapwise.plans.settings import applied_settings
 from lapwise.session import work_dir
+from lapwise.sources.results import store_iterations
 from lapwise.sources.tables import TABLES, register_tables, table_path
 
 MONEY = "CAST({0} AS DECIMAL(15,2))"
@@ -99,6 +101,72 @@ SELECT s_suppkey, s_name, total_revenue FROM supplier JOIN revenue0 ON s_suppkey
 WHERE total_revenue = (SELECT max(total_revenue) FROM revenue0) ORDER BY s_suppkey"""
 
 
+# Reports in the shape of public decision-support queries: subtotals, ranks among siblings, running and range frames,
+# and subqueries that have to become outer, semi and anti joins.
+_BALANCE = MONEY.format("c_acctbal")
+REPORTS = {
+    "rollup": f"""
+SELECT r_name, n_name, o_year, CAST(grouping(r_name) + grouping(n_name) + grouping(o_year) AS BIGINT) AS level,
+       count(*) AS orders, count(DISTINCT o_custkey) AS customers, CAST(sum(price) AS DOUBLE) AS price
+FROM (SELECT r_name, n_name, CAST(year(o_orderdate) AS BIGINT) AS o_year, o_custkey, {MONEY.format('o_totalprice')} AS price
+      FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) o
+GROUP BY ROLLUP (r_name, n_name, o_year) ORDER BY level, r_name, n_name, o_year""",
+    "grouping_sets": f"""
+SELECT p_brand, p_type, l_returnflag, level, revenue, CAST(rank() OVER (PARTITION BY level, CASE WHEN of_type = 0 THEN p_brand END ORDER BY revenue DESC) AS BIGINT) AS place
+FROM (SELECT p_brand, p_type, l_returnflag, CAST(4 * grouping(p_brand) + 2 * grouping(p_type) + grouping(l_returnflag) AS BIGINT) AS level,
+             grouping(p_type) AS of_type, {REVENUE} AS revenue
+      FROM lineitem JOIN part ON l_partkey = p_partkey
+      GROUP BY GROUPING SETS ((p_brand, p_type), (p_brand), (p_type, l_returnflag), (l_returnflag), ())) g
+ORDER BY level, place, p_brand, p_type, l_returnflag""",
+    "frames": f"""
+WITH monthly AS (
+  SELECT o_orderpriority, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS mon, count(*) AS n, sum({MONEY.format('o_totalprice')}) AS price
+  FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_orderpriority, year(o_orderdate) * 12 + month(o_orderdate))
+SELECT o_orderpriority, mon, n, CAST(price AS DOUBLE) AS price,
+       CAST(sum(price) OVER (PARTITION BY o_orderpriority ORDER BY mon ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS running,
+       CAST(sum(price) OVER (PARTITION BY o_orderpriority ORDER BY mon RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) AS DOUBLE) AS quarter,
+       CAST(sum(n) OVER (PARTITION BY o_orderpriority ORDER BY mon RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS around,
+       max(n) OVER (PARTITION BY o_orderpriority ORDER BY mon ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS most_before,
+       lag(n) OVER (PARTITION BY o_orderpriority ORDER BY mon) AS before, lead(n, 2) OVER (PARTITION BY o_orderpriority ORDER BY mon) AS after,
+       CAST(ntile(4) OVER (PARTITION BY o_orderpriority ORDER BY price, mon) AS BIGINT) AS quartile,
+       first_value(mon) OVER (PARTITION BY o_orderpriority ORDER BY price DESC, mon) AS best_mon
+FROM monthly ORDER BY o_orderpriority, mon""",
+    "q13": """
+SELECT c_count, count(*) AS custdist
+FROM (SELECT c_custkey, count(o_orderkey) AS c_count
+      FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority NOT LIKE '%-NOT%' GROUP BY c_custkey) c
+GROUP BY c_count ORDER BY custdist DESC, c_count DESC""",
+    "q17": f"""
+SELECT CAST(sum({_PRICE}) AS DOUBLE) / 7.0 AS avg_yearly, count(*) AS lines
+FROM lineitem JOIN part ON p_partkey = l_partkey
+WHERE p_type = 'MEDIUM' AND l_quantity * 5 < (
+  SELECT CAST(sum({MONEY.format('i.l_quantity')}) AS DOUBLE) / count(*) FROM lineitem i WHERE i.l_partkey = p_partkey)""",
+    "q22": f"""
+SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, count(*) AS numcust, CAST(sum({_BALANCE}) AS DOUBLE) AS totacctbal
+FROM customer
+WHERE c_nationkey IN (1, 3, 5, 8, 13, 17, 21)
+  AND c_acctbal > (SELECT CAST(sum({_BALANCE}) AS DOUBLE) / count(*) FROM customer WHERE c_acctbal > 0)
+  AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= DATE '1998-01-01')
+GROUP BY c_nationkey ORDER BY c_nationkey""",
+    "not_in": """
+SELECT p_brand, p_type, count(DISTINCT l_suppkey) AS supplier_cnt
+FROM lineitem JOIN part ON l_partkey = p_partkey
+WHERE p_size IN (3, 9, 14, 19, 23, 36, 45, 49) AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)
+GROUP BY p_brand, p_type ORDER BY supplier_cnt DESC, p_brand, p_type""",
+    "set_operations": """
+SELECT kind, o_custkey, count(*) AS times FROM (
+  SELECT 'both' AS kind, o_custkey FROM (
+    SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1996 INTERSECT ALL SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1997) a
+  UNION ALL
+  SELECT 'more', o_custkey FROM (
+    SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1996 EXCEPT ALL SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1997) b
+  UNION ALL
+  SELECT 'never', c_custkey FROM (
+    SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') c) u
+GROUP BY kind, o_custkey""",
+}
+
+
 def _register(fx: Fixtures, *texts: str) -> None:
     """Register the tables that the texts name."""
     used = [t for t in TABLES if any(re.search(rf"\b{t}\b", text) for text in texts)]
@@ -110,8 +178,8 @@ def _as_text(sql: str) -> str:
     return f"SELECT * REPLACE (CAST(o_orderdate AS VARCHAR) AS o_orderdate) FROM ({sql}) q" if "AS o_orderdate" in sql else sql
 
 
-def _corpus_query(id: str, sql: str) -> None:
-    @query(f"tpch_{id}", _as_text(sql))
+def _corpus_query(id: str, sql: str, group: str = "tpch") -> None:
+    @query(f"{group}_{id}", _as_text(sql))
     def build(fx: Fixtures) -> DataFrame:
         _register(fx, sql)
         result = fx.spark.sql(suite.prepare(sql)[0])
@@ -123,6 +191,8 @@ def _corpus_query(id: str, sql: str) -> None:
 for _id, _sql in CORPUS.items():
     if _id != "q15":
         _corpus_query(_id, _sql)
+for _id, _sql in REPORTS.items():
+    _corpus_query(_id, _sql, "tpch" if re.fullmatch(r"q\d+", _id) else "report")
 
 
 @query("tpch_q15", Q15_SINGLE)
@@ -138,15 +208,16 @@ def tpch_q15(fx: Fixtures) -> DataFrame:
 
 _COUNTS = " UNION ALL ".join(
     f"SELECT '{id}' AS id, (SELECT count(*) FROM ({Q15_SINGLE if id == 'q15' else sql}) c) AS row_count, false AS failed"
-    for id, sql in CORPUS.items()
+    for id, sql in (CORPUS | REPORTS).items()
 )
 _RUN_ORACLE = f"{_COUNTS} UNION ALL SELECT 'broken', 0, true"
 
 
 @query("run_suite", _RUN_ORACLE)
 def run_suite(fx: Fixtures) -> DataFrame:
-    _register(fx, *CORPUS.values())
-    corpus = [*CORPUS.items(), ("broken", "SELECT no_such_column FROM lineitem")]
+    corpus = CORPUS | REPORTS
+    _register(fx, *corpus.values())
+    corpus = [*corpus.items(), ("broken", "SELECT no_such_column FROM lineitem")]
     measured = suite.run_suite(fx.spark, corpus, "tpch/made", "lapwise", iterations=1, warmup=False)
     return measured.select("id", "row_count", F.col("error").isNotNull().alias("failed"))
 
@@ -204,6 +275,21 @@ def compare_stored(fx: Fixtures) -> DataFrame:
 _LISTED_TOTALS = TOTALS.replace("FROM compared)", "FROM compared WHERE id <> 'q7' AND dataset <> 'ev/view')")
 
 
+@query("compare_bucketed", f"""
+WITH {COMPARED}, {TOTALS}
+SELECT *, factor >= 1.1 AND NOT isnan(factor) AS highlighted FROM judged
+""")
+def compare_bucketed(fx: Fixtures) -> DataFrame:
+    """Two runs stored one after the other in a table whose rows of a query lie together."""
+    table = f"stored_{uuid.uuid4().hex}"
+    for engine in ("base", "head"):
+        run = fx.iteration_records().where(F.col("engine") == engine)
+        store_iterations(run, table, work_dir(fx.spark, "stored") if engine == "base" else None, buckets=8)
+    compared = compare.compare_pairs(fx.spark.table(table), pairs(fx))
+    fx.spark.sql(f"DROP TABLE {table}")  # the files stay
+    return compared.totals
+
+
 @query("compare_stored_sets", f"""
 WITH {COMPARED}, {_LISTED_TOTALS} SELECT *, factor >= 1.1 AND NOT isnan(factor) AS highlighted FROM judged
 """)

@@ -32,9 +32,11 @@ def compare_pairs(iterations: DataFrame, pairs: DataFrame) -> Comparison:
     compared queries, one row each, are written once: totals, pools and report
     lines all start from them.
     """
+    # Written, their size is known: the joins below are broadcast if it is small.
+    pairs = cut(pairs, "pairs")
     sides = pairs.select(
         "dataset", F.explode(F.array("prev_engine", "new_engine")).alias("engine")
-    ).distinct()
+    )
     used = iterations.join(sides, ["dataset", "engine"], "left_semi")
     summary = query_summary(used).join(pairs, "dataset")
     paired = c.pivot_runs(summary, F.col("prev_engine"), F.col("new_engine"))

@@ -76,6 +76,17 @@ def read_iterations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/facts")
 
 
+def store_iterations(iterations: DataFrame, table: str, path: str | None = None, buckets: int = 200) -> None:
+    """Append iterations to a catalogue table (made at ``path`` if new) that keeps the rows of a query together.
+
+    Rows are dealt to buckets by query and sorted within them, so statistics
+    per query and comparisons of stored runs need no shuffle of iterations.
+    """
+    facts = iterations.drop("plan")
+    writer = facts.repartition(buckets, *QUERY_KEY).write.mode("append").bucketBy(buckets, *QUERY_KEY).sortBy(*QUERY_KEY)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
 # --- result documents ---------------------------------------------------------
 
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import from_arrow_type
+
+from lapwise.session import cut
 
 from lapwise.sources.registry import REGISTRY, Registry, spark_type
 
@@ -111,3 +117,56 @@ def _value_counts(df: DataFrame, suite: str, table: str, registry: Registry) ->
         df.agg(F.array(*measures).alias("columns"))
         .select(F.lit(table).alias("table_name"), F.inline("columns"))
     )
+
+
+_FOOTER = "table_name string, file string, column_name string, file_type string"
+
+
+def file_columns(files: DataFrame) -> DataFrame:
+    """Columns and types of Parquet files (``table_name``, ``path``) from their footers alone, read by the tasks."""
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for table, path in zip(*(batch.column(c).to_pylist() for c in ("table_name", "path"))):
+                store, inner = pafs.FileSystem.from_uri(path)
+                with store.open_input_file(inner) as file:
+                    schema = pq.read_schema(file)
+                rows += [(table, path, f.name, from_arrow_type(f.type).simpleString()) for f in schema]
+            columns = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["table_name", "file", "column_name", "file_type"])
+
+    return files.select("table_name", "path").mapInArrow(footers, _FOOTER)
+
+
+def parquet_files(spark: SparkSession, tables: Mapping[str, str]) -> DataFrame:
+    """``table_name`` and ``path`` of the Parquet files of tables; only the listing is read."""
+    listing = spark.createDataFrame([], "table_name string, path string")
+    for name, path in tables.items():
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+        listing = listing.unionByName(files.load(path).select(F.lit(name).alias("table_name"), F.url_decode("path").alias("path")))
+    # A footer costs a round trip to the store, so a task takes a few files only.
+    return listing.repartition("path")
+
+
+def differing_files(spark: SparkSession, tables: Mapping[str, str]) -> DataFrame:
+    """Files whose columns are not those that most files of their table have.
+
+    ``outcome`` is ``type_differs``, ``missing`` or ``extra``.  Spark infers the
+    schema of a table from one file, so a scan shows none of these.
+    """
+    columns = cut(file_columns(parquet_files(spark, tables)), "footers")
+    counts = columns.groupBy("table_name", "column_name", "file_type").agg(F.count(F.lit(1)).alias("files"))
+    usual = counts.groupBy("table_name", "column_name").agg(
+        F.sum("files").alias("having"), F.min(F.struct((-F.col("files")).alias("n"), "file_type"))["file_type"].alias("usual_type")
+    )
+    sizes = columns.select("table_name", "file").distinct().groupBy("table_name").agg(F.count(F.lit(1)).alias("all_files"))
+    expected = usual.join(sizes, "table_name").select("table_name", "column_name", "usual_type", (2 * F.col("having") > F.col("all_files")).alias("expected"))
+    key = ["table_name", "column_name"]
+    wanted = columns.select("table_name", "file").distinct().join(expected.where("expected"), "table_name")
+    missing = wanted.join(columns, ["table_name", "file", "column_name"], "left_anti").select(
+        "table_name", "file", "column_name", F.lit(None).cast("string").alias("file_type"), "usual_type", F.lit("missing").alias("outcome")
+    )
+    outcome = F.when(~F.col("expected"), "extra").when(F.col("file_type") != F.col("usual_type"), "type_differs")
+    present = columns.join(expected, key).withColumn("outcome", outcome).where("outcome IS NOT NULL").select(*missing.columns)
+    return present.unionByName(missing)

@@ -16,7 +16,7 @@ from lapwise.plans.settings import apply_settings, setting_statements
 from lapwise.sources.commits import CommitConflict
 from lapwise.sources import corpus, feed, results, sinks
 from lapwise.sources.registry import REGISTRY
-from lapwise.sources.tables import scan_typed, schema_conformance, typed
+from lapwise.sources.tables import differing_files, scan_typed, schema_conformance, typed
 from test_statistics import iterations, pairs
 
 
@@ -338,3 +338,16 @@ def test_a_version_is_seen_whole_or_not_at_all(spark, sf_dir, tmp_path, monkeypa
     assert spark.read.parquet(now["region"]).count() == 25
     with pytest.raises(ValueError, match="No version"):
         sinks.published_tables(spark, target, 0)
+
+
+def test_a_file_with_other_columns_is_found(spark, tmp_path):
+    for n in range(3):
+        spark.range(5).withColumn("v", F.lit("x")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
+    assert differing_files(spark, {"t": f"{tmp_path}/t"}).count() == 0
+    odd = spark.createDataFrame([(1.5, 2)], "id double, w int")
+    odd.coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
+    found = differing_files(spark, {"t": f"{tmp_path}/t", "alone": f"{tmp_path}/t"})
+    expected = [("id", "double", "bigint", "type_differs"), ("v", None, "string", "missing"), ("w", "int", "int", "extra")]
+    for table in ("t", "alone"):
+        assert rows(found.where(F.col("table_name") == table), "column_name", "file_type", "usual_type", "outcome") == expected
+    assert found.select("file").distinct().count() == 1

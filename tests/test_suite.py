@@ -1,11 +1,19 @@
 """Running a corpus."""
 
+import re
+import uuid
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from lapwise import session
+from lapwise.contract import workloads
+from lapwise.fixtures import Fixtures
+from lapwise.operators.iterations import query_summary
+from lapwise.plans.compare import compare_pairs
+from lapwise.sources import results
 from lapwise.plans import suite
 from lapwise.plans.suite import Measurement, run_suite
 
@@ -78,3 +86,44 @@ def test_work_folders(spark):
     )
     with pytest.raises(ValueError, match="shared folder"):
         session.work_dir(bare, "x")
+
+
+@pytest.mark.parametrize("id", sorted(workloads.REPORTS))
+def test_subqueries_become_joins(spark, sf_dir, id):
+    """No pair of all rows is left in a plan: subqueries are outer, semi and anti joins on keys."""
+    workloads._register(Fixtures(spark, sf_dir), workloads.REPORTS[id])
+    plan = spark.sql(f"EXPLAIN FORMATTED {workloads.REPORTS[id]}").head()[0]
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    joins = {"q13": "LeftOuter|RightOuter", "q22": "LeftAnti", "not_in": "LeftAnti", "set_operations": "LeftAnti"}
+    assert id not in joins or re.search(joins[id], plan)
+
+
+def _nodes_below(plan, name):
+    """Names of the nodes below the lowest node of a name in a plan text."""
+    lines = plan.split("\n")
+    last = max(i for i, line in enumerate(lines) if name in line)
+    return "\n".join(lines[last + 1 :])
+
+
+def test_stored_runs_are_compared_without_a_shuffle(spark, tmp_path):
+    runs = spark.range(4_000).select(
+        F.lit("d/v").alias("dataset"), F.when(F.col("id") % 2 == 0, "base").otherwise("head").alias("engine"),
+        F.concat(F.lit("q"), (F.col("id") % 7).cast("string")).alias("query"), F.col("id").alias("iteration"),
+        (F.col("id") % 97).cast("double").alias("elapsed"), F.lit(1).cast("bigint").alias("row_count"), F.lit(3).cast("bigint").alias("tasks"),
+        F.lit(1.5).alias("stats_q_error_p50"), F.lit(2.5).alias("stats_q_error_p95"), F.lit(None).cast("string").alias("error"),
+    ).withColumnRenamed("query", "id")
+    table = f"stored_test_{uuid.uuid4().hex}"
+    results.store_iterations(runs.where("engine = 'base'"), table, f"{tmp_path}/t", buckets=4)
+    results.store_iterations(runs.where("engine = 'head'"), table, buckets=4)
+    pair = spark.createDataFrame([("d/v", "base", "head")], "dataset string, prev_engine string, new_engine string")
+    try:
+        stored = spark.table(table)
+        sides = F.broadcast(spark.createDataFrame([("d/v", "base"), ("d/v", "head")], "dataset string, engine string"))
+        summary = query_summary(stored.join(sides, ["dataset", "engine"], "left_semi"))
+        plan = summary._jdf.queryExecution().executedPlan().toString()
+        first = _nodes_below(plan, "ObjectHashAggregate")
+        assert "Bucketed: true" in first and "Exchange hashpartitioning" not in first
+        compared = compare_pairs(stored, pair)
+        assert rows(compared.totals) == rows(compare_pairs(runs, pair).totals)
+    finally:
+        spark.sql(f"DROP TABLE {table}")
