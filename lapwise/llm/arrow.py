@@ -12,14 +12,16 @@ BATCH_ROWS = 2_000
 BATCH_BYTES = 4 << 20
 
 
-def bound_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def bound_batches(spark: SparkSession, times: int = 1) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(times * BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(times * BATCH_BYTES))
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """One output batch (or none) for each input batch."""
-    bound_batches(df.sparkSession)
+def map_batches(
+    df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, times: int = 1
+) -> DataFrame:
+    """One output batch (or none) for each input batch; batches are ``times`` as large if the result is run next."""
+    bound_batches(df.sparkSession, times)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -140,7 +140,8 @@ def write_tokens(
         ids = _encoder(vocabulary.value).encode([t or "" for t in batch.column("text").to_pylist()], end_id)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), id_lists(ids)], ["doc_id", "ids"])
 
-    tokens = map_batches(ordered, encoded, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>")
+    # A large batch has fewer kinds of pieces for its size.
+    tokens = map_batches(ordered, encoded, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>", times=2)
     (
         tokens.write.format("orc")
         .option("orc.stripe.size", STRIPE_BYTES)
@@ -179,7 +180,9 @@ def positions(spark: SparkSession, path: str) -> DataFrame:
     schema = f"file string, place struct<split:long,number:long>, doc_id {kind}, n_tokens long, ids_crc32 long"
     # Counts without ids, read by file and by document: the files themselves are read once.
     counted = cut(map_batches(stored, summed, schema), "token-counts")
-    before_file = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    # Names count the ranges, with more digits from 100,000 files on.
+    number = F.regexp_extract("file", "part-([0-9]+)", 1).cast("bigint")
+    before_file = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
     files = counted.groupBy("file").agg(F.sum("n_tokens").alias("n")).select(
         F.col("file"), F.coalesce(F.sum("n").over(before_file), F.lit(0)).alias("file_start")
     )
