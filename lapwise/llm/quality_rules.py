@@ -30,10 +30,9 @@ from lapwise.session import cut
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 ITERATIONS = 50
-# Where the estimation starts, and the range in which accuracies may move.  Rules are detectors of one fault each:
-# they seldom vote bad on a good document, and each sees a part of the bad ones only.
-START_GOOD, START_ON_GOOD, START_ON_BAD = 0.85, 0.995, 0.25
-ON_GOOD_RANGE, ON_BAD_RANGE, GOOD_RANGE = (0.995, 0.9999), (0.2, 0.95), (0.05, 0.95)
+# Where the estimation starts.  Rules are detectors of one fault each: they seldom vote bad on a good document, and
+# each sees a part of the bad ones only.  The votes move the accuracies from there as far as they say.
+START_GOOD, START_ON_GOOD, START_ON_BAD = 0.85, 0.95, 0.3
 # Weight, in votes, of the start values.
 PRIOR_VOTES = 10.0
 KEEP_AT = 0.5
@@ -177,9 +176,11 @@ class Model:
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, iterations: int = ITERATIONS) -> Model:
-    """Expectation-maximisation over (vote pattern, count)."""
+    """Expectation-maximisation over (vote pattern, count).
+
+    ``PRIOR_VOTES`` votes at the start values stand for each share, so that none becomes 0 or 1.
+    """
     share = lambda right, wrong, start: (right + PRIOR_VOTES * start) / (right + wrong + PRIOR_VOTES)
-    within = lambda value, limits: min(max(value, limits[0]), limits[1])
     total = sum(n for _, n in patterns)
     model = Model(START_GOOD, (START_ON_GOOD,) * n_rules, (START_ON_BAD,) * n_rules)
     for _ in range(iterations):
@@ -188,12 +189,10 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, iteratio
         for j in range(n_rules):
             for_good = [(good, bad) for votes, good, bad in weighted if votes[j] > 0]
             for_bad = [(good, bad) for votes, good, bad in weighted if votes[j] < 0]
-            agreed = share(sum(g for g, _ in for_good), sum(g for g, _ in for_bad), START_ON_GOOD)
-            caught = share(sum(b for _, b in for_bad), sum(b for _, b in for_good), START_ON_BAD)
-            on_good.append(within(agreed, ON_GOOD_RANGE))
-            on_bad.append(within(caught, ON_BAD_RANGE))
+            on_good.append(share(sum(g for g, _ in for_good), sum(g for g, _ in for_bad), START_ON_GOOD))
+            on_bad.append(share(sum(b for _, b in for_bad), sum(b for _, b in for_good), START_ON_BAD))
         good = sum(g for _, g, _ in weighted)
-        model = Model(within(share(good, total - good, START_GOOD), GOOD_RANGE), tuple(on_good), tuple(on_bad))
+        model = Model(share(good, total - good, START_GOOD), tuple(on_good), tuple(on_bad))
     return model
 
 

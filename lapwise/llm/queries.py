@@ -40,10 +40,9 @@ def _quality_sql() -> str:
     odds = "ln(good / (1 - good)) + " + " + ".join(evidence)
     total = lambda weight, j, sign: f"coalesce(sum({weight}) FILTER (votes[{j}] = {sign}), 0)"
 
-    def estimates(weight: str, right: int, start: float, limits: tuple[float, float]) -> str:
+    def estimates(weight: str, right: int, start: float) -> str:
         parts = [
-            f"least(greatest(({total(weight, j, right)} + {qr.PRIOR_VOTES * start!r}) / ({total(weight, j, 1)} + {total(weight, j, -1)} + {qr.PRIOR_VOTES}),"
-            f" {real(limits[0])}), {real(limits[1])})"
+            f"({total(weight, j, right)} + {qr.PRIOR_VOTES * start!r}) / ({total(weight, j, 1)} + {total(weight, j, -1)} + {qr.PRIOR_VOTES})"
             for j in range(1, len(rules) + 1)
         ]
         return "[" + ",\n   ".join(parts) + "]"
@@ -72,9 +71,9 @@ em(step, good, g, b) AS (
   SELECT 0, {real(qr.START_GOOD)}, {same(qr.START_ON_GOOD)}, {same(qr.START_ON_BAD)}
   UNION ALL
   SELECT step + 1,
-   least(greatest((sum(n * p) + {qr.PRIOR_VOTES * qr.START_GOOD!r}) / (sum(n) + {qr.PRIOR_VOTES}), {real(qr.GOOD_RANGE[0])}), {real(qr.GOOD_RANGE[1])}),
-   {estimates("n * p", 1, qr.START_ON_GOOD, qr.ON_GOOD_RANGE)},
-   {estimates("n * (1 - p)", -1, qr.START_ON_BAD, qr.ON_BAD_RANGE)}
+   (sum(n * p) + {qr.PRIOR_VOTES * qr.START_GOOD!r}) / (sum(n) + {qr.PRIOR_VOTES}),
+   {estimates("n * p", 1, qr.START_ON_GOOD)},
+   {estimates("n * (1 - p)", -1, qr.START_ON_BAD)}
   FROM (SELECT step, votes, n, 1 / (1 + exp(-greatest(-500, least(500, {odds})))) AS p FROM em, pattern WHERE step < {qr.ITERATIONS})
   GROUP BY step),
 judged AS (

@@ -9,6 +9,8 @@ import brute
 import corpus_pipeline
 from lapwise.llm import quality_rules
 from lapwise.session import cut
+from test_near_copies import _kept as without_near_copies
+from test_repeated_lines import _kept as without_repeats
 
 
 def _expected(spark, sf_dir):
@@ -25,12 +27,11 @@ def _expected(spark, sf_dir):
     model = quality_rules.estimate(sorted(patterns.items()), len(quality_rules.rules()))
     good = lambda m: m["n_words"] >= 50 and 100 * m["n_repeat_words"] <= 50 * m["n_words"]
     docs = {i: t for i, t in docs.items() if good(measures[i]) and model.posterior(votes[i]) >= 0.5}
-    # lines
-    lines = brute.line_dedup(sorted(docs.items()))
+    # runs of lines that any earlier place has
+    lines = without_repeats(docs.items())
     docs = {i: kept for i, (kept, n, gone) in lines.items() if n == 0 or gone < n}
-    # near-duplicates
-    ids = sorted(docs)
-    docs = {ids[g]: docs[ids[g]] for g in brute.groups([brute.simhash(docs[i]) for i in ids])}
+    # near copies: five-word shingles, similarity of 0.8 or more
+    docs = {i: docs[i] for i in without_near_copies(docs.items())}
     # benchmark
     docs = {i: t for i, t in docs.items() if brute.decontaminated(t, items)[1] == 0}
     library = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.VOCABULARY))

@@ -44,6 +44,51 @@ def test_estimation_finds_the_better_rules():
     assert quality_rules.estimate([], 3).good == pytest.approx(0.85)
 
 
+def _planted(accuracies, n=30_000, share=0.75):
+    """Votes of independent rules on documents that are known to be good or bad: (votes, good) with counts."""
+    rng, counts = random.Random(7), {}
+    for _ in range(n):
+        good = rng.random() < share
+        votes = tuple(
+            0 if rng.random() < 0.1 else (1 if rng.random() < a else -1) if good else (-1 if rng.random() < b else 1) for a, b in accuracies
+        )
+        counts[votes, good] = counts.get((votes, good), 0) + 1
+    return counts
+
+
+def test_estimated_accuracies_decide_and_not_single_votes():
+    """Weak rules vote bad on a fifth of the good documents: the estimation finds that out and outvotes them."""
+    accuracies = [(0.8, 0.55), (0.78, 0.6), (0.97, 0.7), (0.99, 0.8), (0.95, 0.65)]
+    counts = _planted(accuracies)
+    patterns = {}
+    for (votes, _), n in counts.items():
+        patterns[votes] = patterns.get(votes, 0) + n
+    model = quality_rules.estimate(sorted(patterns.items()), len(accuracies))
+    assert abs(model.good - 0.75) < 0.05
+    for (on_good, on_bad), found_good, found_bad in zip(accuracies, model.on_good, model.on_bad):
+        assert abs(on_good - found_good) < 0.05 and abs(on_bad - found_bad) < 0.05
+    kept = {v: model.posterior(v) >= 0.5 for v in patterns}
+    all_pass = {v: min(v) >= 0 for v in patterns}
+    right = lambda verdict: sum(n for (v, good), n in counts.items() if verdict[v] == good) / sum(counts.values())
+    assert sum(n for v, n in patterns.items() if kept[v] != all_pass[v]) > 5_000
+    assert right(kept) > 0.9 > 0.8 > right(all_pass)
+
+
+def test_start_values_do_not_decide():
+    counts = {}
+    for (votes, _), n in _planted([(0.9, 0.6), (0.95, 0.7), (0.97, 0.5), (0.85, 0.8)]).items():
+        counts[votes] = counts.get(votes, 0) + n
+    models = []
+    for start in ((0.85, 0.95, 0.3), (0.7, 0.8, 0.5), (0.9, 0.9, 0.6)):
+        with pytest.MonkeyPatch.context() as patch:
+            for name, value in zip(("START_GOOD", "START_ON_GOOD", "START_ON_BAD"), start):
+                patch.setattr(quality_rules, name, value)
+            models.append(quality_rules.estimate(sorted(counts.items()), 4, iterations=400))
+    for m in models[1:]:
+        assert abs(m.good - models[0].good) < 0.01
+        assert all(abs(a - b) < 0.01 for a, b in zip((*m.on_good, *m.on_bad), (*models[0].on_good, *models[0].on_bad)))
+
+
 def test_quality_of_odd_rows(spark):
     judged = quality_rules.quality_rules(brute.odd_documents(spark), keep_rows=True)
     assert judged.count() == 18 and judged.where("m.n_words = 0 AND kept").isEmpty()
