@@ -1,24 +1,26 @@
 """Removal of repeated runs of lines, by winnowing over line hashes.
 
-Lines without a word are looked over.  Every two consecutive lines of a document
-make a gram; of each ``WINDOW`` consecutive grams the smallest (the last of equal
-ones) is a fingerprint, so any run of ``GRAM + WINDOW - 1`` lines that stands in
-two places has a fingerprint in common.  A fingerprint row carries the hashes of
-the ``WINDOW - 1`` lines before and after it, which is as far as a match can
-reach beyond its outermost fingerprint: a further line would have one itself.
-
-One aggregation per gram gives its first place (by id, then text hash, then
-line) and that place's neighbours.  Every later place is matched with the first
-one only, never with each other, and extended both ways while the neighbouring
-lines agree.  The matches of a document are united, and stretches of at least
-``LEAST_LINES`` lines are deleted.  The first place of any line is never deleted,
-so every text stays in the corpus.
-
-A run whose grams have their first places in other contexts is not found, as in the
-SQL of the query; :mod:`lapwise.llm.repeated_lines` finds every run.
-
-Null and empty texts have no lines and stay as they are.  Rows with equal id and
-equal text count as one place: both stay or lose the same lines.  Rows with equal
+Lines without a word are looked over.  A window is a stretch of three lines, or of
+one or two with ``LONG_WORDS`` words.  The smallest line hash of a window (the last
+of equal ones) is its fingerprint, so two places that have the same window have the
+same fingerprint, and neighbouring windows mostly share theirs.
+
+Positions are joined in two steps.  Of the fingerprints only those go on that stand
+in two places: one aggregation over the fingerprints, and a join with what it leaves.
+From such a fingerprint a match is extended to both ends of each window that chose
+it, by the hash of the lines before and after it; one aggregation per fingerprint and
+neighbourhood gives the first place, and every later place is joined with that one.
+So any earlier place counts, whatever its context, and places are never paired with
+each other.  A match that goes on meets the windows further on, each with its own
+fingerprint, so the united windows reach to both ends of it.
+
+A later place of a window is deleted.  Places are ordered by id, text hash and line.
+The first place of any line is never deleted: a window over it that stood earlier
+would be an earlier place of the line.  So every text stays in the corpus.
+
+A window is known by 64 bits of its fingerprint and 64 of all its lines, hashed
+apart.  Null and empty texts have no lines and stay as they are.  Rows with equal id
+and equal text count as one place: both stay or lose the same lines.  Rows with equal
 ids and different texts, and rows with null ids (first in order), are told apart
 by the hash of the text.
 """
@@ -28,96 +30,97 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lapwise.functions.binding import let
-from lapwise.llm.rows import packed, text_of
+from lapwise.llm.rows import packed, text_of, words
+from lapwise.session import cut
 
-GRAM = 2
-WINDOW = 2
-LEAST_LINES = GRAM + WINDOW - 1
-_HEX_DIGITS = 15
+WINDOW = 3
+# Words that make a window of fewer lines.
+LONG_WORDS = 50
 _RUNS = "array<struct<first:int,last:int>>"
 
 
-def _hash(text: Column) -> Column:
-    """60 bits of MD5, as hexadecimal digits: equal on any engine."""
-    return F.substring(F.md5(text), 1, _HEX_DIGITS)
+def worded_lines(text: Column) -> Column:
+    """Array of (line, text) of the lines with a word; ``line`` counts all lines from 0."""
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
+    return F.filter(lines, lambda x: x["text"].rlike(r"[^\x20\x09-\x0D]"))
+
+
+def _windows(text: Column, window: int, long_words: int) -> Column:
+    """Array of (gram, gram_at, first, size, around) of all windows; places count the lines with a word."""
+    hashed = F.transform(
+        worded_lines(text),
+        lambda x: F.struct(
+            F.xxhash64(x["text"]).alias("hash"),
+            F.xxhash64(F.lit(1), x["text"]).alias("other"),
+            F.size(words(x["text"])).alias("n_words"),
+        ),
+    )
 
+    def of(lines: Column) -> Column:
+        def at(first: Column, size: int) -> Column:
+            parts = [F.get(lines, first + k) for k in range(size)]
+            enough = F.lit(True) if size == window else sum((p["n_words"] for p in parts[1:]), parts[0]["n_words"]) >= long_words
+            marks = [F.struct(p["hash"].alias("hash"), (-(first + k)).alias("minus_at")) for k, p in enumerate(parts)]
+            least = F.array_min(F.array(*marks))
+            found = F.struct(
+                least["hash"].alias("gram"),
+                (-least["minus_at"]).alias("gram_at"),
+                first.alias("first"),
+                F.lit(size).alias("size"),
+                F.xxhash64(*[p["other"] for p in parts]).alias("around"),
+            )
+            return F.when((first + size <= F.size(lines)) & enough, found)
 
-def numbered_lines(text: Column) -> Column:
-    """Array of (line, hash) of the lines with a word; ``line`` counts all lines from 0."""
-    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
-    worded = F.filter(lines, lambda x: x["text"].rlike(r"[^\x20\x09-\x0D]"))
-    return F.transform(worded, lambda x: F.struct(x["line"].alias("line"), _hash(x["text"]).alias("hash")))
+        firsts = F.filter(F.sequence(F.lit(0), F.size(lines)), lambda i: i < F.size(lines))
+        return F.flatten(F.transform(firsts, lambda i: F.array_compact(F.array(*[at(i, n) for n in range(1, window + 1)]))))
 
+    return let(hashed, of)
 
-def _fingerprints(lines: Column) -> Column:
-    """Array of (gram, at, before, after) of the selected grams; ``at`` counts the lines with a word."""
-    n = F.size(lines)
-    pairs = F.zip_with(lines, F.slice(lines, 2, n), lambda a, b: _hash(F.concat(a["hash"], b["hash"])))
-    grams = F.transform(
-        F.slice(pairs, 1, F.greatest(n - 1, F.lit(0))), lambda g, i: F.struct(g.alias("gram"), (-i).alias("minus_at"))
-    )
 
-    def selected(g: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(g) - WINDOW + 1)
-        least = F.transform(starts, lambda s: -F.array_min(F.slice(g, s, F.lit(WINDOW)))["minus_at"])
-        places = F.array_distinct(least)
-        neighbour = lambda at, step: F.get(lines, at + step)["hash"]
-        return F.transform(
-            places,
-            lambda at: F.struct(
-                F.get(g, at)["gram"].alias("gram"),
-                at.alias("at"),
-                F.array(*[neighbour(at, -k) for k in range(1, WINDOW)]).alias("before"),
-                F.array(*[neighbour(at, GRAM - 1 + k) for k in range(1, WINDOW)]).alias("after"),
-            ),
-        )
-
-    kind = "array<struct<gram:string,at:int,before:array<string>,after:array<string>>>"
-    return F.when(n >= LEAST_LINES, let(grams, selected)).otherwise(F.array().cast(kind))
-
-
-def _agreeing(mine: Column, first: Column) -> Column:
-    """How many neighbours in a row agree, from the nearest on."""
-    total = F.lit(0)
-    for k in reversed(range(WINDOW - 1)):
-        total = F.when(F.get(mine, F.lit(k)) == F.get(first, F.lit(k)), 1 + total).otherwise(0)
-    return total
-
-
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per fingerprint: ``gram``, ``place`` (id, text hash, at), ``before``, ``after``."""
+def windows(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, long_words: int = LONG_WORDS
+) -> DataFrame:
+    """One row per document with lines: ``id``, ``text_hash`` and its ``windows``."""
     text = text_of(F.col(f"row.{text_column}"))
-    rows = packed(docs).select(
-        F.col(f"row.{id_column}").alias("id"),
-        F.xxhash64(text).alias("text_hash"),
-        F.explode(let(numbered_lines(text), _fingerprints)).alias("f"),
+    found = packed(docs).select(
+        F.col(f"row.{id_column}").alias("id"), F.xxhash64(text).alias("text_hash"), _windows(text, window, long_words).alias("windows")
     )
-    return rows.select("f.gram", F.struct("id", "text_hash", F.col("f.at").alias("at")).alias("place"), "f.before", "f.after")
-
-
-def repeated_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Matches of later places with the first: ``id``, ``text_hash`` and ``runs``, an array of (first, last) lines with a word."""
-    prints = fingerprints(docs, id_column, text_column)
+    return found.where(F.size("windows") > 0)
+
+
+def repeated_fingerprints(found: DataFrame) -> DataFrame:
+    """Fingerprints (``gram``) that stand in two places."""
+    chosen = F.array_distinct(F.transform("windows", lambda w: F.struct(w["gram"].alias("gram"), w["gram_at"].alias("at"))))
+    prints = found.select("id", "text_hash", F.explode(chosen).alias("print"))
+    place = F.struct("id", "text_hash", F.col("print.at").alias("at"))
+    places = prints.groupBy(F.col("print.gram").alias("gram")).agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    return places.where(F.col("first") != F.col("last")).select("gram")
+
+
+def repeated_runs(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, long_words: int = LONG_WORDS
+) -> DataFrame:
+    """Windows that an earlier place has: ``id``, ``text_hash`` and ``runs``, a sorted array of (first, last) lines with a word."""
+    found = windows(docs, id_column, text_column, window, long_words)
+    extended = found.select("id", "text_hash", F.inline("windows")).join(repeated_fingerprints(found), "gram", "left_semi")
+    # Both the first places and the later ones are taken from it.
+    extended = cut(
+        extended.select("gram", "around", "size", F.struct("id", "text_hash", F.col("first").alias("at")).alias("place")), "line-matches"
+    )
+    match = ["gram", "around", "size"]
     firsts = (
-        prints.groupBy("gram")
-        .agg(F.min(F.struct("place", "before", "after")).alias("first"), F.max("place").alias("last_place"))
-        .where(F.col("last_place") != F.col("first.place"))
-        .select("gram", "first")
+        extended.groupBy(*match)
+        .agg(F.min("place").alias("first"), F.max("place").alias("last"))
+        .where(F.col("first") != F.col("last"))
+        .drop("last")
     )
-    later = prints.join(firsts, "gram").where(F.col("place") > F.col("first.place"))
-    start = F.col("place.at") - _agreeing(F.col("before"), F.col("first.before"))
-    end = F.col("place.at") + (GRAM - 1) + _agreeing(F.col("after"), F.col("first.after"))
-    run = F.struct(start.alias("first"), end.alias("last"))
+    later = extended.join(firsts, match).where(F.col("place") > F.col("first"))
+    run = F.struct(F.col("place.at").alias("first"), (F.col("place.at") + F.col("size") - 1).alias("last"))
     return later.groupBy(F.col("place.id").alias("id"), F.col("place.text_hash").alias("text_hash")).agg(
         F.sort_array(F.collect_set(run)).alias("runs")
     )
 
 
-def _stretches(runs: Column) -> Column:
-    """United runs that are long enough."""
-    return F.filter(united(runs), lambda r: r["last"] - r["first"] + 1 >= LEAST_LINES)
-
-
 def united(runs: Column) -> Column:
     """Sorted runs, of which those that overlap or touch become one."""
     empty = F.array().cast(_RUNS)
@@ -133,12 +136,14 @@ def united(runs: Column) -> Column:
     return F.aggregate(runs, empty, unite)
 
 
-def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def line_dedup(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, long_words: int = LONG_WORDS
+) -> DataFrame:
     """Every row as ``row`` with ``kept`` text and counts ``n_lines``, ``n_removed`` (lines with a word), ``n_spans``.
 
     A null text stays null.
     """
-    runs = repeated_runs(docs, id_column, text_column).withColumn("runs", _stretches(F.col("runs")))
+    runs = repeated_runs(docs, id_column, text_column, window, long_words).withColumn("runs", united(F.col("runs")))
     return without_runs(docs, runs, id_column, text_column)
 
 
@@ -163,7 +168,7 @@ def without_runs(docs: DataFrame, runs: DataFrame, id_column: str = "doc_id", te
                 F.when(F.size(spans) > 0, kept).otherwise(F.col(f"row.{text_column}")).alias("kept"),
             )
 
-        return let(numbered_lines(text), without)
+        return let(worded_lines(text), without)
 
     return joined.select("row", F.inline(F.array(let(F.coalesce("runs", F.array().cast(_RUNS)), cut_out))))
 

@@ -9,7 +9,7 @@ from lapwise.llm.bpe import digests
 from lapwise.llm.decontamination import WINDOW, decontaminate
 from lapwise.llm.language_id import identify, learn
 from lapwise.llm.licenses import LEAST_SHARE, TEMPLATES, scan_licenses
-from lapwise.llm.line_dedup import line_dedup
+from lapwise.llm.line_dedup import LONG_WORDS, WINDOW as LINE_WINDOW, line_dedup
 from lapwise.llm.nearest import nearest_neighbours
 from lapwise.llm.prefix_trie import grafted, trie, turns
 from lapwise.llm.quality_classifier import quality_classifier
@@ -211,39 +211,24 @@ def op6(table) -> DataFrame:
     )
 
 
-LINE_DEDUP_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
-numbered AS (
-  SELECT doc_id, unnest(parts) AS line, unnest(range(0, len(parts))) AS line_no FROM lines),
+LINE_DEDUP_SQL = rf"""
+WITH numbered AS (
+  SELECT doc_id, unnest(parts) AS line, unnest(range(0, len(parts))) AS line_no
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
 worded AS (
-  SELECT doc_id, line, line_no, substr(md5(line), 1, 15) AS h,
-         row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS pos,
-         count(*) OVER (PARTITION BY doc_id) AS n
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS pos,
+         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n_words
   FROM numbered WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-grams AS (
-  SELECT *, lead(h) OVER w AS h1, lead(h, 2) OVER w AS after, lag(h) OVER w AS before
-  FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-hashed AS (
-  SELECT *, substr(md5(h || h1), 1, 15) AS gram FROM grams WHERE h1 IS NOT NULL AND n >= 3),
-around AS (
-  SELECT *, lag(gram) OVER w AS gram_before, lead(gram) OVER w AS gram_after
-  FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-prints AS (SELECT * FROM around WHERE gram <= gram_before OR gram < gram_after),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY gram ORDER BY doc_id, pos) AS rank,
-         first_value(before) OVER (PARTITION BY gram ORDER BY doc_id, pos) AS first_before,
-         first_value(after) OVER (PARTITION BY gram ORDER BY doc_id, pos) AS first_after FROM prints),
-covered AS (
-  SELECT DISTINCT doc_id, unnest(range(
-           pos - CASE WHEN before = first_before THEN 1 ELSE 0 END,
-           pos + 2 + CASE WHEN after = first_after THEN 1 ELSE 0 END)) AS pos
-  FROM ranked WHERE rank > 1),
-islands AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM covered),
-spans AS (SELECT doc_id, island FROM islands GROUP BY ALL HAVING count(*) >= 3),
-gone AS (SELECT doc_id, pos FROM islands JOIN spans USING (doc_id, island)),
-counted AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id),
-span_counts AS (SELECT doc_id, count(*) AS n_spans FROM spans GROUP BY doc_id),
+run AS (
+  SELECT doc_id, pos, size, list(line) OVER w AS lines, count(*) OVER w AS n, sum(n_words) OVER w AS n_words
+  FROM (SELECT *, unnest(range(1, {LINE_WINDOW} + 1)) AS size FROM worded)
+  WINDOW w AS (PARTITION BY doc_id, size ORDER BY pos ROWS BETWEEN CURRENT ROW AND size - 1 FOLLOWING)),
+repeated AS (
+  SELECT doc_id, pos, size, row_number() OVER (PARTITION BY lines ORDER BY doc_id, pos) AS place
+  FROM run WHERE n = size AND (size = {LINE_WINDOW} OR n_words >= {LONG_WORDS})),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + size)) AS pos FROM repeated WHERE place > 1),
+islands AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM gone),
+counted AS (SELECT doc_id, count(*) AS n_removed, count(DISTINCT island) AS n_spans FROM islands GROUP BY doc_id),
 line_counts AS (SELECT doc_id, count(*) AS n_lines FROM worded GROUP BY doc_id),
 left_over AS (
   SELECT numbered.doc_id, string_agg(numbered.line, chr(10) ORDER BY numbered.line_no) AS kept
@@ -251,8 +236,7 @@ left_over AS (
   WHERE gone.doc_id IS NULL GROUP BY numbered.doc_id)
 SELECT documents.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
        CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256
-FROM documents LEFT JOIN line_counts USING (doc_id) LEFT JOIN counted USING (doc_id)
-LEFT JOIN span_counts USING (doc_id) LEFT JOIN left_over USING (doc_id)
+FROM documents LEFT JOIN line_counts USING (doc_id) LEFT JOIN counted USING (doc_id) LEFT JOIN left_over USING (doc_id)
 """
 
 

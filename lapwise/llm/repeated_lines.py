@@ -1,73 +1,3 @@
-"""Removal of every repeated run of three lines or fifty words.
+"""The pipeline's name for :func:`lapwise.llm.line_dedup.line_dedup`."""
 
-Lines without a word are looked over.  A run of three lines, or of one or two with
-``LONG_WORDS`` words, is deleted where an earlier place has the same lines,
-whichever place that is; a longer run goes by its windows of three.  Places are ordered by id, text hash and line.  The
-first place of any line is never deleted: a run over it that stood earlier would
-be an earlier place of the line.
-
-One aggregation per run gives its first place, and every later place is joined
-with it; places are never paired with each other.  Null, empty and repeated rows
-are as in :mod:`lapwise.llm.line_dedup`, whose query keeps to winnowing.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import Column, DataFrame, functions as F
-
-from lapwise.functions.binding import let
-from lapwise.llm.line_dedup import numbered_lines, united, without_runs
-from lapwise.llm.rows import packed, text_of, words
-
-RUN_LINES = 3
-# Words that make a repeated run long enough with fewer lines.
-LONG_WORDS = 50
-
-
-def _runs(text: Column) -> Column:
-    """Array of (hash, at, n) of the runs of ``n`` lines from ``at`` on, which counts the lines with a word."""
-
-    def measured(all_lines: Column) -> Column:
-        return F.transform(
-            numbered_lines(text), lambda x: F.struct(x["hash"].alias("hash"), F.size(words(F.get(all_lines, x["line"]))).alias("n_words"))
-        )
-
-    def of(lines: Column) -> Column:
-        def run(at: Column, n: int) -> Column:
-            parts = [F.get(lines, at + k) for k in range(n)]
-            long = F.lit(True) if n == RUN_LINES else sum((p["n_words"] for p in parts[1:]), parts[0]["n_words"]) >= LONG_WORDS
-            found = F.struct(F.xxhash64(*[p["hash"] for p in parts]).alias("hash"), at.alias("at"), F.lit(n).alias("n"))
-            return F.when((at + n <= F.size(lines)) & long, found)
-
-        starts = F.filter(F.sequence(F.lit(0), F.size(lines)), lambda at: at < F.size(lines))
-        return F.flatten(F.transform(starts, lambda at: F.array_compact(F.array(*[run(at, n) for n in range(1, RUN_LINES + 1)]))))
-
-    return let(let(F.split(text, "\n"), measured), of)
-
-
-def repeated_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Runs that an earlier place has: ``id``, ``text_hash`` and ``runs``, an array of (first, last) lines with a word."""
-    text = text_of(F.col(f"row.{text_column}"))
-    found = packed(docs).select(
-        F.col(f"row.{id_column}").alias("id"),
-        F.xxhash64(text).alias("text_hash"),
-        F.explode(_runs(text)).alias("run"),
-    )
-    places = found.select("run.hash", "run.n", F.struct("id", "text_hash", F.col("run.at").alias("at")).alias("place"))
-    firsts = (
-        places.groupBy("hash", "n")
-        .agg(F.min("place").alias("first"), F.max("place").alias("last_place"))
-        .where(F.col("last_place") != F.col("first"))
-        .select("hash", "n", "first")
-    )
-    later = places.join(firsts, ["hash", "n"]).where(F.col("place") > F.col("first"))
-    run = F.struct(F.col("place.at").alias("first"), (F.col("place.at") + F.col("n") - 1).alias("last"))
-    return later.groupBy(F.col("place.id").alias("id"), F.col("place.text_hash").alias("text_hash")).agg(
-        F.sort_array(F.collect_set(run)).alias("runs")
-    )
-
-
-def without_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Every row as ``row`` with ``kept`` text and counts ``n_lines``, ``n_removed`` (lines with a word), ``n_spans``."""
-    runs = repeated_runs(docs, id_column, text_column).withColumn("runs", united(F.col("runs")))
-    return without_runs(docs, runs, id_column, text_column)
+from lapwise.llm.line_dedup import line_dedup as without_repeated_lines  # noqa: F401

@@ -1,6 +1,5 @@
 """Plain versions of the operators, for small inputs."""
 
-import hashlib
 import re
 from collections import defaultdict
 
@@ -47,43 +46,24 @@ def quality_metrics(text):
     }
 
 
-def _short(text):
-    return hashlib.md5(text.encode()).hexdigest()[:15]
-
-
 def line_dedup(rows):
-    """Kept text and removed lines of (id, text) rows with unique ids, in ascending order of ids."""
-    worded, prints = {}, []
-    for i, text in rows:
-        lines = [(n, x) for n, x in enumerate((text or "").split("\n")) if re.search("[^\x20\x09-\x0d]", x)]
-        worded[i] = lines
-        hashes = [_short(x) for _, x in lines]
-        grams = [_short(a + b) for a, b in zip(hashes, hashes[1:])]
-        if len(lines) >= 3:
-            chosen = {min((g, -p) for p, g in list(enumerate(grams))[s : s + 2]) for s in range(len(grams) - 1)}
-            for g, p in chosen:
-                prints.append((g, i, -p, hashes[-p - 1] if p else None, hashes[-p + 2] if -p + 2 < len(hashes) else None))
-    first = {}
-    for g, i, p, before, after in sorted(prints, key=lambda x: (x[1], x[2])):
-        first.setdefault(g, (i, p, before, after))
-    covered = defaultdict(set)
-    for g, i, p, before, after in prints:
-        fi, fp, fbefore, fafter = first[g]
-        if (i, p) != (fi, fp):
-            low = p - (before is not None and before == fbefore)
-            high = p + 1 + (after is not None and after == fafter)
-            covered[i].update(range(low, high + 1))
-    out = {}
-    for i, text in rows:
-        gone, run = set(), []
-        for p in sorted(covered[i]) + [10**9]:
-            if run and p != run[-1] + 1:
-                gone.update(run if len(run) >= 3 else [])
-                run = []
-            run.append(p)
-        removed = {worded[i][p][0] for p in gone}
-        kept = text if not removed else "\n".join(x for n, x in enumerate(text.split("\n")) if n not in removed)
-        out[i] = (kept, len(worded[i]), len(gone))
+    """Kept text, lines and removed lines of (id, text) rows with unique ids.
+
+    Runs of three lines, or of one or two with 50 words, that any earlier place has go.
+    """
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        parts = (text or "").split("\n")
+        worded = [n for n, x in enumerate(parts) if re.search("[^\x20\x09-\x0d]", x)]
+        gone = set()
+        for at in range(len(worded)):
+            for n in (1, 2, 3):
+                run = tuple(parts[p] for p in worded[at : at + n])
+                n_words = sum(len([w for w in re.split("[\x20\x09-\x0d]+", x) if w]) for x in run)
+                if len(run) == n and (n == 3 or n_words >= 50):
+                    gone.update(worded[at : at + n] if run in seen else [])
+                    seen.add(run)
+        out[i] = ("\n".join(x for n, x in enumerate(parts) if n not in gone) if gone else text, len(worded), len(gone))
     return out
 
 

@@ -35,6 +35,17 @@ def test_every_line_stays_somewhere(spark):
     assert sum(n for _, _, n in kept.values()) > 0
 
 
+def test_windows_and_words_are_parameters(spark):
+    rng = random.Random(6)
+    rows = [(i, "\n".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 40)))) for i in range(40)]
+    docs = brute.documents(spark, rows)
+    removed = [sum(n for _, _, n in _kept(line_dedup(docs, window=w)).values()) for w in (2, 3, 5)]
+    assert removed[0] > removed[1] > removed[2] > 0
+    # one word makes a window: every line that stood earlier goes
+    firsts = _kept(line_dedup(docs, long_words=1))
+    assert sum(n - gone for _, n, gone in firsts.values()) == len({x for _, t in rows for x in t.split("\n") if x})
+
+
 def test_lines_of_odd_rows(spark):
     docs = brute.odd_documents(spark)
     found = line_dedup(docs)

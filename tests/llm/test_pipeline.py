@@ -10,7 +10,6 @@ import corpus_pipeline
 from lapwise.llm import quality_rules
 from lapwise.session import cut
 from test_near_copies import _kept as without_near_copies
-from test_repeated_lines import _kept as without_repeats
 
 
 def _expected(spark, sf_dir):
@@ -28,7 +27,7 @@ def _expected(spark, sf_dir):
     good = lambda m: m["n_words"] >= 50 and 100 * m["n_repeat_words"] <= 50 * m["n_words"]
     docs = {i: t for i, t in docs.items() if good(measures[i]) and model.posterior(votes[i]) >= 0.5}
     # runs of lines that any earlier place has
-    lines = without_repeats(docs.items())
+    lines = brute.line_dedup(docs.items())
     docs = {i: kept for i, (kept, n, gone) in lines.items() if n == 0 or gone < n}
     # near copies: five-word shingles, similarity of 0.8 or more
     docs = {i: docs[i] for i in without_near_copies(docs.items())}
