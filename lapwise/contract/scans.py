@@ -12,7 +12,7 @@ from lapwise.operators import catalog
 from lapwise.operators.comments import scan_start
 from lapwise.operators.ordering import natural_positions
 from lapwise.session import folder_exists, work_dir
-from lapwise.sources import corpus, feed, results, sinks, tables
+from lapwise.sources import corpus, feed, pages, results, sinks, tables
 
 TPCH = ("customer", "lineitem", "nation", "orders", "part", "region", "supplier")
 BUCKET = "s3://lab-data/"
@@ -475,6 +475,19 @@ _POSITIONS = """SELECT 'o/r0' AS repository, TIMESTAMP '2024-01-12 00:00:00' AS
 UNION ALL SELECT 'o/r1', NULL UNION ALL SELECT 'o/r2', TIMESTAMP '2024-01-20 06:00:00'"""
 
 
+@query("poll_pages", f"""
+SELECT comment_id, repository, page, epoch_us(updated_at) AS updated_us
+FROM (SELECT c.*, (row_number() OVER (PARTITION BY c.repository ORDER BY updated_at, comment_id) - 1) // 100 AS page
+      FROM fx_comments c JOIN ({_POSITIONS}) p ON p.repository = c.repository
+      WHERE updated_at >= coalesce(scanned_through, TIMESTAMP '2024-01-15 12:00:00' - INTERVAL '1' HOUR)) numbered
+WHERE page < 100
+""")
+def poll_pages(fx: Fixtures) -> DataFrame:
+    """What a poll of each repository sees: pages of 100 comments, 100 pages at most."""
+    starts = scan_start(fx.spark.sql(_POSITIONS), F.lit("2024-01-15 12:00:00").cast("timestamp"))
+    return pages.polled_pages(fx.comments(), starts).select("comment_id", "repository", "page", micros("updated_at").alias("updated_us"))
+
+
 @query("scan_feed", f"""
 SELECT comment_id, c.repository, epoch_us(updated_at) AS updated_us
 FROM fx_comments c JOIN ({_POSITIONS}) p ON p.repository = c.repository

@@ -14,8 +14,9 @@ from lapwise.functions.commands import parse_commands
 from lapwise.operators import jobs
 from lapwise.session import work_dir
 from lapwise.sources.feed import comment_stream, land_comments
+from lapwise.sources.pages import PAGE_SIZE, feed_pages, land_pages, page_stream
 from lapwise.streaming.comments import COMMENT_COLUMNS, CommentProcessor, dedupe_batch, run_available
-from lapwise.streaming.jobs import job_event_stream, run_job_state, run_progress
+from lapwise.streaming.jobs import REPORTED_EVENT, job_event_stream, run_job_state, run_progress, run_progress_messages
 from lapwise.streaming.lifecycle import run_lifecycle
 from lapwise.streaming.state import BatchLog
 
@@ -204,6 +205,57 @@ def stream_progress(fx: Fixtures) -> DataFrame:
     return run_progress(fx.spark, events, work_dir(fx.spark, "state"), work_dir(fx.spark, "checkpoint"))
 
 
+# What the progress events report: a step of 6 + 2 datasets, and every seventh could not be published.
+_REPORT = {"total": "CAST(6 + 2 * (job_id % 4) AS BIGINT)", "message": "'Step ' || step || ' of job ' || job_id", "published": "event_id % 7 <> 3"}
+
+
+@query("stream_progress_messages", f"""
+WITH reported AS (SELECT *, {", ".join(f"{e} AS {c}" for c, e in _REPORT.items())}, event = 'progress' AS progress,
+       CASE event WHEN 'queued' THEN 'pending' WHEN 'claim' THEN 'running' ELSE event END AS next FROM fx_job_events),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id, progress ORDER BY CASE WHEN progress THEN step END DESC, event_ts DESC, event_id DESC) AS place
+           FROM reported)
+SELECT job_id, CAST(max(step) FILTER (progress AND place = 1) AS BIGINT) AS step, max(total) FILTER (progress AND place = 1) AS total,
+       max(message) FILTER (progress AND place = 1) AS message, bool_or(published) FILTER (progress AND place = 1) AS published,
+       CAST(max(step) FILTER (progress AND published) AS BIGINT) AS shown_step,
+       count(*) FILTER (progress AND NOT published) AS failed_publications,
+       coalesce(max(next) FILTER (NOT progress AND place = 1), 'pending') AS status
+FROM ranked GROUP BY job_id
+""")
+def stream_progress_messages(fx: Fixtures) -> DataFrame:
+    """The last message of every job; failed publications stop no job, also over a restart."""
+    landing, state, checkpoint = (work_dir(fx.spark, p) for p in ("landing", "state", "checkpoint"))
+    exact = ("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    events = fx.job_events().withColumns({c: F.when(F.col("event") == "progress", F.expr(e)) for c, e in _REPORT.items()})
+    for part in (1, 0):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == part).repartition(2).write.mode("append").option(*exact).json(landing)
+        stream = job_event_stream(fx.spark, landing, files_per_batch=1, schema=REPORTED_EVENT)
+        messages = run_progress_messages(fx.spark, stream, state, checkpoint)
+    return messages.select("job_id", "step", "total", "message", "published", "shown_step", "failed_publications", "status")
+
+
+# The page of each repository that lands late.
+_LATE_PAGE = 2
+
+
+@query("stream_pages", f"""
+SELECT comment_id, repository, page, epoch_us(updated_at) AS updated_us, CAST(CASE WHEN page < {_LATE_PAGE} THEN 1 ELSE 2 END AS BIGINT) AS poll
+FROM (SELECT *, (row_number() OVER (PARTITION BY repository ORDER BY updated_at, comment_id) - 1) // {PAGE_SIZE} AS page FROM fx_comments) numbered
+""")
+def stream_pages(fx: Fixtures) -> DataFrame:
+    """Every page once, with a restart in mid-feed: pages behind one that is not there yet wait for it."""
+    landing, out, checkpoint = (work_dir(fx.spark, p) for p in ("landing", "pages", "checkpoint"))
+    paged = feed_pages(fx.comments())
+    late = F.col("page") == _LATE_PAGE
+    for number, landed in enumerate((paged.where(~late), paged.where(late)), 1):
+        land_pages(landed, landing)
+        read = page_stream(fx.spark, landing).select(
+            "comment_id", "repository", "page", micros("updated_at").alias("updated_us"), F.lit(number).cast("bigint").alias("poll")
+        )
+        sink = read.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+        sink.trigger(availableNow=True).start().awaitTermination()
+    return fx.spark.read.schema(read.schema).parquet(out)
+
+
 @query("claim_next", """
 SELECT j.id, CASE WHEN j.id = n.id THEN 'running' ELSE status END AS status,
        attempt_count + CASE WHEN j.id = n.id THEN 1 ELSE 0 END AS attempt_count

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lapwise.functions.documents import dataset_list
 from lapwise.functions.commands import DEFAULT_INSTANCE_TYPE, DEFAULT_NODES
@@ -113,17 +113,22 @@ def progress_steps(jobs: DataFrame, keys: tuple[str, ...] = ("id",), datasets: s
     )
 
 
+def _status() -> Column:
+    """The status that a life-cycle event leads to; null for progress."""
+    return (
+        F.when(F.col("event") == "queued", "pending")
+        .when(F.col("event") == "claim", "running")
+        .when(F.col("event").isin("completed", "failed"), F.col("event"))
+    )
+
+
 def job_state(events: DataFrame) -> DataFrame:
     """Current state of every job from its life-cycle events.
 
     Progress does not change the state; every claim counts as an attempt.
     """
     place = F.struct("event_ts", "event_id")
-    status = (
-        F.when(F.col("event") == "queued", "pending")
-        .when(F.col("event") == "claim", "running")
-        .when(F.col("event").isin("completed", "failed"), F.col("event"))
-    )
+    status = _status()
     last = F.max(F.when(status.isNotNull(), F.struct(place.alias("place"), status.alias("status"))))
     return events.groupBy("job_id").agg(
         F.coalesce(last["status"], F.lit("pending")).alias("status"),
@@ -137,6 +142,24 @@ def latest_progress(events: DataFrame) -> DataFrame:
     return events.where(F.col("event") == "progress").groupBy("job_id").agg(F.max("step").alias("step"))
 
 
+def progress_messages(events: DataFrame) -> DataFrame:
+    """The furthest progress of each job with its message, and what of it was published.
+
+    ``shown_step`` is the furthest step whose publication worked.  One that failed is
+    counted and changes nothing else: ``status`` follows from the life-cycle events alone.
+    """
+    progress = F.col("event") == "progress"
+    report = F.struct("step", "event_ts", "event_id", "total", "message", "published")
+    last = F.max(F.when(progress, report))
+    status = F.max(F.when(_status().isNotNull(), F.struct("event_ts", "event_id", _status().alias("status"))))
+    return events.groupBy("job_id").agg(
+        *[last[c].alias(c) for c in ("step", "total", "message", "published")],
+        F.max(F.when(progress & F.col("published"), F.col("step"))).alias("shown_step"),
+        F.count_if(progress & ~F.col("published")).alias("failed_publications"),
+        F.coalesce(status["status"], F.lit("pending")).alias("status"),
+    )
+
+
 def queue_wait(jobs: DataFrame) -> DataFrame:
     """Milliseconds between request and last update, never negative."""
     wait = F.unix_millis("updated_at") - F.unix_millis("created_at")

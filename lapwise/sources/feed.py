@@ -23,10 +23,11 @@ COMMENT_DOCUMENT = T.StructType(
 )
 
 
-def _comments(documents: DataFrame) -> DataFrame:
+def comments_of(documents: DataFrame, *more: str) -> DataFrame:
+    """Comments from feed documents."""
     return documents.select(
         F.col("id").alias("comment_id"), "repository", "queue", F.col("user.login").alias("login"), "issue_url",
-        "body", "created_at", F.coalesce("updated_at", "created_at").alias("updated_at"),
+        "body", "created_at", F.coalesce("updated_at", "created_at").alias("updated_at"), *more,
     )
 
 
@@ -35,12 +36,12 @@ def comment_stream(spark: SparkSession, landing: str, files_per_batch: int | Non
     reader = spark.readStream.schema(COMMENT_DOCUMENT)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return _comments(reader.json(landing))
+    return comments_of(reader.json(landing))
 
 
 def read_comments(spark: SparkSession, landing: str) -> DataFrame:
     """The same pages as a batch."""
-    return _comments(spark.read.schema(COMMENT_DOCUMENT).json(landing))
+    return comments_of(spark.read.schema(COMMENT_DOCUMENT).json(landing))
 
 
 def comments_since(comments: DataFrame, starts: DataFrame) -> DataFrame:
@@ -52,12 +53,17 @@ def comments_since(comments: DataFrame, starts: DataFrame) -> DataFrame:
     )
 
 
+def comment_documents(comments: DataFrame, *more: str) -> DataFrame:
+    """Feed documents of comments."""
+    return comments.select(
+        F.col("comment_id").alias("id"), "body", "issue_url", F.lit(None).cast("string").alias("html_url"), "created_at", "updated_at",
+        F.struct(F.col("login")).alias("user"), "repository", "queue", *more,
+    )
+
+
 def land_comments(comments: DataFrame, landing: str, pages: int = 1) -> None:
     """Write comments as feed pages, in the order of their updates."""
-    documents = comments.select(
-        F.col("comment_id").alias("id"), "body", "issue_url", "created_at", "updated_at",
-        F.struct(F.col("login")).alias("user"), "repository", "queue",
-    )
+    documents = comment_documents(comments)
     exact = ("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     documents.repartitionByRange(pages, "updated_at").write.mode("append").option(*exact).json(landing)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-from lapwise.operators.jobs import job_state, latest_progress
+from lapwise.operators.jobs import job_state, latest_progress, progress_messages
 from lapwise.streaming.state import BatchLog, latest_rows
 
 JOB_EVENT = T.StructType(
@@ -26,9 +26,25 @@ STATE_LOG = T.StructType(
 )
 PROGRESS_LOG = T.StructType([T.StructField("job_id", T.LongType()), T.StructField("step", T.LongType())])
 
+# Events that carry what a progress report says, and whether it could be published.
+REPORTED_EVENT = T.StructType(
+    [*JOB_EVENT, T.StructField("total", T.LongType()), T.StructField("message", T.StringType()), T.StructField("published", T.BooleanType())]
+)
+MESSAGE_LOG = T.StructType(
+    [
+        T.StructField("job_id", T.LongType()),
+        *REPORTED_EVENT.fields[-4:],
+        T.StructField("shown_step", T.LongType()),
+        T.StructField("failed_publications", T.LongType()),
+        T.StructField("status", T.StringType()),
+    ]
+)
+
 
-def job_event_stream(spark: SparkSession, landing: str, files_per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(JOB_EVENT)
+def job_event_stream(
+    spark: SparkSession, landing: str, files_per_batch: int | None = None, schema: T.StructType = JOB_EVENT
+) -> DataFrame:
+    reader = spark.readStream.schema(schema)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.json(landing)
@@ -62,3 +78,10 @@ def run_progress(spark: SparkSession, events: DataFrame, state: str, checkpoint:
     log = BatchLog(spark, f"{state}/progress", PROGRESS_LOG)
     logged(latest_progress(events), log, checkpoint)
     return latest_rows(log.read(), ["job_id"])
+
+
+def run_progress_messages(spark: SparkSession, events: DataFrame, state: str, checkpoint: str) -> DataFrame:
+    """The last message of every job, and what of its progress was published."""
+    log = BatchLog(spark, f"{state}/messages", MESSAGE_LOG)
+    logged(progress_messages(events), log, checkpoint)
+    return latest_rows(log.read(), ["job_id"])
