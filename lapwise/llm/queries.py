@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lapwise.llm.bpe import digests
-from lapwise.llm.decontamination import WINDOW, decontaminate
+from lapwise.llm.decontamination import WINDOW, Benchmark, decontaminate, found_items
 from lapwise.llm.language_id import identify, learn
 from lapwise.llm.licenses import LEAST_SHARE, TEMPLATES, scan_licenses
 from lapwise.llm.line_dedup import LONG_WORDS, WINDOW as LINE_WINDOW, line_dedup
@@ -199,15 +199,21 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id)
 
 @query("op6_decontamination", DECONTAMINATION_SQL)
 def op6(table) -> DataFrame:
-    searched = decontaminate(table("documents").select("doc_id", "text"), table("benchmark"))
+    benchmark = Benchmark(table("benchmark"))
+    searched = decontaminate(table("documents").select("doc_id", "text"), benchmark)
+    searched = cut(searched.select("row.doc_id", "n_words", "hits", "numbers"), "decontamination-hits")
+    hit = F.size("hits") > 0
+    # Documents without a hit, most of them as a rule, take no part in the join.
+    items = searched.where(hit).join(found_items(searched, benchmark), "numbers")
+    none = searched.where(~hit).withColumn("items", F.array().cast("array<string>"))
     n_hit = F.aggregate("hits", F.lit(0), lambda total, h: total + h["last"] - h["first"] + 1).cast("bigint")
-    return searched.select(
-        "row.doc_id",
+    return items.unionByName(none).select(
+        "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.size("hits") > 0).alias("contaminated"),
+        hit.alias("contaminated"),
     )
 
 

@@ -138,15 +138,28 @@ def test_decontamination(spark, block_windows):
     texts += [f"{items[0][1]} ZZ {items[1][1]}", "Ww-vv", f"{items[1][1]} {items[1][1]}"]
     docs = brute.documents(spark, list(enumerate(texts)))
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
-    found = decontamination.decontaminate(docs, benchmark, block_windows=block_windows).collect()
+    tests = decontamination.Benchmark(benchmark)
+    found = decontamination.decontaminate(docs, tests, block_windows=block_windows)
+    items_of = {tuple(r["numbers"]): r["items"] for r in decontamination.found_items(found, tests).collect()} | {(): []}
+    found = found.collect()
     named = [("" if i is None else i, t) for i, t in items]
     for r in found:
         n_words, n_hit, ids = brute.decontaminated(r["row"]["text"], named)
         hit = sum(h["last"] - h["first"] + 1 for h in r["hits"])
-        assert (r["n_words"], hit, r["items"]) == (n_words, n_hit, ids)
+        assert (r["n_words"], hit, items_of[tuple(r["numbers"])]) == (n_words, n_hit, ids)
     assert len(found) == len(texts)
 
 
+def test_decontamination_in_blocks_of_rows_without_clear_ids(spark):
+    window = "a b c d e f g h i j"
+    rows = [(1, window), (1, window), (1, "clean " * 3), (None, f"x {window}"), (None, "x"), (None, None), (2, f"{window} k {window}")]
+    benchmark = spark.createDataFrame([(i, window) for i in range(300)] + [(300, "k a"), (301, "zz")], "item_id bigint, text string")
+    found = decontamination.decontaminate(brute.documents(spark, rows), benchmark, block_windows=1)
+    hits = [(r["row"]["doc_id"], r["row"]["text"], [tuple(h) for h in r["hits"]], len(r["numbers"])) for r in found.collect()]
+    expected = [(1, window, [(0, 9)], 1)] * 2 + [(1, "clean " * 3, [], 0), (None, f"x {window}", [(1, 10)], 1), (None, "x", [], 0), (None, None, [], 0)]
+    assert sorted(hits, key=str) == sorted(expected + [(2, f"{window} k {window}", [(0, 20)], 2)], key=str)
+
+
 def test_decontamination_of_odd_tables(spark):
     nothing = spark.createDataFrame([], "item_id bigint, text string")
     found = decontamination.decontaminate(brute.odd_documents(spark), nothing)
