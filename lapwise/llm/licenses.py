@@ -1,13 +1,16 @@
 """Licence notices by a positional index of rare words.
 
 A template is a sequence of words with a mandatory key phrase and a label.  The
-index holds, for each key phrase, the positions of its rarest words: rarity is
-the document frequency of the licence vocabulary in all documents.  A document
-is looked up by the indexed words it contains.  The positions of the rarest word
-give possible starts, intersected with the starts that the next rarest words
-give; at those left the key phrase is verified, and the share of the template's
-words that stand in place is the score.
-
+index goes from a word to its postings, (template, rank, position): every template
+posts the rarest words of its key phrase, where rarity is the document frequency of
+the licence vocabulary in all documents and rank 0 is the rarest.  A document looks up
+its own words.  Each posting found gives a possible start of its template; the starts
+from the rarest word are intersected with those from the next rarest ones.  At those
+left the key phrase is verified, and the share of the template's words that stand in
+place is the score.
+
+Index and templates are two constants of the expression, so the plan has the same size
+for any number of templates, and a document's work grows with the postings it meets.
 Everything runs inside a row, so hot sources or long texts move no data.  What
 is collected is one row per word of the licence vocabulary.
 
@@ -17,6 +20,8 @@ looked at one by one, so repeated or null ids need no care.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -67,6 +72,30 @@ TEMPLATES = (
         "redistribution and use in source and binary forms with or without modification are permitted",
         "redistribution and use in source and binary forms",
     ),
+    # Whole texts of public licences.
+    _template(
+        "mit-text",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+        "documentation files the software to deal in the software without restriction including without limitation the "
+        "rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+        "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice "
+        "and this permission notice shall be included in all copies or substantial portions of the software the software is "
+        "provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+        "merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright "
+        "holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise "
+        "arising from out of or in connection with the software or the use or other dealings in the software",
+        "the above copyright notice and this permission notice shall be included",
+    ),
+    _template(
+        "isc-text",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+        "provided that the above copyright notice and this permission notice appear in all copies the software is provided as "
+        "is and the author disclaims all warranties with regard to this software including all implied warranties of "
+        "merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential "
+        "damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract "
+        "negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        "the author disclaims all warranties with regard to this software",
+    ),
 )
 
 
@@ -80,74 +109,102 @@ def license_words(text: Column) -> Column:
     return words(F.lower(safe), NOT_A_WORD)
 
 
-def document_frequency(docs: DataFrame, text_column: str = "text") -> dict[str, int]:
+def document_frequency(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, text_column: str = "text") -> dict[str, int]:
     """Documents that contain each word of the key phrases."""
-    vocabulary = sorted({w for t in TEMPLATES for w in t.key})
-    found = F.array_intersect(license_words(text_of(text_column)), F.array(*map(F.lit, vocabulary)))
+    vocabulary = sorted({w for t in templates for w in t.key})
+    found = F.array_intersect(license_words(text_of(text_column)), _constant(vocabulary, "array<string>"))
     counts = docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return dict.fromkeys(vocabulary, 0) | {r["word"]: r["n"] for r in counts.collect()}
 
 
-def postings(frequency: dict[str, int]) -> dict[int, list[tuple[str, int]]]:
-    """For each template, its rarest key words with their positions in it, the rarest first."""
-    index = {}
-    for number, t in enumerate(TEMPLATES):
+def postings(frequency: dict[str, int], templates: Sequence[Template] = TEMPLATES) -> dict[str, list[dict[str, int]]]:
+    """Word to its postings: ``template``, ``rank`` among the rarest of the key phrase, ``position`` in the template."""
+    index: dict[str, list[dict[str, int]]] = {}
+    for number, t in enumerate(templates):
         first = {w: t.key_start + i for i, w in reversed(list(enumerate(t.key)))}
-        index[number] = sorted(first.items(), key=lambda p: (frequency[p[0]], p[1]))[:INDEXED_WORDS]
+        rarest = sorted(first.items(), key=lambda p: (frequency[p[0]], p[1]))[:INDEXED_WORDS]
+        # A phrase of fewer words posts its last one at the ranks that remain.
+        for rank, (word, position) in enumerate(rarest + rarest[-1:] * (INDEXED_WORDS - len(rarest))):
+            index.setdefault(word, []).append({"template": number, "rank": rank, "position": position})
     return index
 
 
-def _starts(w: Column, hits: Column, t: Template, rare: list[tuple[str, int]]) -> Column:
-    """Starts of a template that the index allows and the key phrase confirms, with their shares."""
-    def allowed(word: str, position: int) -> Column:
-        return F.transform(F.filter(hits, lambda h: h["word"] == word), lambda h: h["place"] - position)
+def _constant(value, kind: str) -> Column:
+    """A value as one literal, however large."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
 
-    starts = allowed(*rare[0])
-    for posting in rare[1:]:
-        starts = F.array_intersect(starts, allowed(*posting))
-    phrase = F.array(*map(F.lit, t.key))
+def _candidates(w: Column, index: Column) -> Column:
+    """Sorted array of (template, start) that the index allows."""
+    hits = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("word"), i.alias("place"))), lambda h: F.map_contains_key(index, h["word"]))
+    # Template and start as one number: whole numbers are intersected by hash.
+    starts = F.flatten(
+        F.transform(
+            hits,
+            lambda h: F.transform(
+                F.element_at(index, h["word"]),
+                lambda p: F.struct(p["rank"].alias("rank"), (p["template"] * _STARTS + h["place"] - p["position"] + _BEFORE).alias("start")),
+            ),
+        )
+    )
 
-    def confirmed(s: Column) -> Column:
-        # A start may lie before the text when only the end of a template stands in it.
-        return F.slice(w, F.greatest(s + t.key_start, F.lit(0)) + 1, len(t.key)) == phrase
+    def intersected(starts: Column) -> Column:
+        of = lambda rank: F.transform(F.filter(starts, lambda s: s["rank"] == rank), lambda s: s["start"])
+        left = of(0)
+        for rank in range(1, INDEXED_WORDS):
+            left = F.array_intersect(left, of(rank))
+        pair = lambda s: F.struct(
+            F.floor(s / F.lit(_STARTS)).cast("int").alias("template"), (s % _STARTS - _BEFORE).cast("int").alias("start")
+        )
+        return F.transform(F.array_sort(F.array_distinct(left)), pair)
 
-    def share(s: Column) -> Column:
-        in_place = sum((F.when(F.get(w, s + i) == word, 1.0).otherwise(0.0) for i, word in enumerate(t.words)), F.lit(0.0))
-        return F.round(in_place / len(t.words), 6)
+    return let(starts, intersected)
 
-    places = F.transform(F.filter(starts, confirmed), lambda s: F.struct(s.alias("start"), share(s).alias("share")))
-    return F.filter(places, lambda p: p["share"] >= LEAST_SHARE)
 
+# A start may lie before the text when only the end of a template stands in it.
+_BEFORE = 1 << 20
+_STARTS = 1 << 40
 
-def _notices(t: Template, places: Column) -> Column:
-    return F.transform(
-        places,
-        lambda p: F.struct(
-            F.lit(t.label).alias("label"),
-            F.lit(t.base).alias("base"),
-            p["start"].cast("int").alias("start"),
-            F.lit(len(t.words)).alias("n_words"),
-            p["share"].alias("share"),
-        ),
-    )
 
+def _notices(w: Column, candidates: Column, templates: Column) -> Column:
+    """Candidates whose key phrase is there, with the share of words in place."""
 
-def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    def notice(c: Column) -> Column:
+        def of(t: Column) -> Column:
+            in_place = F.filter(F.transform(t["words"], lambda x, i: F.get(w, c["start"] + i) == x), lambda same: same)
+            key_at = c["start"] + t["key_start"]
+            confirmed = (key_at >= 0) & (F.slice(w, F.greatest(key_at, F.lit(0)) + 1, F.size(t["key"])) == t["key"])
+            found = F.struct(
+                t["label"].alias("label"),
+                t["base"].alias("base"),
+                c["start"].alias("start"),
+                F.size(t["words"]).alias("n_words"),
+                F.round(F.size(in_place).cast("double") / F.size(t["words"]), 6).alias("share"),
+            )
+            return F.when(confirmed, found)
+
+        return let(F.get(templates, c["template"]), of)
+
+    return F.filter(F.array_compact(F.transform(candidates, notice)), lambda f: f["share"] >= LEAST_SHARE)
+
+
+def scan_licenses(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", templates: Sequence[Template] = TEMPLATES
+) -> DataFrame:
     """Notices of every document: id, ``n_words`` and ``found``, an array of (label, base, start, n_words, share)."""
     docs = packed(docs).select(F.col(f"row.{id_column}").alias("id"), F.col(f"row.{text_column}").alias("text"))
-    index = postings(document_frequency(docs))
-    indexed = sorted({word for rare in index.values() for word, _ in rare})
+    posted = postings(document_frequency(docs, templates), templates)
+    index = _constant(posted, "map<string,array<struct<template:bigint,rank:int,position:bigint>>>")
+    fields = ("label", "base", "key_start", "key", "words")
+    table = _constant(
+        [{f: getattr(t, f) for f in fields} for t in templates],
+        "array<struct<label:string,base:boolean,key_start:int,key:array<string>,words:array<string>>>",
+    )
     kind = "array<struct<label:string,base:boolean,start:int,n_words:int,share:double>>"
 
     def found(w: Column) -> Column:
-        placed = F.transform(w, lambda x, i: F.struct(x.alias("word"), i.alias("place")))
-
-        def of_hits(hits: Column) -> Column:
-            notices = [_notices(t, _starts(w, hits, t, index[number])) for number, t in enumerate(TEMPLATES)]
-            return F.concat(*notices).cast(kind)
-
-        hits = F.filter(placed, lambda h: h["word"].isin(indexed))
-        return F.when(F.arrays_overlap(w, F.array(*map(F.lit, indexed))), let(hits, of_hits)).otherwise(F.array().cast(kind))
+        notices = let(_candidates(w, index), lambda c: _notices(w, c, table)).cast(kind)
+        return F.when(F.arrays_overlap(w, _constant(sorted(posted), "array<string>")), notices).otherwise(F.array().cast(kind))
 
     looked_up = let(license_words(text_of()), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), found(w).alias("found")))
     return docs.select("id", F.inline(F.array(looked_up)))

@@ -100,32 +100,60 @@ def _places(words, phrase):
     return [i for i in range(len(words) - len(phrase) + 1) if words[i : i + len(phrase)] == list(phrase)]
 
 
+def _notices(text, templates):
+    """(label, base, start, words, share) of all places where a key phrase stands."""
+    words, expected = brute.ascii_words(text), []
+    for t in templates:
+        for p in _places(words, t.key):
+            start = p - t.key_start
+            share = sum(0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(t.words)) / len(t.words)
+            if share >= licenses.LEAST_SHARE:
+                expected.append((t.label, t.base, start, len(t.words), round(share, 6)))
+    return sorted(expected)
+
+
+def _scanned(spark, texts, templates):
+    found = licenses.scan_licenses(brute.documents(spark, list(enumerate(texts))), templates=templates).collect()
+    return {r["id"]: (r["n_words"], sorted(tuple(f) for f in r["found"])) for r in found}
+
+
 def test_licenses(spark):
+    whole = {t.label: " ".join(t.words) for t in licenses.TEMPLATES if t.label.endswith("-text")}
     texts = brute.ODD_TEXTS + [
         "CC-BY cc by CC. BY", "GNU General Public License, general public license", "All rights reserved all RIGHTS reserved.",
         "Licensed under the Apache License, Version 2.0.", "the Apache License of others", "released under the MIT license",
         "license apache", "worK is licensed CC BY-NC 4.0 under", "Licensed under CC BY-NC 4.0.", "by nc 4 0",
+        whole["mit-text"].title(), f"a {whole['isc-text']} b {whole['mit-text'][200:]}", whole["isc-text"][300:],
     ]
-    found = {r["id"]: r for r in licenses.scan_licenses(brute.documents(spark, list(enumerate(texts)))).collect()}
+    found = _scanned(spark, texts, licenses.TEMPLATES)
     for i, text in enumerate(texts):
-        words = brute.ascii_words(text)
-        assert found[i]["n_words"] == len(words)
-        expected = []
-        for t in licenses.TEMPLATES:
-            for p in _places(words, t.key):
-                start = p - t.key_start
-                share = sum(0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(t.words)) / len(t.words)
-                if share >= licenses.LEAST_SHARE:
-                    expected.append((t.label, t.base, start, len(t.words), round(share, 6)))
-        assert sorted(tuple(f) for f in found[i]["found"]) == sorted(expected)
+        assert found[i] == (len(brute.ascii_words(text)), _notices(text, licenses.TEMPLATES))
+    assert {f[0] for f in found[len(texts) - 3][1]} == {"mit", "mit-text"}
     assert licenses.scan_licenses(brute.documents(spark, [])).count() == 0
     assert licenses.scan_licenses(brute.odd_documents(spark)).count() == 18
 
 
+def test_many_templates_leave_the_plan_as_it_is(spark, sf_dir):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randint(0, 60)}"
+    made = []
+    for n in range(400):
+        words = [word() for _ in range(rng.randint(1, 9))]
+        key = words[rng.randint(0, len(words) - 1) :]
+        made.append(licenses._template(f"t{n}", " ".join(words), " ".join(key)))
+    texts = [" ".join(word() for _ in range(80)) for _ in range(30)] + [" ".join(t.words) for t in made[:30]]
+    found = _scanned(spark, texts, made)
+    assert [found[i][1] for i in range(len(texts))] == [_notices(t, made) for t in texts]
+    docs = brute.documents(spark, [(1, "a")])
+    plans = [licenses.scan_licenses(docs, templates=some)._jdf.queryExecution().analyzed().toString() for some in (made[:5], made)]
+    steps = [plan.count("lambdafunction(") for plan in plans]
+    assert steps[0] == steps[1] > 0
+
+
 def test_postings_hold_the_rarest_words():
     index = licenses.postings(dict.fromkeys((w for t in licenses.TEMPLATES for w in t.key), 9) | {"license": 5, "gnu": 1})
     gnu = next(n for n, t in enumerate(licenses.TEMPLATES) if t.label == "gnu-gpl")
-    assert [w for w, _ in index[gnu]] == ["gnu", "license"]
+    assert sorted((p["rank"], w) for w, found in index.items() for p in found if p["template"] == gnu) == [(0, "gnu"), (1, "license")]
 
 
 @pytest.mark.parametrize("block_windows", [200_000, 5])
