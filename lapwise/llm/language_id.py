@@ -12,7 +12,9 @@ reach: a text outside the radius of its centroid is marked as rejected.
 Only text and language of the learning documents are used.  A null text or one
 without a letter is ``und`` with score 0, and so is every text when there is
 nothing to learn from.  Documents are predicted one by one, so repeated rows need
-no care; they count repeatedly when learning.
+no care; they count repeatedly when learning.  Of centroids with equal cosines the
+first by language counts.  A very long text is counted whole, in pieces of 2^18
+characters; a word that a piece ends in counts as two.
 """
 
 from __future__ import annotations

@@ -13,8 +13,9 @@ Sums per site are combined before any shuffle and joined back as one row per
 site; a hot host is one row on that side.  Columns of a site are named by the
 caller; a null host or path is a site of its own.
 
-Null and empty texts are judged by their empty shape.  Repeated rows count
-repeatedly.  Without labels of both kinds the evidence is the global share alone.
+Null and empty texts are judged by their empty shape, very long ones by their whole
+shape.  Repeated rows count repeatedly.  A document at even odds is kept; of labels
+with equal id hashes the smaller id is sampled first.  Without labels of both kinds the evidence is the global share alone.
 """
 
 from __future__ import annotations
