@@ -87,7 +87,7 @@ def legacy_columns(jobs: DataFrame, required: tuple[str, ...] = REQUIRED_LEGACY_
     """Old job rows with the columns added since, holding their defaults."""
     missing = [c for c in required if c not in jobs.columns]
     if missing:
-        raise ValueError(f"Cannot migrate job table; missing columns: {', '.join(missing)}")
+        raise ValueError(f"Not an old job table, it has no {', '.join(missing)}")
     added = {
         "attempt_count": F.lit(0).cast("bigint"),
         "benchmark_instance_type": F.lit(DEFAULT_INSTANCE_TYPE),

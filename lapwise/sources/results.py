@@ -176,7 +176,7 @@ def read_result_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         parts[0], F.lit("/"), parts[1], F.lit("/"), parts[3], F.lit("/"), F.regexp_replace(parts[4], r"\.json\z", "")
     )
     found = F.concat_ws("/", "dataset", "engine", "id")
-    message = F.concat(F.lit("Result "), "_file", F.lit(" identifies "), found, F.lit(", expected "), expected)
+    message = F.concat(F.lit("The document at "), "_file", F.lit(" is of "), found, F.lit(", its folder of "), expected)
     return documents_to_iterations(raw.where(holds(found == expected, message)).drop("_file"))
 
 
@@ -232,7 +232,7 @@ def manifest_entries(documents: DataFrame) -> DataFrame:
         *RUN_KEY, "start_time", (F.col("_part") * DOCUMENT_ROWS + F.col("_pos") + 1).cast("bigint").alias("position"), "id"
     )
     times = F.count(F.lit(1)).over(Window.partitionBy(*RUN_KEY, "start_time", "id"))
-    repeated = F.concat(F.lit("Invalid manifest: queryIds must be unique, "), "id")
+    repeated = F.concat(F.lit("Invalid manifest: more than one entry of "), "id")
     return entries.withColumn("_times", times).where(holds(F.col("_times") == 1, repeated)).drop("_times")
 
 
@@ -271,7 +271,7 @@ def load_listed(iterations: DataFrame, listing: DataFrame) -> DataFrame:
     missing = listing.where("missing").orderBy(*QUERY_KEY).limit(_SHOWN).collect()
     if missing:
         names = ", ".join("/".join(row[k] for k in QUERY_KEY) for row in missing)
-        raise ValueError(f"Manifest references {listing.where('missing').count()} missing result(s): {names}")
+        raise ValueError(f"Of {listing.where('missing').count()} listed queries no document is stored: {names}")
     return listing.select(*QUERY_KEY, "position").join(iterations, [*QUERY_KEY])
 
 

@@ -191,7 +191,7 @@ def test_dataset_lists(spark):
 
 
 def test_legacy_jobs(spark):
-    with pytest.raises(ValueError, match="missing columns: comment_id"):
+    with pytest.raises(ValueError, match="it has no comment_id"):
         legacy_columns(spark.createDataFrame([(1, "d")], "id int, dataset string"), ("id", "comment_id"))
 
 
