@@ -39,7 +39,7 @@ def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: shingles of five words, similarity 0.8 or more."""
+    """One document of each group of near-duplicates: SimHash of five-word shingles, similarity of 0.8 or more."""
     return one_of_each(docs)
 
 

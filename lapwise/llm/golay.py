@@ -14,6 +14,10 @@ differ in at most three bits, then by the pigeonhole principle either
   the next one.
 * or each segment has one error.  Then one half of the first segment is equal,
   and one half of the second.  Key: a half of each and an index of the third.
+
+Fingerprints that may differ in more bits than that are made longer and decoded by
+margins: :func:`weighted_index` gives one index for each segment of 23 bits, and near
+fingerprints have that of some segment in common (see :mod:`lapwise.llm.near_copies`).
 """
 
 from __future__ import annotations
@@ -60,6 +64,32 @@ def index_of(words: np.ndarray) -> np.ndarray:
     return (words ^ _CORRECTIONS[remainder]) >> 11
 
 
+# The 4,096 code words as signs: 1 for a set bit, -1 for one that is not.
+_CODES = np.arange(4096, dtype=np.uint32) << 11
+_CODES ^= _BYTES[0][_CODES & 255] ^ _BYTES[1][_CODES >> 8 & 255] ^ _BYTES[2][_CODES >> 16]
+_SIGNS = (2 * (_CODES[:, None] >> np.arange(23, dtype=np.uint32) & 1).astype(np.int8) - 1).astype(np.int8)
+_FLIPS = np.concatenate([[0], 1 << np.arange(23)]).astype(np.uint32)
+# Rows that are decoded at a time.
+_ROWS = 2048
+
+
+def weighted_index(margins: np.ndarray) -> np.ndarray:
+    """The index of each row of 23 margins that agrees best with them (soft decision).
+
+    A margin is positive for a set bit, and large for a bit that is unlikely to
+    differ in a near fingerprint.  Of a row's indices (see above) the one whose
+    code word has the largest sum of margins is taken, the smallest of several.
+    """
+    found = []
+    for at in range(0, len(margins), _ROWS):
+        part = margins[at : at + _ROWS].astype(np.float32)
+        words = ((part > 0) << np.arange(23)).sum(axis=1).astype(np.uint32)
+        near = np.sort(index_of(words[:, None] ^ _FLIPS[None, :]), axis=1)
+        agreement = np.einsum("rib,rb->ri", _SIGNS[near].astype(np.float32), part)
+        found.append(near[np.arange(len(part)), agreement.argmax(axis=1)])
+    return np.concatenate(found) if found else np.empty(0, np.uint32)
+
+
 def indices(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, index) of all indices of each word of ``width`` bits, without repetition."""
     flips = np.concatenate([[0], 1 << np.arange(width)]).astype(np.uint32)
