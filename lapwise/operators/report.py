@@ -7,6 +7,8 @@ rendering any number of reports needs no shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -29,8 +31,14 @@ FIRST_SECTION, LAST_SECTION = 0, 5
 
 def report_blocks(text: Column) -> Column:
     """Non-blank blocks of a comparison text, one per compared dataset."""
-    blocks = F.split(_trim(text), f"(?m)(?=^{BLOCK_START})")
-    return F.filter(F.transform(blocks, _trim), lambda block: block != "")
+
+    def split(text: Column) -> Column:
+        # A plain search, if no header follows another end of a line.
+        parts = F.transform(F.split(text, f"\n{BLOCK_START}"), lambda part, i: F.when(i == 0, part).otherwise(F.concat(F.lit(BLOCK_START), part)))
+        other = reduce(or_, [text.contains(f"{end}{BLOCK_START}") for end in "\r\u0085\u2028\u2029"])
+        return F.when(other, F.split(text, f"(?m)(?=^{BLOCK_START})")).otherwise(parts)
+
+    return F.filter(F.transform(let(_trim(text), split), _trim), lambda block: block != "")
 
 
 def block_parts(block: Column) -> Column:
@@ -40,15 +48,13 @@ def block_parts(block: Column) -> Column:
     header or total has no structure.
     """
     starts = lambda line, word: F.ltrim(line).startswith(word)
-    text = lambda kept, change: F.array_join(F.transform(kept, lambda m: change(m["line"])), "\n")
 
     def split(lines: Column, total: Column) -> Column:
-        marked = F.transform(lines, lambda line, i: F.struct(line.alias("line"), i.alias("i")))
-        in_summary = lambda m: (m["i"] == 0) | (m["i"] == total) | starts(m["line"], "TASKS:")
+        in_summary = lambda line, i: (i == 0) | (i == total) | starts(line, "TASKS:")
         return F.struct(
             (F.get(lines, F.lit(0)).startswith(BLOCK_START) & (total > 0)).alias("structured"),
-            text(F.filter(marked, in_summary), F.ltrim).alias("summary"),
-            text(F.filter(marked, lambda m: ~in_summary(m)), lambda line: line).alias("details"),
+            F.array_join(F.transform(F.filter(lines, in_summary), lambda line: F.ltrim(line)), "\n").alias("summary"),
+            F.array_join(F.filter(lines, lambda line, i: ~in_summary(line, i)), "\n").alias("details"),
         )
 
     def last_total(lines: Column) -> Column:
@@ -65,7 +71,8 @@ def split_report_blocks(reports: DataFrame, keys: Sequence[str], text: str = "re
 
 
 def _trim(text: Column) -> Column:
-    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    # One greedy match, as btrim with a list of characters looks at every character apart.
+    return F.regexp_extract(text, r"(?s)\A[ \t\n\x0B\f\r]*+(.*[^ \t\n\x0B\f\r])?", 1)
 
 
 def sized_blocks(text: Column) -> Column:

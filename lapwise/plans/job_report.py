@@ -7,35 +7,40 @@ from pyspark.sql import DataFrame, functions as F
 from lapwise.operators.report import multi_dataset_report, report_texts, result_message, sized_reports, trimmed_texts
 from lapwise.operators.timings import pair_timings, phase_totals
 from lapwise.plans.compare import Comparison
+from lapwise.session import cut
 
 
 def _requested(jobs: DataFrame) -> DataFrame:
     return jobs.select(F.col("id").alias("job_id"), F.posexplode("datasets").alias("dataset_pos", "dataset"))
 
 
+def _lists(jobs: DataFrame) -> DataFrame:
+    """The lists of datasets that jobs ask for, each once, with a row per dataset."""
+    return jobs.select("datasets").distinct().select("datasets", F.posexplode("datasets").alias("dataset_pos", "dataset"))
+
+
 def job_comparisons(jobs: DataFrame, comparison: Comparison) -> DataFrame:
     """Comparison text of every job, its datasets in request order.
 
-    Each dataset's text is made once and joined to the jobs that ask for it.
+    Each dataset's text is made once, and joined once for each list of datasets;
+    no shuffle by job carries texts.
     """
     texts = trimmed_texts(report_texts(comparison.lines()))
-    return multi_dataset_report(_requested(jobs).join(texts, "dataset"))
+    joined = cut(multi_dataset_report(_lists(jobs).join(texts, "dataset"), "datasets"), "comparisons")
+    # Few bytes a job grow to its whole text, so jobs are dealt evenly first.
+    return jobs.select(F.col("id").alias("job_id"), "datasets").repartition("job_id").join(joined, "datasets").drop("datasets")
 
 
-def job_blocks(jobs: DataFrame, comparison: Comparison) -> DataFrame:
-    """Blocks of every job in request order, each as far as a message can show it.
+def list_blocks(jobs: DataFrame, comparison: Comparison) -> DataFrame:
+    """Blocks of every list of ``datasets`` in its order, each as far as a message can show it.
 
     Of a dataset's lines only those that a message can show are gathered, once;
-    the jobs that ask for it are joined to parts of bounded size.
+    the lists that name it are joined to parts of bounded size.
     """
     blocks = sized_reports(comparison.lines())
     ordered = F.sort_array(F.collect_list(F.struct("dataset_pos", "blocks")))
-    return (
-        _requested(jobs)
-        .join(blocks, "dataset")
-        .groupBy("job_id")
-        .agg(F.flatten(F.transform(ordered, lambda e: e["blocks"])).alias("blocks"))
-    )
+    listed = _lists(jobs).join(blocks, "dataset").groupBy("datasets")
+    return cut(listed.agg(F.flatten(F.transform(ordered, lambda e: e["blocks"])).alias("blocks")), "blocks")
 
 
 def base_head_report(jobs: DataFrame, comparison: Comparison, timings: DataFrame) -> DataFrame:
@@ -69,11 +74,12 @@ def result_reports(
     phases = pair_timings(timings).groupBy("job_id").agg(
         F.sort_array(F.collect_list(F.struct("pos", "dataset", "base_ms", "head_ms"))).alias("phases")
     )
-    blocks = job_blocks(jobs, comparison)
+    blocks = list_blocks(jobs, comparison)
+    # Texts come last, so that no shuffle by job carries them.
     rows = (
-        jobs.join(blocks.withColumnRenamed("job_id", "id"), "id", "left")
-        .join(phases.withColumnRenamed("job_id", "id"), "id", "left")
+        jobs.join(phases.withColumnRenamed("job_id", "id"), "id", "left")
         .join(phase_totals(timings).withColumnRenamed("job_id", "id").drop("phases"), "id", "left")
+        .join(blocks, "datasets", "left")
         .withColumn("blocks", F.coalesce("blocks", F.array().cast(blocks.schema["blocks"].dataType)))
         .withColumn("phases", F.coalesce("phases", F.array().cast(phases.schema["phases"].dataType)))
         .fillna(0.0, ["base_ms", "head_ms"])

@@ -1,6 +1,8 @@
 """Text functions, SQL rewrites and job reports."""
 
+import re
 from datetime import datetime, timezone
+from types import SimpleNamespace
 
 import pytest
 from pyspark.errors import PySparkException
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lapwise.functions import sqltext, text
 from lapwise.operators import report
+from lapwise.plans.job_report import job_comparisons, list_blocks
 
 # Texts that must match.
 BLOCK = """=== Comparing tpch/sf1 results 'base' [prev] with 'head' [new] ===
@@ -205,3 +208,30 @@ def test_only_lines_within_the_limit_are_gathered(spark):
     tail = report.line_tails(lines.where("dataset = 'big'"), ["dataset"], 40).head()
     assert tail["tail"].endswith("q399999: <a> 🟠\n  TASKS: 1\n  TOTAL: 2") and units(tail["tail"]) == 40
     assert tail["units"] == sum(units(r["line"]) + 1 for r in lines.where("dataset = 'big'").select("line").toLocalIterator()) - 1
+
+
+def test_blocks_after_any_end_of_a_line(spark):
+    head = report.BLOCK_START
+    ends = ["\n", "\r\n", "\r", "\u0085", "\u2028", "\n \x0b\n"]
+    texts = [f" \t{head}a\nx {head}y{end}{head}b\n TOTAL: 1\r\n{head}\n" for end in ends] + ["", " \n\f", "x\ty", f"\n\n{head}", "\u00a0 z\u2003"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    ws = " \t\n\x0b\f\r"
+    found = {r["k"]: r["b"] for r in rows.select("k", report.report_blocks(F.col("t")).alias("b")).collect()}
+    for k, text in enumerate(texts):
+        parts = re.split(f"(?:^|(?<=[\n\r\u0085\u2028\u2029]))(?={head})", text.strip(ws))
+        assert found[k] == [p.strip(ws) for p in parts if p.strip(ws)]
+
+
+def test_texts_pass_no_shuffle_by_job(spark):
+    jobs = spark.range(40).select("id", F.expr("IF(id % 2 = 0, array('a', 'b'), array('b', 'c', 'b'))").alias("datasets"))
+    jobs = jobs.unionByName(spark.createDataFrame([(100, None), (101, []), (102, ["none"])], "id long, datasets array<string>"))
+    lines = spark.createDataFrame([(d, n, None, f"{head}{d}") for d in "abc" for n, head in ((0, report.BLOCK_START), (5, "TOTAL: "))], "dataset string, section int, id string, line string")
+    comparison = SimpleNamespace(lines=lambda: lines)
+    found = job_comparisons(jobs, comparison)
+    expected = lambda names: "\n\n".join(f"{report.BLOCK_START}{n}\nTOTAL: {n}" for n in names)
+    assert {r["job_id"]: r["comparison"] for r in found.collect()} == {i: expected("bcb" if i % 2 else "ab") for i in range(40)}
+    # texts are read from what was written once, and nothing above that read shuffles them
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+    blocks = {tuple(r["datasets"]): r["blocks"] for r in list_blocks(jobs, comparison).collect()}
+    assert {k: [b["summary"]["tail"] for b in v] for k, v in blocks.items()} == {tuple(k): [expected(n) for n in k] for k in ("ab", "bcb")}
