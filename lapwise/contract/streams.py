@@ -120,7 +120,7 @@ FROM final, attempts WHERE decided = 'retry'
 def stream_retry_idle(fx: Fixtures) -> DataFrame:
     """Five polls, pages only at the first: due attempts are made without a new page, and by another process."""
     landing, polls, checkpoint, state = (work_dir(fx.spark, p) for p in ("landing", "polls", "checkpoint", "state"))
-    land_comments(fx.comments(), landing, pages=2)
+    land_comments(fx.comments(), landing)
     # Before the second attempt is due, when it is, when the third is, and afterwards.
     for seconds in (0, 10, 60, 300, 900):
         processor = CommentProcessor(fx.spark, state, fx.allow_list(), fx.pull_requests())

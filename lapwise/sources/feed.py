@@ -61,11 +61,12 @@ def comment_documents(comments: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def land_comments(comments: DataFrame, landing: str, pages: int = 1) -> None:
-    """Write comments as feed pages, in the order of their updates."""
+def land_comments(comments: DataFrame, landing: str, pages: int | None = None) -> None:
+    """Write comments as feed pages, in the order of their updates; without a number as many as their size asks for."""
     documents = comment_documents(comments)
     exact = ("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-    documents.repartitionByRange(pages, "updated_at").write.mode("append").option(*exact).json(landing)
+    ranged = documents.repartitionByRange("updated_at") if pages is None else documents.repartitionByRange(pages, "updated_at")
+    ranged.write.mode("append").option(*exact).json(landing)
 
 
 def land_poll(spark: SparkSession, polls: str, at: datetime) -> None:

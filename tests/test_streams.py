@@ -237,3 +237,14 @@ def test_work_of_a_batch_is_removed(spark, fx, tmp_path, monkeypatch):
     processor.handle(fx.comments(), 0)
     assert processor.outcomes().count() == fx.comments().count()
     assert removed and not any(session.folder_exists(spark, path) for path in removed)
+
+
+def test_pages_are_written_by_several_tasks(spark, tmp_path):
+    stamp = "timestamp_micros(id) AS {0}"
+    comments = spark.range(200_000).selectExpr(
+        "id AS comment_id", "'o/r' AS repository", "id AS queue", "'a' AS login", "'u' AS issue_url", "sha2(CAST(id AS STRING), 512) AS body",
+        stamp.format("created_at"), stamp.format("updated_at"),
+    )
+    land_comments(comments, f"{tmp_path}/landing")
+    assert len(list((tmp_path / "landing").glob("part-*"))) > 1
+    assert spark.read.json(f"{tmp_path}/landing").select("id").distinct().count() == 200_000
