@@ -10,8 +10,8 @@ margins of its bits (:func:`lapwise.llm.golay.weighted_index`), which two such s
 share with a probability of 0.2 for each segment, and of 0.99999 for some.
 
 Nodes that share an index are compared by the first ``PRINT_WORDS`` words of their
-fingerprints.  Those within ``DIFFERING_BITS`` are linked: by chance as good as none,
-and of two sets of similarity 0.8 at most one pair in 10^8 is further apart.  A key
+fingerprints.  Those within ``DIFFERING_BITS`` are linked: by chance few, and of large
+sets of similarity 0.8 hardly any are further apart (binomial tails).  A key
 that many nodes share is dealt into blocks of bounded size.
 
 The components of these links are clusters of candidates.  All nodes
