@@ -12,7 +12,7 @@ from lapwise.contract.workloads import PROCESSED
 from lapwise.fixtures import Fixtures
 from lapwise.functions.commands import parse_commands
 from lapwise.operators import jobs
-from lapwise.session import work_dir
+from lapwise.session import cut, work_dir
 from lapwise.sources.feed import comment_stream, land_comments
 from lapwise.sources.pages import PAGE_SIZE, feed_pages, land_pages, page_stream
 from lapwise.streaming.comments import COMMENT_COLUMNS, CommentProcessor, dedupe_batch, run_available
@@ -244,7 +244,7 @@ FROM (SELECT *, (row_number() OVER (PARTITION BY repository ORDER BY updated_at,
 def stream_pages(fx: Fixtures) -> DataFrame:
     """Every page once, with a restart in mid-feed: pages behind one that is not there yet wait for it."""
     landing, out, checkpoint = (work_dir(fx.spark, p) for p in ("landing", "pages", "checkpoint"))
-    paged = feed_pages(fx.comments())
+    paged = cut(feed_pages(fx.comments()), "paged")
     late = F.col("page") == _LATE_PAGE
     for number, landed in enumerate((paged.where(~late), paged.where(late)), 1):
         land_pages(landed, landing)

@@ -65,6 +65,29 @@ def test_offsets_are_split_into_tasks_of_bounded_size(tmp_path):
     assert reader.latestOffset() == {}
 
 
+def test_consecutive_pages_share_a_file(spark, tmp_path):
+    run = _Run(spark, tmp_path)
+    made = [(i, "o/a", i) for i in range(250) if i not in (0, 120)] + [(1_000 + i, "o/b", i) for i in range(3)]
+    run.land(made)
+    folders = sorted(f.relative_to(run.landing).as_posix() for f in tmp_path.glob("landing/*/*"))
+    assert folders == [f"repository=o%2Fa/pages={p}" for p in ("1-99", "100-119", "121-199", "200-249")] + ["repository=o%2Fb/pages=0-2"]
+    assert len(list(tmp_path.glob("landing/*/*/part-*"))) == 5
+    assert sorted(r["comment_id"] for r in run.read()) == [1_000, 1_001, 1_002]  # page 0 is not there
+    run.land([(0, "o/a", 0)])
+    assert sorted(r["comment_id"] for r in run.read()) == [*range(120), 1_000, 1_001, 1_002]
+    run.land([(120, "o/a", 120)])
+    assert sorted((r["comment_id"], r["page"]) for r in run.read()) == [(i, i) for i in range(250)] + [(1_000 + i, i) for i in range(3)]
+
+
+def test_many_pages_are_read_by_tasks_of_whole_folders(tmp_path):
+    reader = pages._PageReader(str(tmp_path))
+    parts = [(p.folder, p.first, p.end) for p in reader.partitions({"repository=a": 130}, {"repository=a": 30_000, "repository=b": 1})]
+    assert parts[:2] == [("repository=a", 130, 300), ("repository=a", 300, 500)] and parts[-1] == ("repository=b", 0, 1)
+    assert [(name, first) for name, first, _ in parts[1:-1]] == [(name, end) for name, _, end in parts[:-2]]
+    assert parts[-2][2] == 30_000 and len(parts) == 151
+    assert max(p.end - p.first for p in reader.partitions({}, {"repository=a": 1_000_000})) == 1_000
+
+
 def test_failed_publications_stop_no_job(spark):
     made = [
         (1, 1, 0, "queued", None, None), (1, 2, 1, "claim", None, None), (1, 3, 2, "progress", 1, True), (1, 4, 3, "progress", 2, False),
