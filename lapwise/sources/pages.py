@@ -3,10 +3,11 @@
 A poll of a repository sees at most ``POLL_PAGES`` pages of ``PAGE_SIZE`` comments, in
 the order of their updates.  Pages are landed in folders ``repository=NAME/pages=FIRST-LAST``
 of consecutive pages, at most ``PAGES_PER_FILE``, so there are far fewer files than pages.
-A line is the number of its page, a tab and a JSON document.  The source ``comment_pages`` reads every page once: its offset is the next
-page of every repository.  A page counts once all pages before it are there, so one that
-lands late is waited for and never passed over, and a batch that is run again reads the
-same pages.  Repositories are read apart; a slow one does not hold up the others.
+A line is the number of its page, a tab and a JSON document.  The source ``comment_pages``
+reads every page once: its offset is the next page of every repository.  A page counts once
+all pages before it are there, so one that lands late is waited for and never passed over,
+and a batch that is run again reads the same pages.  Repositories are read apart; a slow
+one does not hold up the others.
 
 Offsets and the folders of a task are found by listing names; pages are read in the tasks.
 """
