@@ -70,15 +70,16 @@ def result_reports(
     jobs: DataFrame, comparison: Comparison, timings: DataFrame, site: str, build_target: str = "worker"
 ) -> DataFrame:
     """The final message of every job."""
-    # One line per dataset of a request, which bounds the list.
-    phases = pair_timings(timings).groupBy("job_id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "dataset", "base_ms", "head_ms"))).alias("phases")
+    # One line per dataset of a request, which bounds the list.  Lists and totals come from one pass over the
+    # timings, which are not shuffled here if they are dealt by job.
+    lines = F.sort_array(F.collect_list(F.struct("pos", "dataset", "base_ms", "head_ms"))).alias("lines")
+    phases = phase_totals(pair_timings(timings, sums=True), lines, paired=True).select(
+        F.col("job_id").alias("id"), F.col("lines").alias("phases"), "base_ms", "head_ms"
     )
     blocks = list_blocks(jobs, comparison)
     # Texts come last, so that no shuffle by job carries them.
     rows = (
-        jobs.join(phases.withColumnRenamed("job_id", "id"), "id", "left")
-        .join(phase_totals(timings).withColumnRenamed("job_id", "id").drop("phases"), "id", "left")
+        jobs.join(phases, "id", "left")
         .join(blocks, "datasets", "left")
         .withColumn("blocks", F.coalesce("blocks", F.array().cast(blocks.schema["blocks"].dataType)))
         .withColumn("phases", F.coalesce("phases", F.array().cast(phases.schema["phases"].dataType)))

@@ -8,9 +8,10 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from lapwise.contract import QUERIES
 from lapwise.functions import sqltext, text
 from lapwise.operators import report
-from lapwise.plans.job_report import job_comparisons, list_blocks
+from lapwise.plans.job_report import job_comparisons, list_blocks, result_reports
 
 # Texts that must match.
 BLOCK = """=== Comparing tpch/sf1 results 'base' [prev] with 'head' [new] ===
@@ -235,3 +236,31 @@ def test_texts_pass_no_shuffle_by_job(spark):
     assert "Aggregate" not in plan
     blocks = {tuple(r["datasets"]): r["blocks"] for r in list_blocks(jobs, comparison).collect()}
     assert {k: [b["summary"]["tail"] for b in v] for k, v in blocks.items()} == {tuple(k): [expected(n) for n in k] for k in ("ab", "bcb")}
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_phases_and_totals_of_a_job_pass_one_shuffle(spark):
+    lines = spark.createDataFrame([("a", n, None, f"{head}a") for n, head in ((0, report.BLOCK_START), (5, "TOTAL: "))], "dataset string, section int, id string, line string")
+    jobs = spark.range(4).select(
+        "id", F.array(F.lit("a")).alias("datasets"), F.col("id").alias("comment_id"), F.lit("o/r").alias("repository"),
+        F.lit("u").alias("pull_request_url"), F.lit("b" * 40).alias("base_sha"), F.lit("h" * 40).alias("head_sha"), F.lit(2).alias("nodes"),
+        F.lit("t").alias("instance_type"), *[F.lit(0).alias(f"{n}_ms") for n in ("base_deploy", "head_deploy", "queue_wait", "validation", "total")],
+    )
+    timings = [(0, "head", 0, "x", 4000.0), (0, "base", 1, "y", 2000.0), (0, "base", 0, "z", 61000.0), (1, "head", 0, "x", 1500.0), (2, "other", 0, "x", 5.0), (9, "base", 0, "x", 1.0)]
+    dealt = spark.createDataFrame(timings, "job_id bigint, side string, pos bigint, dataset string, duration_ms double").repartition("job_id")
+    found = result_reports(jobs, SimpleNamespace(lines=lambda: lines), dealt, "https://example.org")
+    # one of the timings, made by the caller, and one of the jobs
+    assert _shuffles(found) == 2
+    shown = {r["id"]: re.findall(r"\| All benchmarks \|.*\n((?:\| Benchmark .*\n)*)", r["message"])[0].splitlines() for r in found.collect()}
+    assert shown == {0: ["| Benchmark `z` | 1m 1s | 4s |", "| Benchmark `y` | 2s | 0s |"], 1: ["| Benchmark `x` | 0s | 2s |"], 2: ["| Benchmark `x` | 0s | 0s |"], 3: []}
+    totals = {r["id"]: re.findall(r"\| All benchmarks \| (.*) \|\n", r["message"])[0] for r in found.collect()}
+    assert totals == {0: "1m 3s | 4s", 1: "0s | 2s", 2: "0s | 0s", 3: "0s | 0s"}
+
+
+def test_timings_are_read_and_shuffled_once_for_messages(spark, sf_dir):
+    messages = QUERIES["render_report"](spark, sf_dir)
+    plan = messages._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [l_orderkey") == 1 and _shuffles(messages) <= 2

@@ -15,6 +15,7 @@ from lapwise.operators.iterations import first_errors, query_summary, sum_tasks
 from lapwise.operators.median import exact_median
 from lapwise.operators.numbering import number_rows
 from lapwise.operators.ordering import natural_order, natural_positions
+from lapwise.operators.timings import pair_timings, phase_totals
 from lapwise.plans.compare import compare_pairs
 
 SCHEMA = (
@@ -202,6 +203,25 @@ def test_numbering_equals_a_window(spark):
     assert rows(numbered, "k", "t", "seq", "n") == rows(plain)
 
 
+def test_small_groups_are_numbered_where_they_lie(spark):
+    rng = random.Random(2)
+    data = [(None if j % 9 == 0 else j, rng.choice("xy"), rng.choice([None, *range(40)]), i) for i in range(600) for j in [rng.randint(0, 90)]]
+    dealt = spark.createDataFrame(data, "k bigint, side string, t bigint, seq bigint").repartition("k")
+    numbered = number_rows(dealt, ["k", "side"], [], ["t", "seq"], "n", start=0)
+    plain = dealt.selectExpr("k", "side", "t", "seq", "cast(row_number() OVER (PARTITION BY k, side ORDER BY t, seq) - 1 AS bigint) AS n")
+    assert numbered.schema["n"].dataType.simpleString() == "bigint"
+    assert rows(numbered, "k", "side", "t", "seq", "n") == rows(plain)
+    assert numbered._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_totals_of_pairs_are_those_of_timings(spark):
+    rng = random.Random(3)
+    data = [(rng.choice([None, *range(40)]), rng.choice(["base", "head", "other", None]), rng.choice([None, 0, 1, 2]), "d", rng.choice([None, 0.1, 1234.5678, rng.random() * 1e6])) for _ in range(2000)]
+    timings = spark.createDataFrame(data, "job_id bigint, side string, pos bigint, dataset string, duration_ms double")
+    assert rows(phase_totals(pair_timings(timings, sums=True), paired=True)) == rows(phase_totals(timings))
+    assert pair_timings(timings).columns == ["job_id", "pos", "dataset", "base_ms", "head_ms"]
+
+
 def test_query_sets_must_match_in_order(spark):
     listing = lambda *ids: spark.createDataFrame(
         [("d", p + 1, i) for p, i in enumerate(ids)], "dataset string, position bigint, id string"
